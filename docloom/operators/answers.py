@@ -24,9 +24,16 @@ def fenced_json(response: Column) -> Column:
     return tx.strip(tx.or_empty(body))
 
 
+def strict_json(text: Column) -> Column:
+    """The text as one VARIANT value; null when it is not JSON or anything follows the value."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    values = F.try_variant_get(wrapped, "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+
+
 def first_object(json_text: Column) -> Column:
     """The JSON object as VARIANT: a list gives its first object, anything else null."""
-    value = F.try_parse_json(json_text)
+    value = strict_json(json_text)
     items = F.try_variant_get(value, "$", "array<variant>")
     is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
     return F.when(is_object(value), value).otherwise(F.get(F.filter(items, is_object), F.lit(0)))
@@ -78,7 +85,7 @@ def parse_analysis(responses: DataFrame) -> DataFrame:
     """
     outer = F.regexp_extract("response", r"(?s)\{.*\}", 0)
     body = F.when(outer != "", outer).otherwise(F.col("response"))
-    readable = F.try_parse_json(body).isNotNull()
+    readable = strict_json(body).isNotNull()
     fallback = F.struct(
         F.substring("response", 1, 500).alias("description"),
         F.lit("other").alias("category"),

@@ -139,7 +139,7 @@ def policy_fields(item: Column) -> Column:
 
 def price_label(base_price: Column, currency: Column) -> Column:
     """Currency and price with thousands separators and at most three decimals; null without a price."""
-    shown = F.format_number(base_price, "#,##0.###")
+    shown = F.call_function("format_number", base_price, F.lit("#,##0.###"))
     return F.when(has_number(base_price), F.concat(F.coalesce(currency, F.lit("₹")), shown))
 
 

@@ -47,7 +47,7 @@ def matched_pages(terms: DataFrame, postings: DataFrame) -> DataFrame:
     That posting is the most relevant one, the alphabetically first on a tie.
     """
     extra = ["snippet_chars"] if "snippet_chars" in postings.columns else []
-    best = F.struct((-F.col("relevance")).alias("neg"), "keyword", "position", *extra)
+    best = F.struct((-F.round("relevance", 6)).alias("neg"), "keyword", "position", *extra)
     return (
         term_postings(terms, postings)
         .groupBy("query_id", "doc_id", "page_number")
