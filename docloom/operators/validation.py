@@ -259,7 +259,7 @@ def service_score() -> Column:
 
 
 def mean_scores(items: DataFrame, score: Column, name: str) -> DataFrame:
-    return items.groupBy("profile_id").agg(F.round(F.avg(score), 6).alias(name))
+    return items.groupBy("profile_id").agg(F.avg(score).alias(name))
 
 
 def field_scores(profiles: DataFrame, products: DataFrame, services: DataFrame) -> DataFrame:
@@ -273,11 +273,11 @@ def field_scores(profiles: DataFrame, products: DataFrame, services: DataFrame)
 
 
 def completeness(scores: DataFrame) -> DataFrame:
-    """Adds the weighted completeness, rounded to six places."""
+    """Adds the weighted completeness."""
     total = (
         F.col("business_info") * F.lit(0.4) + F.col("products") * F.lit(0.3) + F.col("services") * F.lit(0.3)
     )
-    return scores.withColumn("completeness", F.round(F.least(total, F.lit(1.0)), 6))
+    return scores.withColumn("completeness", F.least(total, F.lit(1.0)))
 
 
 def field_score_map(scores: DataFrame) -> DataFrame:
@@ -351,12 +351,12 @@ def editor_service_score() -> Column:
 def editor_completeness(profiles: DataFrame, services: DataFrame) -> DataFrame:
     """The profile editor's own scale: information 0.3, mean of services 0.7."""
     joined = (
-        profiles.select("profile_id", F.round(editor_info_score(), 6).alias("business_info"))
+        profiles.select("profile_id", editor_info_score().alias("business_info"))
         .join(mean_scores(services, editor_service_score(), "services"), "profile_id", "left")
         .fillna(0.0, ["services"])
     )
     total = F.col("business_info") * F.lit(0.3) + F.col("services") * F.lit(0.7)
-    return joined.withColumn("overall", F.round(total, 6))
+    return joined.withColumn("overall", total)
 
 
 def filled_fields() -> Column:

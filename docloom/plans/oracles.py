@@ -381,18 +381,18 @@ _SQL: dict[str, str] = {
     "val9_services": "select * from v_name_findings where field like 'services%'",
     "val10_prices": "select * from v_price_findings",
     "val11_missing_items": "select * from v_missing_items",
-    "val12_info_score": "select profile_id, round(business_info, 6) as score from v_scores",
+    "val12_info_score": "select profile_id, round(business_info, 9) as score from v_scores",
     "val13_product_score": f"""
         select profile_id, round(avg(0::double + case when {filled('name')} then 0.3::double else 0 end
             + case when {filled('description')} then 0.2::double else 0 end + case when {nonzero('base_price')} then 0.3::double else 0 end
-            + case when has_specifications then 0.2::double else 0 end), 6) as score from v_products group by 1""",
+            + case when has_specifications then 0.2::double else 0 end), 9) as score from v_products group by 1""",
     "val14_service_score": f"""
         select profile_id, round(avg(0::double + case when {filled('name')} then 0.25 else 0 end
             + case when {filled('description')} then 0.25 else 0 end + case when {nonzero('base_price')} then 0.25 else 0 end
-            + case when details_kind = 0 or {has('itinerary')} then 0.25 else 0 end), 6) as score from v_services group by 1""",
+            + case when details_kind = 0 or {has('itinerary')} then 0.25 else 0 end), 9) as score from v_services group by 1""",
     "val15_completeness": "select profile_id, completeness from v_complete",
     "val16_field_scores": """
-        select profile_id, s.g as field_group, round(s.v, 6) as score from (select profile_id, unnest([
+        select profile_id, s.g as field_group, round(s.v, 9) as score from (select profile_id, unnest([
             {'g': 'business_info', 'v': business_info}, {'g': 'products', 'v': products}, {'g': 'services', 'v': services}]) as s
             from v_scores)""",
     "val17_validity": "select profile_id, errors, warnings, is_valid from v_valid",
@@ -404,11 +404,12 @@ _SQL: dict[str, str] = {
             coalesce(warnings, 0) as warnings, coalesce(completeness, 0) as completeness
         from v_jobs left join v_valid v using (job_id) left join v_complete c using (job_id)""",
     "val19_editor_completeness": f"""
-        select *, round(business_info * 0.3::double + services * 0.7::double, 6) as overall from (
-            select profile_id, round((({filled('p.name')})::int + ({filled('p.description')})::int + ({filled('p.category')})::int
-                + ({filled('phone')})::int + ({filled('email')})::int + ({filled('website')})::int)::double / 6, 6) as business_info,
+        select profile_id, round(business_info, 9) as business_info, round(services, 9) as services,
+            round(business_info * 0.3::double + services * 0.7::double, 9) as overall from (
+            select profile_id, (({filled('p.name')})::int + ({filled('p.description')})::int + ({filled('p.category')})::int
+                + ({filled('phone')})::int + ({filled('email')})::int + ({filled('website')})::int)::double / 6 as business_info,
                 coalesce(score, 0) as services
-            from v_profiles p left join (select profile_id, round(avg(({EDITOR13})::double / 13), 6) as score
+            from v_profiles p left join (select profile_id, avg(({EDITOR13})::double / 13) as score
                 from v_services group by 1) using (profile_id))""",
     "val20_service_fill": f"""
         select profile_id, ordinal, ({FILLED13})::bigint as filled, floor(({FILLED13})::double / 13 * 100)::bigint as percent

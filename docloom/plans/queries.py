@@ -49,6 +49,11 @@ def joined(column: Column | str, name: str, separator: str = " ") -> Column:
     return F.array_join(column, separator).alias(name)
 
 
+def near(column: Column | str, name: str) -> Column:
+    """A sum or mean of doubles, equal in any order of addition."""
+    return F.round(column, 9).alias(name)
+
+
 def sorted_text(column: Column | str, name: str) -> Column:
     return F.array_join(F.array_sort(column), " ").alias(name)
 
@@ -849,17 +854,19 @@ def val11_missing_items(spark, d):
 
 @query
 def val12_info_score(spark, d):
-    return views.profiles(spark, d).select("profile_id", F.round(validation.info_score(), 6).alias("score"))
+    return views.profiles(spark, d).select("profile_id", near(validation.info_score(), "score"))
 
 
 @query
 def val13_product_score(spark, d):
-    return validation.mean_scores(views.products(spark, d), validation.product_score(), "score")
+    means = validation.mean_scores(views.products(spark, d), validation.product_score(), "score")
+    return means.select("profile_id", near("score", "score"))
 
 
 @query
 def val14_service_score(spark, d):
-    return validation.mean_scores(views.services(spark, d), validation.service_score(), "score")
+    means = validation.mean_scores(views.services(spark, d), validation.service_score(), "score")
+    return means.select("profile_id", near("score", "score"))
 
 
 def _field_scores(spark, d):
@@ -868,14 +875,14 @@ def _field_scores(spark, d):
 
 @query
 def val15_completeness(spark, d):
-    return validation.completeness(_field_scores(spark, d)).select("profile_id", "completeness")
+    return validation.completeness(_field_scores(spark, d)).select("profile_id", near("completeness", "completeness"))
 
 
 @query
 def val16_field_scores(spark, d):
     scores = validation.field_score_map(_field_scores(spark, d))
     return scores.select("profile_id", F.explode("field_scores").alias("field_group", "score")).withColumn(
-        "score", F.round("score", 6)
+        "score", near("score", "score")
     )
 
 
@@ -903,13 +910,15 @@ def validate_profiles(spark, d):
     return validation.validate(
         _jobs(spark, d), views.profiles(spark, d), views.products(spark, d), views.services(spark, d)
     ).select(
-        "job_id", "profile_id", "is_valid", big("errors", "errors"), big("warnings", "warnings"), "completeness"
+        "job_id", "profile_id", "is_valid", big("errors", "errors"), big("warnings", "warnings"),
+        near("completeness", "completeness"),
     )
 
 
 @query
 def val19_editor_completeness(spark, d):
-    return validation.editor_completeness(views.profiles(spark, d), views.services(spark, d))
+    scores = validation.editor_completeness(views.profiles(spark, d), views.services(spark, d))
+    return scores.select("profile_id", *[near(c, c) for c in ("business_info", "services", "overall")])
 
 
 @query

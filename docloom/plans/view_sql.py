@@ -403,15 +403,15 @@ DEFINITIONS: dict[str, str] = {
               as business_info,
             coalesce(ps.score, 0) as products, coalesce(ss.score, 0) as services
         from v_profiles p
-        left join (select profile_id, round(avg(0::double + case when {filled('name')} then 0.3::double else 0 end
+        left join (select profile_id, avg(0::double + case when {filled('name')} then 0.3::double else 0 end
             + case when {filled('description')} then 0.2::double else 0 end + case when {nonzero('base_price')} then 0.3::double else 0 end
-            + case when has_specifications then 0.2::double else 0 end), 6) as score from v_products group by 1) ps using (profile_id)
-        left join (select profile_id, round(avg(0::double + case when {filled('name')} then 0.25 else 0 end
+            + case when has_specifications then 0.2::double else 0 end) as score from v_products group by 1) ps using (profile_id)
+        left join (select profile_id, avg(0::double + case when {filled('name')} then 0.25 else 0 end
             + case when {filled('description')} then 0.25 else 0 end + case when {nonzero('base_price')} then 0.25 else 0 end
-            + case when details_kind = 0 or {has('itinerary')} then 0.25 else 0 end), 6) as score
+            + case when details_kind = 0 or {has('itinerary')} then 0.25 else 0 end) as score
             from v_services group by 1) ss using (profile_id)""",
     "v_complete": """
-        select *, round(least(business_info * 0.4::double + products * 0.3::double + services * 0.3::double, 1), 6) as completeness
+        select *, round(least(business_info * 0.4::double + products * 0.3::double + services * 0.3::double, 1), 9) as completeness
         from v_scores""",
     "v_valid": """
         select p.profile_id, p.job_id, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings,
