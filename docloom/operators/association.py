@@ -55,49 +55,60 @@ def name_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:
     """job_id, item_id, image_id where the name occurs in the description or an association.
 
     A text that holds the name holds every piece of it; the join uses the piece that
-    is rarest among the texts.
+    is rarest among the texts. Equal names and equal texts are compared once.
     """
     texts = analyses.select(
         "job_id",
         "image_id",
         F.explode(F.concat(F.array("description"), "suggested_associations")).alias("t"),
-    ).select("job_id", "image_id", F.lower("t").alias("t"))
-    texts = texts.filter("t is not null").distinct()
-    pieces = texts.select("job_id", "image_id", "t", F.explode(_pieces(F.col("t"))).alias("piece"))
-    counts = pieces.groupBy("job_id", "piece").agg(F.count("*").alias("n"))
+    ).select("job_id", "image_id", F.lower("t").alias("t")).filter("t is not null")
     names = items.select("job_id", "item_id", F.lower("name").alias("name")).filter("name <> ''")
-    keys = names.select("job_id", "item_id", "name", F.explode(_longest_pieces(F.col("name"))).alias("piece"))
-    keys = _rarest(keys, ["job_id", "item_id"], "piece", counts, 1)
+
+    pieces = texts.select("job_id", "t").distinct().select("*", F.explode(_pieces(F.col("t"))).alias("piece"))
+    counts = pieces.groupBy("job_id", "piece").agg(F.count("*").alias("n"))
+    keys = names.select("job_id", "name").distinct().select(
+        "*", F.explode(_longest_pieces(F.col("name"))).alias("piece")
+    )
+    keys = _rarest(keys, ["job_id", "name"], "piece", counts, 1)
+    found = pieces.join(keys, ["job_id", "piece"]).filter(F.contains("t", F.col("name")))
     return (
-        pieces.join(keys, ["job_id", "piece"])
-        .filter(F.contains("t", F.col("name")))
+        found.select("job_id", "name", "t")
+        .join(names, ["job_id", "name"])
+        .join(texts, ["job_id", "t"])
         .select("job_id", "item_id", "image_id")
         .distinct()
     )
 
 
+def _tag_set(tags: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(tags, F.lower)))
+
+
 def tag_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:
     """Pairs whose tag overlap exceeds one half.
 
     Overlap above one half means more than half of the item's tags are shared, so one
-    of its rarest ceil(n / 2) tags is among them.
+    of its rarest ceil(n / 2) tags is among them. Equal tag sets are compared once.
     """
-    a = items.select("job_id", "item_id", F.array_distinct(F.transform("tags", F.lower)).alias("item_tags"))
-    b = analyses.select(
-        "job_id", "image_id", F.array_distinct(F.transform("tags", F.lower)).alias("image_tags")
-    )
-    image_rows = b.select("*", F.explode("image_tags").alias("tag"))
+    a = items.select("job_id", "item_id", _tag_set(F.col("tags")).alias("item_tags"))
+    b = analyses.select("job_id", "image_id", _tag_set(F.col("tags")).alias("image_tags"))
+    image_sets = b.select("job_id", "image_tags").distinct()
+    image_rows = image_sets.select("*", F.explode("image_tags").alias("tag"))
     counts = image_rows.groupBy("job_id", "tag").agg(F.count("*").alias("n"))
+    item_sets = a.select("job_id", "item_tags").distinct()
     item_rows = _rarest(
-        a.select("*", F.explode("item_tags").alias("tag")),
-        ["job_id", "item_id"], "tag", counts, F.ceil(F.size("item_tags") / 2),
-    )
-    return (
+        item_sets.select("*", F.explode("item_tags").alias("tag")),
+        ["job_id", "item_tags"], "tag", counts, F.ceil(F.size("item_tags") / 2),
+    )
+    found = (
         image_rows.join(item_rows, ["job_id", "tag"])
         .filter(tag_overlap(F.col("item_tags"), F.col("image_tags")) > 0.5)
-        .select("job_id", "item_id", "image_id")
+        .select("job_id", "item_tags", "image_tags")
         .distinct()
     )
+    return (
+        found.join(a, ["job_id", "item_tags"]).join(b, ["job_id", "image_tags"]).select("job_id", "item_id", "image_id")
+    )
 
 
 def page_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ rows. Text is used only where keywords are taken from it and is not carried on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,17 +51,20 @@ def posting_snippets(pages: DataFrame) -> DataFrame:
     )
 
 
-def posting_lists(postings_df: DataFrame, segment_rows: int = 100_000) -> DataFrame:
+def keyword_counts(pages: DataFrame) -> DataFrame:
+    """keyword, pages: in how many pages each keyword occurs."""
+    return page_keywords(pages).groupBy("keyword").agg(F.count("*").alias("pages"))
+
+
+def posting_lists(postings_df: DataFrame, counts: DataFrame, segment_rows: int = 100_000) -> DataFrame:
     """keyword, segment, refs: posting lists in segments of about segment_rows.
 
     A rare keyword is one list. A frequent one is spread over as many segments as
     its measured count needs, by a hash of the page, so no group grows with the data.
+    Input counts: keyword, pages.
     """
-    frequent = (
-        postings_df.groupBy("keyword")
-        .count()
-        .filter(F.col("count") > segment_rows)
-        .select("keyword", F.ceil(F.col("count") / segment_rows).alias("segments"))
+    frequent = counts.filter(F.col("pages") > segment_rows).select(
+        "keyword", F.ceil(F.col("pages") / segment_rows).alias("segments")
     )
     page_hash = F.conv(
         F.substring(F.md5(F.concat_ws(":", "doc_id", "page_number")), 1, 8), 16, 10
@@ -133,6 +138,12 @@ def media_postings(images: DataFrame, analyses: DataFrame) -> DataFrame:
     )
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Single-row tables side by side, without a cross join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def index_stats(pages: DataFrame, tables: DataFrame, images: DataFrame, approximate: bool = False) -> DataFrame:
     """Totals of an index in one row. The keyword count is exact unless asked otherwise."""
     count_keywords = F.approx_count_distinct if approximate else F.countDistinct
@@ -142,11 +153,11 @@ def index_stats(pages: DataFrame, tables: DataFrame, images: DataFrame, approxim
         "total_tree_nodes",
         F.when(F.col("total_documents") > 0, F.col("total_documents") + 1).otherwise(F.lit(0)),
     )
-    # single-row sides
-    return (
-        one_row.crossJoin(tables.agg(F.count("*").alias("total_tables")))
-        .crossJoin(images.agg(F.count("*").alias("total_images")))
-        .crossJoin(keywords)
+    return _one_row(
+        one_row,
+        tables.agg(F.count("*").alias("total_tables")),
+        images.agg(F.count("*").alias("total_images")),
+        keywords,
     )
 
 
@@ -159,7 +170,7 @@ def keyword_stats(pages: DataFrame) -> DataFrame:
         F.round(F.avg(F.size("keyword")), 6).alias("avg_keywords_per_page"),
     )
     distinct = page_keywords(pages).agg(F.countDistinct("keyword").alias("total_keywords"))
-    return totals.crossJoin(distinct)
+    return _one_row(totals, distinct)
 
 
 def compress(postings_df: DataFrame, keep: int = 10) -> DataFrame:
@@ -170,5 +181,4 @@ def compress(postings_df: DataFrame, keep: int = 10) -> DataFrame:
 
 def keyword_frequency(pages: DataFrame, limit: int = 50) -> DataFrame:
     """The most frequent keywords by number of pages."""
-    counts = page_keywords(pages).groupBy("keyword").agg(F.count("*").alias("pages"))
-    return counts.orderBy(F.desc("pages"), "keyword").limit(limit)
+    return keyword_counts(pages).orderBy(F.desc("pages"), "keyword").limit(limit)

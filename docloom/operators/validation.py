@@ -188,7 +188,7 @@ def exclusive_findings(profiles: DataFrame, products: DataFrame, services: DataF
 
     def intruding(items: DataFrame, kind: str, group: str) -> DataFrame:
         bound = profiles.filter(F.col("business_type") == kind).select("profile_id")
-        return bound.join(items.select("profile_id"), "profile_id", "left_semi").select(
+        return bound.join(items.select("profile_id").distinct(), "profile_id", "left_semi").select(
             "profile_id",
             F.lit(group).alias("field"),
             F.lit(f"{kind.capitalize()}-only business cannot have {group}").alias("message"),

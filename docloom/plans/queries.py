@@ -442,7 +442,8 @@ def idx3_snippets(spark, d):
 
 @query
 def idx4_posting_lists(spark, d):
-    lists = index.posting_lists(index.postings(views.pages(spark, d)), segment_rows=200)
+    pages = views.pages(spark, d)
+    lists = index.posting_lists(index.postings(pages), index.keyword_counts(pages), segment_rows=200)
     refs = F.transform("refs", lambda r: F.concat_ws(":", r["doc_id"], r["page_number"]))
     return lists.select("keyword", big("segment", "segment"), joined(refs, "refs"))
 
