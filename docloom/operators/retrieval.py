@@ -28,11 +28,11 @@ def _with_synonyms(words: Column) -> Column:
 
 
 def query_terms(queries: DataFrame, synonyms: bool = True) -> DataFrame:
-    """query_id, keyword, n_terms: the distinct search terms of each query."""
+    """query_id, term_no, keyword, n_terms: the distinct search terms of each query in alphabetical order."""
     words = tx.keywords(F.col("query"))
-    terms = _with_synonyms(words) if synonyms else words
+    terms = F.array_sort(_with_synonyms(words) if synonyms else words)
     return queries.select("query_id", terms.alias("terms")).select(
-        "query_id", F.explode("terms").alias("keyword"), F.size("terms").alias("n_terms")
+        "query_id", F.posexplode("terms").alias("term_no", "keyword"), F.size("terms").alias("n_terms")
     )
 
 
@@ -41,13 +41,31 @@ def term_postings(terms: DataFrame, postings: DataFrame) -> DataFrame:
     return postings.join(broadcast_if_small(terms), "keyword")
 
 
-def matched_pages(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Summed relevance per query and page, with the posting that provides the snippet.
+# The posting that provides a page's snippet is the most relevant one, on a tie the one of
+# the alphabetically first term. Relevance steps, term number and (capped) snippet length
+# share one number whose minimum finds it, so that the aggregation stays hash-based.
+_STEPS, _TERM_BITS, _LENGTH_BITS = 10, 32, 16
 
-    That posting is the most relevant one, the alphabetically first on a tie.
-    """
-    extra = ["snippet_chars"] if "snippet_chars" in postings.columns else []
-    best = F.struct((-F.round("relevance", 6)).alias("neg"), "keyword", "position", *extra)
+
+def _snippet_rank() -> Column:
+    steps = F.lit(_STEPS) - F.round(F.col("relevance") * _STEPS).cast("bigint")
+    number = F.shiftleft(F.shiftleft(steps, _TERM_BITS) + F.col("term_no"), _LENGTH_BITS)
+    return number
+
+
+def _snippet_term(code: Column) -> Column:
+    return F.shiftright(code, _LENGTH_BITS).bitwiseAND(F.lit((1 << _TERM_BITS) - 1)).cast("int")
+
+
+def _snippet_length(code: Column) -> Column:
+    return code.bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
+
+
+def matched_pages(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """Summed relevance per query and page, with the number of the term that provides the snippet."""
+    best = _snippet_rank()
+    if "snippet_chars" in postings.columns:
+        best = best + F.least("snippet_chars", F.lit(2 * fv.SNIPPET_SIDE_CHARS))
     return (
         term_postings(terms, postings)
         .groupBy("query_id", "doc_id", "page_number")
@@ -60,6 +78,12 @@ def matched_pages(terms: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
+def snippet_terms(matched: DataFrame, terms: DataFrame) -> DataFrame:
+    """Adds the keyword that provides each row's snippet."""
+    names = broadcast_if_small(terms.select("query_id", "term_no", "keyword"))
+    return matched.withColumn("term_no", _snippet_term(F.col("best"))).join(names, ["query_id", "term_no"]).drop("term_no")
+
+
 def rank_pages(matched: DataFrame, k: int | None = None, by: str = "score") -> DataFrame:
     """Rank within each query by score, then document and page; keep the first k."""
     order = Window.partitionBy("query_id").orderBy(F.desc(by), "doc_id", "page_number")
@@ -75,7 +99,7 @@ def signal_scores(matched: DataFrame) -> DataFrame:
     """
     weight = fv.SIGNAL_WEIGHTS
     coverage = F.col("terms_found") / F.col("n_terms")
-    quality = F.least(F.col("best.snippet_chars") / F.lit(200.0), F.lit(1.0))
+    quality = F.least(_snippet_length(F.col("best")) / F.lit(200.0), F.lit(1.0))
     total = (
         F.col("score") * F.lit(weight["relevance"])
         + coverage * F.lit(weight["coverage"])
@@ -84,10 +108,10 @@ def signal_scores(matched: DataFrame) -> DataFrame:
     return matched.withColumn("signal_score", F.round(total, 6))
 
 
-def ranked_pages(top: DataFrame) -> DataFrame:
+def ranked_pages(top: DataFrame, terms: DataFrame) -> DataFrame:
     """One row per query: its ranked pages (at most k) and their mean score."""
-    page = F.struct("rank", "doc_id", "page_number", "score", "best.keyword", "best.position")
-    return top.groupBy("query_id").agg(
+    page = F.struct("rank", "doc_id", "page_number", "score", "keyword")
+    return snippet_terms(top, terms).groupBy("query_id").agg(
         F.sort_array(F.collect_list(page)).alias("ranked_pages"),
         F.avg("score").alias("mean_score"),
     )
@@ -119,7 +143,7 @@ def context(ranked: DataFrame, pages: DataFrame, n_queries: int, k: int = fv.DEF
     part = F.concat(
         F.lit("[Document: "), tx.base_name(F.col("source_file")),
         F.lit(", Page "), F.col("page_number"), F.lit("]\n"),
-        tx.snippet_at(F.col("text"), F.col("position"), F.col("keyword")),
+        tx.snippet_at(F.col("text"), F.instr(F.lower("text"), F.col("keyword")), F.col("keyword")),
     )
     return _joined(_on_pages(ranked, pages, n_queries, k), part)
 
@@ -146,8 +170,9 @@ def match_counts(matched: DataFrame) -> DataFrame:
 def answer(queries: DataFrame, postings: DataFrame, pages: DataFrame, k: int = fv.DEFAULT_TOP_PAGES) -> DataFrame:
     """Matched pages, ranked pages, confidence and context for every query, also those without a match."""
     n_queries = queries.count()
-    matched = matched_pages(query_terms(queries), postings).drop("terms_found", "n_terms")
-    ranked = confidence(ranked_pages(rank_pages(matched, k)))
+    terms = query_terms(queries)
+    matched = matched_pages(terms, postings).drop("terms_found", "n_terms")
+    ranked = confidence(ranked_pages(rank_pages(matched, k), terms))
     return (
         queries.join(match_counts(matched), "query_id", "left")
         .join(ranked.drop("mean_score"), "query_id", "left")

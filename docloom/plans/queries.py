@@ -497,9 +497,16 @@ def idx12_keyword_frequency(spark, d):
 # --- retrieval -------------------------------------------------------------------------
 
 
+def _terms(spark, d):
+    return retrieval.query_terms(views.questions(spark, d))
+
+
 def _matched(spark, d, with_length=False):
-    terms = retrieval.query_terms(views.questions(spark, d))
-    return retrieval.matched_pages(terms, index.postings(views.pages(spark, d), with_length))
+    return retrieval.matched_pages(_terms(spark, d), index.postings(views.pages(spark, d), with_length))
+
+
+def _ranked(spark, d):
+    return retrieval.ranked_pages(retrieval.rank_pages(_matched(spark, d), 5), _terms(spark, d))
 
 
 @query
@@ -511,21 +518,19 @@ def ret1_query_terms(spark, d):
 
 @query
 def ret2_synonyms(spark, d):
-    return retrieval.query_terms(views.questions(spark, d)).select("query_id", "keyword", big("n_terms", "n_terms"))
+    return _terms(spark, d).select("query_id", "keyword", big("n_terms", "n_terms"))
 
 
 @query
 def ret3_term_postings(spark, d):
-    terms = retrieval.query_terms(views.questions(spark, d))
-    found = retrieval.term_postings(terms, index.postings(views.pages(spark, d)))
+    found = retrieval.term_postings(_terms(spark, d), index.postings(views.pages(spark, d)))
     return found.select("query_id", "keyword", "doc_id", "page_number", F.round("relevance", 6).alias("relevance"))
 
 
 @query
 def ret4_page_scores(spark, d):
-    return _matched(spark, d).select(
-        "query_id", "doc_id", "page_number", "score", F.col("best.keyword").alias("best_keyword")
-    )
+    named = retrieval.snippet_terms(_matched(spark, d), _terms(spark, d))
+    return named.select("query_id", "doc_id", "page_number", "score", F.col("keyword").alias("best_keyword"))
 
 
 @query
@@ -542,14 +547,12 @@ def ret6_topk_pages(spark, d):
 @query
 def ret7_context(spark, d):
     questions, pages = views.questions(spark, d), views.pages(spark, d)
-    ranked = retrieval.ranked_pages(retrieval.rank_pages(_matched(spark, d), 5))
-    return retrieval.context(ranked, pages, questions.count())
+    return retrieval.context(_ranked(spark, d), pages, questions.count())
 
 
 @query
 def ret8_confidence(spark, d):
-    ranked = retrieval.ranked_pages(retrieval.rank_pages(_matched(spark, d), 5))
-    known = retrieval.confidence(ranked).select("query_id", "confidence")
+    known = retrieval.confidence(_ranked(spark, d)).select("query_id", "confidence")
     return views.questions(spark, d).select("query_id").join(known, "query_id", "left").fillna(0.0, ["confidence"])
 
 
@@ -561,8 +564,7 @@ def ret9_match_counts(spark, d):
 
 @query
 def ret10_keyword_lookup(spark, d):
-    lookups = retrieval.query_terms(views.questions(spark, d)).select("keyword")
-    found = retrieval.keyword_lookup(lookups, index.postings(views.pages(spark, d)))
+    found = retrieval.keyword_lookup(_terms(spark, d).select("keyword"), index.postings(views.pages(spark, d)))
     return found.select("keyword", "total_hits", big("ref", "ref"), "doc_id", "page_number")
 
 
@@ -576,8 +578,7 @@ def ret11_signal_ranking(spark, d):
 @query
 def ret12_page_context(spark, d):
     questions, pages = views.questions(spark, d), views.pages(spark, d)
-    ranked = retrieval.ranked_pages(retrieval.rank_pages(_matched(spark, d), 5))
-    return retrieval.page_context(ranked, pages, questions.count())
+    return retrieval.page_context(_ranked(spark, d), pages, questions.count())
 
 
 @query
