@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE_CHARS = 3
+# Longer pieces are rarer: an eight-character one is found in few texts that lack the name.
+PIECE_CHARS = 8
 
 
 def tag_overlap(tags1: Column, tags2: Column) -> Column:
@@ -25,8 +26,8 @@ def tag_overlap(tags1: Column, tags2: Column) -> Column:
     )
 
 
-def _pieces(text: Column) -> Column:
-    """Distinct substrings of one to three characters."""
+def _pieces(text: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of the given lengths."""
 
     def of(n: int) -> Column:
         last = F.length(text) - n + 1
@@ -34,7 +35,7 @@ def _pieces(text: Column) -> Column:
             last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, n))
         ).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, PIECE_CHARS + 1)]))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
 
 
 def _longest_pieces(name: Column) -> Column:
@@ -44,6 +45,12 @@ def _longest_pieces(name: Column) -> Column:
     )
 
 
+def _piece_sizes(names: DataFrame) -> list[int]:
+    """The piece lengths that occur, at most PIECE_CHARS numbers."""
+    sizes = names.select(F.least(F.length("name"), F.lit(PIECE_CHARS)).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in sizes) or [PIECE_CHARS]
+
+
 def _rarest(rows: DataFrame, owner: list[str], key: str, counts: DataFrame, keep: Column | int) -> DataFrame:
     """The keys of each owner with the fewest occurrences on the other side."""
     order = Window.partitionBy(*owner).orderBy(F.coalesce("n", F.lit(0)), key)
@@ -64,7 +71,9 @@ def name_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:
     ).select("job_id", "image_id", F.lower("t").alias("t")).filter("t is not null")
     names = items.select("job_id", "item_id", F.lower("name").alias("name")).filter("name <> ''")
 
-    pieces = texts.select("job_id", "t").distinct().select("*", F.explode(_pieces(F.col("t"))).alias("piece"))
+    pieces = texts.select("job_id", "t").distinct().select(
+        "*", F.explode(_pieces(F.col("t"), _piece_sizes(names))).alias("piece")
+    )
     counts = pieces.groupBy("job_id", "piece").agg(F.count("*").alias("n"))
     keys = names.select("job_id", "name").distinct().select(
         "*", F.explode(_longest_pieces(F.col("name"))).alias("piece")

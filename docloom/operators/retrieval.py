@@ -181,14 +181,20 @@ def answer(queries: DataFrame, postings: DataFrame, pages: DataFrame, k: int = f
     )
 
 
-def keyword_lookup(lookups: DataFrame, postings: DataFrame, first: int = 5) -> DataFrame:
-    """Exact keyword lookup: total hits and the first references in document order.
+def keyword_lookup(lookups: DataFrame, postings: DataFrame, pages: DataFrame, first: int = 5) -> DataFrame:
+    """Exact keyword lookup: total hits, and the first references in document order with their snippets.
 
-    Input lookups: keyword.
+    Input lookups: keyword. Text is read only for the few references shown.
     """
-    wanted = broadcast_if_small(lookups.select(F.lower("keyword").alias("keyword")).distinct())
-    found = postings.join(wanted, "keyword")
-    totals = found.groupBy("keyword").agg(F.count("position").alias("total_hits"))
+    wanted = lookups.select(F.lower("keyword").alias("keyword")).distinct()
+    found = postings.join(broadcast_if_small(wanted), "keyword")
+    totals = found.groupBy("keyword").agg(F.count("*").alias("total_hits"))
     order = Window.partitionBy("keyword").orderBy("doc_id", "page_number")
     refs = found.withColumn("ref", F.row_number().over(order)).filter(F.col("ref") <= first)
-    return refs.join(totals, "keyword").select("keyword", "total_hits", "ref", "doc_id", "page_number", "position")
+    shown = refs.join(totals, "keyword").select("keyword", "total_hits", "ref", "doc_id", "page_number", "position")
+    side = broadcast_if_bounded(shown, wanted.count() * first, _RANKED_ROW_BYTES)
+    snippet = F.substring(tx.snippet_at(F.col("text"), F.col("position"), F.col("keyword")), 1, 200)
+    texts = pages.select("doc_id", "page_number", "text")
+    return texts.join(side, ["doc_id", "page_number"]).select(
+        "keyword", "total_hits", "ref", "doc_id", "page_number", snippet.alias("snippet")
+    )

@@ -184,6 +184,7 @@ _SQL: dict[str, str] = {
             lambda w: regexp_full_match(w, '[A-Z][a-z]+')), ' ') as names from v_questions""",
     # index
     "idx1_page_postings": "select doc_id, page_number, keyword from v_keywords",
+    "idx1_stored_postings": "select query_id, keyword, doc_id, page_number, relevance from v_found",
     "idx2_relevance": "select doc_id, page_number, keyword, relevance, position from v_postings",
     "idx3_snippets": "select doc_id, page_number, keyword, snippet from v_snippets",
     "idx4_posting_lists": """
@@ -243,10 +244,11 @@ _SQL: dict[str, str] = {
     "ret9_match_counts": """
         select query_id, count(score) as matched_pages from v_questions left join v_matched using (query_id) group by 1""",
     "ret10_keyword_lookup": """
-        select keyword, total_hits, ref, doc_id, page_number from (select keyword, doc_id, page_number,
-            count(*) over (partition by keyword) as total_hits,
+        select keyword, total_hits, ref, doc_id, page_number, substring(snippet, 1, 200) as snippet
+        from (select keyword, doc_id, page_number, count(*) over (partition by keyword) as total_hits,
             row_number() over (partition by keyword order by doc_id, page_number) as ref
-            from v_postings where keyword in (select keyword from v_terms)) where ref <= 5""",
+            from v_postings where keyword in (select keyword from v_terms)) join v_snippets using (keyword, doc_id, page_number)
+        where ref <= 5""",
     "ret11_signal_ranking": """
         select query_id, rank, doc_id, page_number, signal_score from (select *, row_number() over (partition by query_id
             order by signal_score desc, doc_id, page_number) as rank from (

@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import fixed_values as fv
 from docloom.functions import text as tx
 
 # Ship this helper with the job: executors need no installed package.
@@ -42,11 +43,12 @@ def list_samples(spark: SparkSession, folder: str, pattern: str = "*.zip") -> Da
     ).orderBy("file_name")
 
 
-def _inner_names(head: bytes, whole) -> list[str] | None:
+def _inner_names(archive: zipfile.ZipFile, info: zipfile.ZipInfo, head: bytes) -> list[str] | None:
+    """Member names of a nested archive, read as a stream and never held whole."""
     if not head.startswith(b"PK\x03\x04"):
         return None
     try:
-        with zipfile.ZipFile(io.BytesIO(whole())) as inner:
+        with archive.open(info) as stream, zipfile.ZipFile(stream) as inner:
             return inner.namelist()
     except (zipfile.BadZipFile, RuntimeError, OSError):
         return None
@@ -56,13 +58,13 @@ def _member_row(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple:
     try:
         with archive.open(info) as stream:
             head = stream.read(16)
-        return info.filename, info.file_size, head, _inner_names(head, lambda: archive.read(info)), None
+        return info.filename, info.file_size, head, _inner_names(archive, info, head), None
     except (zipfile.BadZipFile, RuntimeError, OSError, NotImplementedError) as broken:
         return info.filename, info.file_size, None, None, f"unreadable member: {broken}"
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Only the first bytes of a member are unpacked, except for nested archives."""
+    """One manifest row per member; a member is read only as far as its first bytes or its own member list."""
     columns = [part.split()[0] for part in MEMBER_SCHEMA.split(", ")]
     for batch in batches:
         for job_id, size, content in zip(batch["job_id"], batch["length"], batch["content"]):
@@ -79,8 +81,12 @@ def with_job_id(archives: DataFrame) -> DataFrame:
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
-    """The member manifest; an unreadable archive gives one row with archive_error."""
-    inputs = with_job_id(archives).select("job_id", "length", "content")
+    """The member manifest; an unreadable archive gives one row with archive_error.
+
+    Archives beyond the size limit are not opened: `check_archives` rejects them by size.
+    """
+    within = archives.filter(F.col("length") <= fv.MAX_ARCHIVE_BYTES)
+    inputs = with_job_id(within).select("job_id", "length", "content")
     return inputs.mapInPandas(_members, MEMBER_SCHEMA)
 
 

@@ -1,8 +1,9 @@
 """Files the engine writes and reads: profiles, discovery records, exports, usage.
 
-Jobs are many, so folders are per hash bucket of the job, never per job. Rows of a
-bucket are sorted by job inside their files and split further by a salt, so that one
-large job neither makes one large task nor hides among the others.
+Jobs and keywords are many, so folders are per hash bucket, never per value. Rows of a
+bucket are sorted by value inside their files. The rebalance before a write splits large
+buckets and joins small ones by measured size, so that a large job or a frequent keyword
+becomes many tasks and files.
 """
 
 from __future__ import annotations
@@ -15,36 +16,49 @@ from docloom.operators.profiles import export_json
 BUCKETS = 64
 
 
-def job_bucket(job_id: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(job_id), F.lit(buckets)).cast("int")
+def bucket(value: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
 
 
-def _write(df: DataFrame, folder: str, extra: list[str], salt: str, buckets: int, splits: int, mode: str) -> None:
-    keyed = df.withColumn("job_bucket", job_bucket(F.col("job_id"), buckets))
-    spread = F.pmod(F.xxhash64(salt), F.lit(splits))
+def _write(df: DataFrame, folder: str, folders: list[str], sort_by: str, mode: str) -> None:
     (
-        keyed.repartition(*[F.col(c) for c in extra], F.col("job_bucket"), spread)
-        .sortWithinPartitions(*extra, "job_bucket", "job_id")
+        df.hint("rebalance", *folders)
+        .sortWithinPartitions(*folders, sort_by)
         .write.mode(mode)
-        .partitionBy(*extra, "job_bucket")
+        .partitionBy(*folders)
         .parquet(folder)
     )
 
 
-def write_discovery(files: DataFrame, folder: str, buckets: int = BUCKETS, splits: int = 4, mode: str = "append") -> None:
+def write_discovery(files: DataFrame, folder: str, buckets: int = BUCKETS, mode: str = "append") -> None:
     """Discovery records by job bucket."""
-    _write(files, folder, [], "file_id", buckets, splits, mode)
+    keyed = files.withColumn("job_bucket", bucket(F.col("job_id"), buckets))
+    _write(keyed, folder, ["job_bucket"], "job_id", mode)
 
 
-def write_by_category(files: DataFrame, folder: str, buckets: int = BUCKETS, splits: int = 4, mode: str = "append") -> None:
+def write_by_category(files: DataFrame, folder: str, buckets: int = BUCKETS, mode: str = "append") -> None:
     """Files placed in a folder per category."""
-    _write(files, folder, ["category"], "file_id", buckets, splits, mode)
+    keyed = files.withColumn("job_bucket", bucket(F.col("job_id"), buckets))
+    _write(keyed, folder, ["category", "job_bucket"], "job_id", mode)
+
+
+def write_postings(postings: DataFrame, folder: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
+    """The index by keyword bucket: a lookup reads the folders and row groups of its keywords."""
+    keyed = postings.withColumn("keyword_bucket", bucket(F.col("keyword"), buckets))
+    _write(keyed, folder, ["keyword_bucket"], "keyword", mode)
+
+
+def read_postings(spark: SparkSession, folder: str, terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The stored postings in the folders of the given keywords; other folders are pruned at run time."""
+    wanted = terms.select(bucket(F.col("keyword"), buckets).alias("keyword_bucket")).distinct()
+    # at most `buckets` rows
+    return spark.read.parquet(folder).join(F.broadcast(wanted), "keyword_bucket", "left_semi").drop("keyword_bucket")
 
 
 def read_job(spark: SparkSession, folder: str, job_id: str, buckets: int = BUCKETS) -> DataFrame:
     """One job's rows: the bucket folder prunes files, the sort order prunes row groups."""
     return spark.read.parquet(folder).filter(
-        (F.col("job_bucket") == job_bucket(F.lit(job_id), buckets)) & (F.col("job_id") == job_id)
+        (F.col("job_bucket") == bucket(F.lit(job_id), buckets)) & (F.col("job_id") == job_id)
     )
 
 

@@ -74,8 +74,9 @@ def test_synonym_table(spark):
 
 def test_lookup(spark, pages):
     words = spark.createDataFrame([("BURGERS",), ("none",)], "keyword string")
-    got = retrieval.keyword_lookup(words, index.postings(pages), first=1).collect()
+    got = retrieval.keyword_lookup(words, index.postings(pages), pages, first=1).collect()
     assert [(r["keyword"], r["total_hits"], r["doc_id"]) for r in got] == [("burgers", 2, "a")]
+    assert got[0]["snippet"] == "The price list. Price of burgers and more prices."
 
 
 def test_snippet_choice_packs_and_unpacks(spark):
