@@ -82,13 +82,20 @@ def cut_snippet(text: str, keyword: str, position: int) -> str:
     return cut.replace("\n", " ").strip()
 
 
+def _pages(texts: pa.Array, keywords: pa.Array):
+    """Text and keywords of each page. Strings are converted for the whole batch at once."""
+    flat = keywords.values.to_numpy(zero_copy_only=False)
+    ends = keywords.offsets.to_numpy()
+    for i, text in enumerate(texts.to_numpy(zero_copy_only=False)):
+        yield text or "", flat[ends[i] : ends[i + 1]].tolist()
+
+
 _HIT = pa.struct([("hits", pa.int32()), ("position", pa.int32()), ("snippet_chars", pa.int32())])
 
 
 def _hit_lists(texts: pa.Array, keywords: pa.Array, with_length: bool) -> pa.Array:
     offsets, hits, firsts, lengths = [0], [], [], []
-    for text, words in zip(texts.to_pylist(), keywords.to_pylist()):
-        text, words = text or "", words or []
+    for text, words in _pages(texts, keywords):
         counts, positions = count_hits(text.lower(), words)
         hits += counts
         firsts += positions
@@ -120,8 +127,7 @@ def _hits_with_length(texts: pa.Array, keywords: pa.Array) -> pa.Array:
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _snippets(texts: pa.Array, keywords: pa.Array) -> pa.Array:
     rows = []
-    for text, words in zip(texts.to_pylist(), keywords.to_pylist()):
-        text, words = text or "", words or []
+    for text, words in _pages(texts, keywords):
         _, positions = count_hits(text.lower(), words)
         rows.append([cut_snippet(text, w, p) for w, p in zip(words, positions)])
     return pa.array(rows, pa.list_(pa.string()))
