@@ -19,43 +19,37 @@ from docloom.session import with_checkpoints
 MAX_DISTANCE = fv.NEAR_DUPLICATE_BITS - 1
 BANDS = MAX_DISTANCE + 1  # two hashes within four bits agree on at least one of five bands
 HOT_BUCKET_ROWS = 2_000
-LEVELS = 3
+BUCKET = ["job_id", "mask", "value"]
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
+def _bit_counts() -> Column:
+    ones = [F.sum(F.shiftright("hash64", b).bitwiseAND(F.lit(1))) for b in range(64)]
+    return F.array(*ones)
 
 
-def _split(free: list[int]) -> list[list[int]]:
-    """The free bit numbers in five runs of near-equal length."""
-    size, extra = divmod(len(free), BANDS)
-    runs, at = [], 0
-    for i in range(BANDS):
-        step = size + (i < extra)
-        runs.append(free[at : at + step])
-        at += step
-    return runs
+def _band_masks() -> Column:
+    """Five masks, each fixing a fifth of the bits a bucket leaves free.
 
-
-def _children(mask: int) -> list[int]:
-    """Masks that fix one more band of the bits this mask leaves free."""
-    free = [b for b in range(64) if not mask >> b & 1]
-    return [mask | sum(1 << b for b in run) for run in _split(free) if run]
-
-
-def _mask_table(level: int) -> dict[int, list[int]]:
-    masks = [0]
-    for _ in range(level):
-        masks = [child for mask in masks for child in _children(mask)]
-    return {mask: _children(mask) for mask in masks}
+    The free bits are dealt out from the most to the least evenly filled, so that every
+    band gets its share of the bits that tell the members of this bucket apart.
+    """
+    return F.expr(
+        f"""transform(sequence(0, {BANDS - 1}), band -> aggregate(
+            filter(
+                array_sort(transform(
+                    filter(sequence(0, 63), b -> (shiftright(mask, b) & 1) = 0),
+                    b -> struct(abs(2 * ones[b] - n) as unevenness, b as bit))),
+                (free, i) -> i % {BANDS} = band),
+            mask, (fixed, free) -> fixed | shiftleft(1L, free.bit)))"""
+    )
 
 
-def _next_masks(level: int) -> Column:
-    table = _mask_table(level)
-    pairs = []
-    for mask, children in table.items():
-        pairs += [F.lit(_signed(mask)), F.array(*[F.lit(_signed(c)) for c in children])]
-    return F.element_at(F.create_map(*pairs), F.col("mask"))
+def _split(rows: DataFrame) -> DataFrame:
+    """Every row in the five narrower buckets of its bucket."""
+    shapes = rows.groupBy(*BUCKET).agg(F.count("*").alias("n"), _bit_counts().alias("ones"))
+    masks = shapes.select(*BUCKET, _band_masks().alias("masks"))
+    narrower = rows.join(masks, BUCKET).select("job_id", "hash64", "seq", F.explode("masks").alias("mask"))
+    return narrower.withColumn("value", F.col("hash64").bitwiseAND(F.col("mask")))
 
 
 def distinct_hashes(images: DataFrame) -> DataFrame:
@@ -66,39 +60,33 @@ def distinct_hashes(images: DataFrame) -> DataFrame:
 def _buckets(hashes: DataFrame) -> DataFrame:
     """Each hash in the buckets where it can meet its neighbours.
 
-    A bucket with more members than HOT_BUCKET_ROWS is split again by the bits its
+    A bucket with more than HOT_BUCKET_ROWS members is split again by the bits its
     members may still differ in: two members within four bits also agree on one of five
-    runs of those bits. No pair is lost and no candidate is dropped.
+    bands of those bits. No pair is lost and no candidate is dropped. Every split fixes a
+    fifth of the free bits, and ten free bits leave at most 1024 members, so the splitting
+    ends after a few rounds.
     """
-    level = hashes.withColumn("mask", F.lit(0).cast("bigint"))
+    with_checkpoints(hashes.sparkSession)
+    whole = F.lit(0).cast("bigint")
+    level = _split(hashes.withColumn("mask", whole).withColumn("value", whole)).checkpoint()
     done = []
-    for depth in range(LEVELS):
-        rows = level.select("job_id", "hash64", "seq", F.explode(_next_masks(depth)).alias("mask"))
-        rows = rows.withColumn("value", F.col("hash64").bitwiseAND(F.col("mask")))
-        if depth == LEVELS - 1:
-            done.append(rows)
-            break
-        hot = (
-            rows.groupBy("job_id", "mask", "value")
-            .count()
-            .filter(F.col("count") > HOT_BUCKET_ROWS)
-            .select("job_id", "mask", "value")
-        )
-        done.append(rows.join(hot, ["job_id", "mask", "value"], "left_anti").select(rows.columns))
-        level = rows.join(hot, ["job_id", "mask", "value"], "left_semi").select(
-            "job_id", "hash64", "seq", "mask"
-        )
-    return reduce(DataFrame.unionByName, done)
+    while True:
+        counts = level.groupBy(*BUCKET).agg(F.count("*").alias("n"))
+        hot = counts.filter(F.col("n") > HOT_BUCKET_ROWS).select(*BUCKET)
+        if hot.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, level])
+        done.append(level.join(hot, BUCKET, "left_anti"))
+        level = _split(level.join(hot, BUCKET, "left_semi")).checkpoint()
 
 
 def near_pairs(images: DataFrame) -> DataFrame:
     """job_id, earlier, later: pairs of distinct hashes fewer than five bits apart."""
     rows = _buckets(distinct_hashes(images))
-    left = rows.select("job_id", "mask", "value", F.col("seq").alias("earlier"), F.col("hash64").alias("h1"))
-    right = rows.select("job_id", "mask", "value", F.col("seq").alias("later"), F.col("hash64").alias("h2"))
+    left = rows.select(*BUCKET, F.col("seq").alias("earlier"), F.col("hash64").alias("h1"))
+    right = rows.select(*BUCKET, F.col("seq").alias("later"), F.col("hash64").alias("h2"))
     near = F.bit_count(F.col("h1").bitwiseXOR(F.col("h2"))) <= MAX_DISTANCE
     return (
-        left.join(right, ["job_id", "mask", "value"])
+        left.join(right, BUCKET)
         .filter((F.col("earlier") < F.col("later")) & near)
         .select("job_id", "earlier", "later")
         .distinct()

@@ -62,9 +62,9 @@ def signed(value):
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-@pytest.mark.parametrize("hot", [2_000, 3])
+@pytest.mark.parametrize("hot", [2_000, 20])
 def test_near_duplicates_equal_one_pass_in_order(spark, monkeypatch, hot):
-    """Clusters, chains and exact copies; with the small limit every bucket is split to the last level."""
+    """Clusters, chains and exact copies; with the small limit buckets are split again."""
     monkeypatch.setattr(near_duplicates, "HOT_BUCKET_ROWS", hot)
     rng = random.Random(3)
     centres = [rng.getrandbits(64) for _ in range(12)] + [0, (1 << 64) - 1]
