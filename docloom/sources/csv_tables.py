@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 
 
-def read_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
+def read_csv_rows(spark: SparkSession, folder: str, width: int | None = None) -> DataFrame:
     """source_file, row_index, cells. Row 0 is the header row.
 
+    Give the width of the widest file when files differ; shorter rows end in nulls.
+
     A file may be read in several splits: rows are numbered inside each split, and the
     splits of a file follow one another by their start. No row sequence passes one task.
     """
-    raw = spark.read.option("header", False).option("mode", "PERMISSIVE").csv(folder)
+    reader = spark.read.option("header", False).option("mode", "PERMISSIVE")
+    if width is not None:
+        reader = reader.schema(", ".join(f"_c{i} string" for i in range(width)))
+    raw = reader.csv(folder)
     cells = F.array(*[F.col(c) for c in raw.columns])
     located = raw.select(
         F.col("_metadata.file_path").alias("source_file"),

@@ -93,6 +93,14 @@ def test_csv_rows_keep_file_order_over_splits(spark, tmp_path):
     assert sorted(r["row_index"] for r in rows if r["source_file"] == "two.csv") == [0, 1]
 
 
+def test_csv_files_of_different_width(spark, tmp_path):
+    (tmp_path / "narrow.csv").write_text("a,b\n")
+    (tmp_path / "wide.csv").write_text("a,b,c,d\n")
+    rows = csv_tables.read_csv_rows(spark, str(tmp_path), width=4).collect()
+    got = {r["source_file"]: r["cells"] for r in rows}
+    assert got == {"narrow.csv": ["a", "b", None, None], "wide.csv": ["a", "b", "c", "d"]}
+
+
 def test_shared_folder_comes_from_the_session(spark):
     folder = session.shared_folder(spark)
     assert folder == session.shared_folder(spark)
