@@ -106,10 +106,9 @@ def image_category(value: Column) -> Column:
 
 def analyses(images: DataFrame, responses: DataFrame) -> DataFrame:
     """One analysis per image; failed or missing answers give a record with confidence 0."""
-    parsed = parse_analysis(responses.filter("error is null and response is not null"))
-    joined = images.select("image_id").join(parsed.select("image_id", "analysis"), "image_id", "left")
-    joined = joined.join(responses.filter("error is not null").select("image_id", "error"), "image_id", "left")
-    missing = F.col("analysis").isNull()
+    given = responses.select("image_id", "response", "error")
+    joined = parse_analysis(images.select("image_id").join(given, "image_id", "left"))
+    missing = F.col("error").isNotNull() | F.col("response").isNull() | F.col("analysis").isNull()
     why = F.coalesce("error", F.lit("no response"))
     a = F.col("analysis")
     return joined.select(
@@ -117,10 +116,10 @@ def analyses(images: DataFrame, responses: DataFrame) -> DataFrame:
         F.when(missing, F.concat(F.lit("Vision analysis unavailable: "), why)).otherwise(
             tx.or_empty(a["description"])
         ).alias("description"),
-        image_category(a["category"]).alias("category"),
-        F.coalesce(a["tags"], tx.no_strings()).alias("tags"),
-        F.coalesce(a["is_product"], F.lit(False)).alias("is_product"),
-        F.coalesce(a["is_service_related"], F.lit(False)).alias("is_service_related"),
-        F.coalesce(a["associations"], tx.no_strings()).alias("suggested_associations"),
+        image_category(F.when(~missing, a["category"])).alias("category"),
+        F.coalesce(F.when(~missing, a["tags"]), tx.no_strings()).alias("tags"),
+        F.coalesce(~missing & a["is_product"], F.lit(False)).alias("is_product"),
+        F.coalesce(~missing & a["is_service_related"], F.lit(False)).alias("is_service_related"),
+        F.coalesce(F.when(~missing, a["associations"]), tx.no_strings()).alias("suggested_associations"),
         F.when(missing, F.lit(0.0)).otherwise(F.coalesce(a["confidence"], F.lit(0.85))).alias("confidence"),
     )

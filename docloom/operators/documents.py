@@ -76,23 +76,26 @@ def text_start(pages: DataFrame, chars: int) -> DataFrame:
     return first.groupBy("doc_id").agg(F.substring(joined, 1, chars).alias("text"))
 
 
-def text_chars(pages: DataFrame) -> DataFrame:
-    """doc_id, chars: length of the stripped full text, without building it."""
+def _text_chars() -> Column:
+    """Length of a document's stripped full text, as an aggregate over its pages."""
+    text = F.col("text")
+    filled = F.coalesce(tx.strip(text) != "", F.lit(False))
     label = F.length(F.concat(F.lit("[Page "), "page_number", F.lit("]\n")))
-    sized = non_blank_pages(pages).select(
-        "doc_id",
-        "page_number",
-        (label + F.length("text")).alias("chars"),
-        (F.length("text") - F.length(F.rtrim(F.col("text"), F.lit(tx.BLANKS)))).alias("tail"),
-    )
-    totals = sized.groupBy("doc_id").agg(
-        F.sum("chars").alias("chars"), F.count("*").alias("n"), F.max_by("tail", "page_number").alias("tail")
-    )
-    return totals.select("doc_id", (F.col("chars") + (F.col("n") - 1) * 2 - F.col("tail")).alias("chars"))
+    tail = F.length(text) - F.length(F.rtrim(text, F.lit(tx.BLANKS)))
+    pages = F.count_if(filled)
+    total = F.sum(F.when(filled, label + F.length(text))) + (pages - 1) * 2
+    return total - F.max_by(tail, F.when(filled, F.col("page_number")))
+
+
+def text_chars(pages: DataFrame) -> DataFrame:
+    """doc_id, chars: length of the stripped full text, without building it; blank documents are left out."""
+    return pages.groupBy("doc_id").agg(_text_chars().alias("chars")).filter("chars is not null")
 
 
 def service_candidates(pages: DataFrame) -> DataFrame:
-    """Documents named .pdf or .docx with at least a hundred characters of text."""
-    names = pages.groupBy("doc_id").agg(tx.base_name(F.min("source_file")).alias("doc_name"))
-    named = names.filter(F.endswith("doc_name", F.lit(".pdf")) | F.endswith("doc_name", F.lit(".docx")))
-    return named.join(text_chars(pages), "doc_id").filter(F.col("chars") >= fv.MIN_SERVICE_TEXT_CHARS)
+    """doc_id, doc_name, chars of documents named .pdf or .docx with at least a hundred characters of text."""
+    documents = pages.groupBy("doc_id").agg(
+        tx.base_name(F.min("source_file")).alias("doc_name"), _text_chars().alias("chars")
+    )
+    named = F.endswith("doc_name", F.lit(".pdf")) | F.endswith("doc_name", F.lit(".docx"))
+    return documents.filter(named & (F.col("chars") >= fv.MIN_SERVICE_TEXT_CHARS))
