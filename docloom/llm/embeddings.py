@@ -2,10 +2,13 @@
 
 Vectors of unit length go to the inverted list of the nearest coarse centroid; residuals are
 coded by one codeword per subspace. A cosine of at least c is a distance of at most r. A
-vector probes every list that can hold such a neighbour (the plane halfway between two
-centroids is no further than r from it), compares itself with the codes there by table lookups
-(asymmetric distance less the coded vector's own coding error bounds the true distance from
-below) and with the vectors that pass by exact cosines. No link is lost, whatever the fit.
+vector probes every list that such a neighbour can lie in: the plane halfway between the two
+centroids is near enough. The neighbour lies r away at most, and in d dimensions a difference
+without preferred direction reaches r / sqrt(d) along one of them, so `sigmas` times that
+counts as near enough (r itself where sigmas * sigmas >= d; then no link can be lost). There
+the vector compares itself with the codes by table lookups (asymmetric distance less the coded
+vector's own coding error bounds the true distance from below, which loses nothing), and with
+the vectors that pass by exact cosines.
 """
 
 from __future__ import annotations
@@ -52,6 +55,7 @@ class Quantiser:
     centres: np.ndarray  # lists x padded dimension
     words: np.ndarray  # subspaces x words x width
     radius: float
+    reach: float  # how far the plane between two centroids may be for a probe
 
     def padded(self, vectors: np.ndarray) -> np.ndarray:
         short = self.centres.shape[1] - vectors.shape[1]
@@ -69,15 +73,15 @@ class Quantiser:
         return codes.astype(np.uint8), np.sqrt(table.min(axis=2).sum(axis=1))
 
     def probes(self, vectors: np.ndarray, own: np.ndarray, distances: np.ndarray) -> np.ndarray:
-        """For each vector and list after its own: whether a neighbour within the radius can lie there."""
+        """For each vector and list after its own: whether to look for neighbours there."""
         mine = distances[np.arange(len(vectors)), own]
         between = np.sqrt(_nearest(self.centres[own], self.centres))
         reach = (distances - mine[:, None]) / np.maximum(2 * between, 1e-12)
         later = np.arange(len(self.centres))[None, :] > own[:, None]
-        return later & ((reach <= self.radius + SLACK) | (between < 1e-9))
+        return later & ((reach <= self.reach + SLACK) | (between < 1e-9))
 
 
-def fit(vectors: np.ndarray, lists: int, radius: float, seed: int = 11) -> Quantiser:
+def fit(vectors: np.ndarray, lists: int, radius: float, sigmas: float = 4.0, seed: int = 11) -> Quantiser:
     """Coarse centroids and residual codewords from unit vectors; the fit only decides the cost."""
     rng = np.random.default_rng(seed)
     width = -(-vectors.shape[1] // SUBSPACES)
@@ -86,7 +90,7 @@ def fit(vectors: np.ndarray, lists: int, radius: float, seed: int = 11) -> Quant
     residuals = points - centres[_nearest(points, centres).argmin(axis=1)]
     parts = residuals.reshape(len(points), SUBSPACES, width)
     few = [kmeans(parts[:, s].copy(), WORDS, 6, rng) for s in range(SUBSPACES)]
-    return Quantiser(vectors.shape[1], centres, np.stack(few), radius)
+    return Quantiser(vectors.shape[1], centres, np.stack(few), radius, radius * min(1.0, sigmas / np.sqrt(vectors.shape[1])))
 
 
 def _clean(vectors: pd.Series, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +106,7 @@ def _clean(vectors: pd.Series, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(good, np.int64), np.array(rows).reshape(len(rows), dimension)
 
 
-def _train(rows: DataFrame, n: int, min_cosine: float, sample_rows: int, max_lists: int) -> Quantiser | None:
+def _train(rows: DataFrame, n: int, min_cosine: float, sigmas: float, sample_rows: int, max_lists: int) -> Quantiser | None:
     sample = rows.orderBy(F.xxhash64("row_id")).limit(sample_rows).select("embedding").toPandas()["embedding"]
     lengths = pd.Series([len(v) for v in sample if v is not None and len(v)], dtype="int64")
     if not len(lengths):
@@ -111,12 +115,12 @@ def _train(rows: DataFrame, n: int, min_cosine: float, sample_rows: int, max_lis
     _, vectors = _clean(sample, dimension)
     if not len(vectors):
         return None
-    lists = int(np.clip(np.sqrt(n), 1, min(max_lists, max(1, len(vectors) // 8))))
+    lists = int(np.clip(np.sqrt(n) / 4, 1, min(max_lists, max(1, len(vectors) // 8))))
     radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
-    return fit(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), lists, radius)
+    return fit(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), lists, radius, sigmas)
 
 
-def _place(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
+def _place(rows: DataFrame, quantiser: Quantiser, kind: str) -> DataFrame:
     """PLACED: each comparable vector in its own list, with its code, and in the lists it probes."""
     held = rows.sparkSession.sparkContext.broadcast(quantiser)
 
@@ -134,7 +138,7 @@ def _place(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
                 codes, errors = q.encode(unit - q.centres[own])
                 who, where = np.nonzero(q.probes(unit, own, distances))
                 all_rows, n = np.concatenate([np.arange(len(good)), who]), len(good)
-                raw = [v.tobytes() for v in vectors]
+                raw = [v.tobytes() for v in vectors.astype(kind)]
                 yield pd.DataFrame(
                     {
                         "row_id": part["row_id"].to_numpy()[good][all_rows],
@@ -150,29 +154,30 @@ def _place(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
     return rows.select("row_id", "label", "embedding").mapInPandas(place, PLACED)
 
 
-def compare(tile: pd.DataFrame, quantiser: Quantiser, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (positions in the tile) between its two sides, or within it where there is one side.
+def compare(tile: pd.DataFrame, quantiser: Quantiser, min_cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (positions in the tile pair) between its two tiles, or within the one tile.
 
-    Pairs need one row whose own list this is; two of them meet once, two visitors never.
+    The first tile has rows of the list; the second the same, others of the list, or visitors.
     """
-    side, own = tile["side"].to_numpy(), tile["own"].to_numpy(bool)
-    vectors = np.stack([np.frombuffer(v, np.float64) for v in tile["vector"]])
+    side = tile["side"].to_numpy()
+    within = tile["tile_a"].iloc[0] == tile["tile_b"].iloc[0]
+    members = np.flatnonzero(side == tile["tile_a"].iloc[0])
+    others = members if within else np.flatnonzero(side != tile["tile_a"].iloc[0])
+    if not len(members) or not len(others):
+        return members[:0], members[:0]
+    vectors = np.stack([np.frombuffer(v, kind) for v in tile["vector"]]).astype(np.float64)
     length = np.linalg.norm(vectors, axis=1)
-    centre = quantiser.centres[int(tile["list"].iloc[0])]
-    residuals = quantiser.padded(vectors / length[:, None]) - centre
-    members = np.flatnonzero(own)
-    codes = np.stack([np.frombuffer(c, np.uint8) for c in tile["code"].to_numpy()[members]]) if len(members) else None
-    if codes is None:
-        return members, members
+    residuals = quantiser.padded(vectors / length[:, None]) - quantiser.centres[int(tile["list"].iloc[0])]
+    codes = np.stack([np.frombuffer(c, np.uint8) for c in tile["code"].to_numpy()[members]])
     errors = tile["error"].to_numpy()[members]
     left, right = [], []
-    for start in range(0, len(tile), 64):
-        rows = np.arange(start, min(start + 64, len(tile)))
+    for start in range(0, len(others), 64):
+        rows = others[start : start + 64]
         table = quantiser.tables(residuals[rows])
         distance = sum(table[:, s, :][:, codes[:, s]] for s in range(codes.shape[1]))
         near = np.sqrt(distance) - errors[None, :] <= quantiser.radius + SLACK
-        near &= (side[rows][:, None] != side[members][None, :]) | (tile["tile_a"].iloc[0] == tile["tile_b"].iloc[0])
-        near &= ~own[rows][:, None] | (rows[:, None] < members[None, :])
+        if within:
+            near &= rows[:, None] < members[None, :]
         a, b = np.nonzero(near)
         a, b = rows[a], members[b]
         cosine = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (length[a] * length[b])
@@ -195,22 +200,33 @@ def _least_in_component(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _links(placed: DataFrame, quantiser: Quantiser, min_cosine: float, tile_rows: int) -> DataFrame:
-    """row_id, n_links, least: links found in each tile pair and a row each row is joined to there."""
+def _links(placed: DataFrame, quantiser: Quantiser, min_cosine: float, tile_rows: int, kind: str) -> DataFrame:
+    """row_id, n_links, least: links found in each pair of tiles and a row each row is joined to there.
+
+    The rows of a list fill its first tiles, the visitors the others, twice as many in each. Tiles of
+    the list meet each other and themselves, visitors' tiles those of the list only.
+    """
     held = placed.sparkSession.sparkContext.broadcast(quantiser)
     key = ["label", "list"]
-    sizes = placed.groupBy(*key).agg(F.count("*").alias("n"), F.max("own").alias("any_own")).filter("any_own and n > 1")
-    tiles = F.ceil(F.col("n") / tile_rows).cast("int")
-    tiled = placed.join(sizes, key).withColumn("tiles", tiles)
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("row_id"), F.col("tiles")).cast("int"))
-    paired = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        *key, "row_id", "own", "code", "error", "vector", F.col("tile").alias("side"),
-        F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
+    own = F.col("own")
+    tiles = lambda flag, rows: F.ceil(F.sum(flag.cast("int")) / rows).cast("int")
+    sizes = placed.groupBy(*key).agg(
+        tiles(own, tile_rows).alias("own_tiles"), tiles(~own, 2 * tile_rows).alias("visitor_tiles"), F.count("*").alias("n")
+    )
+    tiled = placed.join(sizes.filter("own_tiles > 0 and n > 1").drop("n"), key)
+    spread = F.xxhash64("row_id")
+    side = F.when(own, F.pmod(spread, F.col("own_tiles"))).otherwise(
+        F.col("own_tiles") + F.pmod(spread, F.col("visitor_tiles"))
+    )
+    met = F.when(own, F.col("own_tiles") + F.col("visitor_tiles")).otherwise(F.col("own_tiles"))
+    paired = tiled.withColumns({"side": side.cast("int"), "other": F.explode(F.sequence(F.lit(0), met - 1))}).select(
+        *key, "row_id", "code", "error", "vector", "side",
+        F.least("side", "other").alias("tile_a"), F.greatest("side", "other").alias("tile_b"),
     )
 
     def join_tile(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values("row_id", ignore_index=True)
-        a, b = compare(tile, held.value, min_cosine)
+        a, b = compare(tile, held.value, min_cosine, kind)
         n = np.bincount(np.concatenate([a, b]), minlength=len(tile))
         rows = tile["row_id"].to_numpy()
         out = pd.DataFrame({"row_id": rows, "n_links": n, "least": rows[_least_in_component(len(tile), a, b)]})
@@ -222,8 +238,9 @@ def _links(placed: DataFrame, quantiser: Quantiser, min_cosine: float, tile_rows
 def near_vectors(
     vectors: DataFrame,
     min_cosine: float = 0.93,
-    sample_rows: int = 32_768,
-    max_lists: int = 4096,
+    sigmas: float = 4.0,
+    sample_rows: int = 8_192,
+    max_lists: int = 1024,
     tile_rows: int = 128,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
@@ -234,8 +251,8 @@ def near_vectors(
     component_id is the least vec_id reachable; kept marks the row that carries it. Repeated rows
     are vectors of their own. A row without vec_id names no component (null if alone, then kept).
 
-    Lists number the root of the rows, up to max_lists, and are fitted on at most sample_rows
-    rows. A list is cut into tiles of about tile_rows rows, and every pair of tiles is one group:
+    Lists number a quarter of the root of the rows, up to max_lists, and are fitted on at most
+    sample_rows rows. A list is cut into tiles of about tile_rows rows, and pairs of tiles are groups:
     a list that holds a third of all rows is many small groups, and tasks hand back one row for
     each row of a tile, never pairs.
     """
@@ -245,12 +262,14 @@ def near_vectors(
         "vec_id", F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")
     ).withColumn("row_id", F.monotonically_increasing_id()).checkpoint()
     usable = rows.filter("label is not null and embedding is not null")
-    quantiser = _train(usable, usable.count(), min_cosine, sample_rows, max_lists)
+    quantiser = _train(usable, usable.count(), min_cosine, sigmas, sample_rows, max_lists)
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
     ids = rows.select("row_id", "vec_id")
     if quantiser is None:
         found = ids.select("row_id", F.lit(0).cast("bigint").alias("n_links"), F.col("row_id").alias("least")).limit(0)
     else:
-        found = _links(_place(usable, quantiser).checkpoint(), quantiser, min_cosine, tile_rows).checkpoint()
+        placed = _place(usable, quantiser, kind).checkpoint()
+        found = _links(placed, quantiser, min_cosine, tile_rows, kind).checkpoint()
     joined = components(found.select(F.col("row_id").alias("a"), F.col("least").alias("b")))
     counts = found.groupBy("row_id").agg(F.sum("n_links").alias("n_links"))
     rooted = ids.join(joined.withColumnRenamed("node", "row_id"), "row_id", "left")
