@@ -162,18 +162,22 @@ def _bands(spots: np.ndarray, number: np.ndarray, items: Items) -> list[tuple[in
     item, place, diagonal = item[some], place[some], (np.repeat(spots, times) - items.place[posting])[some]
     step = np.maximum(items.edits[item], 1)
     band = np.floor_divide(diagonal, step)
-    keys = np.stack([np.concatenate([item, item]), np.concatenate([band, band - 1]), np.concatenate([place, place])])
-    keys = np.unique(keys, axis=1) if keys.shape[1] else keys
-    if not keys.shape[1]:
+    if not len(band):
         return []
-    new = np.append(True, (keys[0, 1:] != keys[0, :-1]) | (keys[1, 1:] != keys[1, :-1]))
-    first = np.flatnonzero(new)
-    shared = np.diff(np.append(first, keys.shape[1]))
-    full = first[shared >= items.least[keys[0, first]]]
+    item, band, place = np.concatenate([item, item]), np.concatenate([band, band - 1]), np.concatenate([place, place])
+    low = band.min()
+    key = item * (band.max() - low + 1) + (band - low)
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    ends = np.append(starts[1:], len(key))
+    full = np.flatnonzero(ends - starts >= items.least[item[order[starts]]])
     out = []
-    for i, b in zip(keys[0, full].tolist(), keys[1, full].tolist(), strict=True):
-        k = max(int(items.edits[i]), 1)
-        out.append((i, b * k, (b + 2) * k - 1))
+    for first, last in zip(starts[full].tolist(), ends[full].tolist(), strict=True):
+        i, b = int(item[order[first]]), int(band[order[first]])
+        if len(np.unique(place[order[first:last]])) >= items.least[i]:
+            k = max(int(items.edits[i]), 1)
+            out.append((i, b * k, (b + 2) * k - 1))
     return out
 
 
