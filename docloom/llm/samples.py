@@ -14,10 +14,13 @@ def even_sample(labelled: DataFrame, per_label: int, total: int) -> DataFrame:
     """doc_id, label: at most per_label rows of each label and total rows, chosen by hash.
 
     labelled: doc_id, label. Rows without either are not chosen. The choice depends on ids
-    alone. Each task keeps per_label rows a label before the shuffle, so a label that a third
-    of all rows carry moves no more than any other.
+    alone. Labels are counted first; of a frequent one, ids are thinned by their hash to about
+    twice per_label before they are ranked, so no task sees all rows of a label.
     """
     known = labelled.select("doc_id", "label").filter("doc_id is not null and label is not null")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label)
+    counts = known.groupBy("label").agg(F.count("*").alias("n"))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000))
+    few = known.join(counts, "label").filter(spread * F.col("n") < F.lit(2_000_000_000 * per_label))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    ranked = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label)
     return ranked.orderBy("rank", "label").limit(total).select("doc_id", "label")
