@@ -126,7 +126,7 @@ def train(docs: DataFrame, per_language: int = 300, total: int = 3000, chars: in
         .limit(total)
         .toPandas()
     )
-    sample = sample[[has_letter(t) for t in sample["text"]]].sort_values(["doc_id", "lang", "text"])
+    sample = sample[np.array([has_letter(t) for t in sample["text"]], dtype=bool)].sort_values(["doc_id", "lang", "text"])
     return fit(sample["text"].tolist(), sample["lang"].tolist()) if len(sample) else None
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.sizing import broadcast_if_small
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")
@@ -20,7 +22,7 @@ def even_sample(labelled: DataFrame, per_label: int, total: int) -> DataFrame:
     known = labelled.select("doc_id", "label").filter("doc_id is not null and label is not null")
     counts = known.groupBy("label").agg(F.count("*").alias("n"))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000))
-    few = known.join(counts, "label").filter(spread * F.col("n") < F.lit(2_000_000_000 * per_label))
+    few = known.join(broadcast_if_small(counts), "label").filter(spread * F.col("n") < F.lit(2_000_000_000 * per_label))
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
     ranked = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label)
     return ranked.orderBy("rank", "label").limit(total).select("doc_id", "label")
