@@ -9,6 +9,7 @@ it stays a column expression.
 
 from __future__ import annotations
 
+import re
 import sys
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from docloom.functions import fixed_values as fv
 
 try:
     import ahocorasick
-except ImportError:  # same results by repeated search
+except ImportError:  # the same results by runs, also linear in the text
     ahocorasick = None
 
 # Ship these helpers with the job: executors need no installed package.
@@ -31,6 +32,8 @@ SIDE_CHARS = fv.SNIPPET_SIDE_CHARS
 # The frequency share is capped at the third hit, so no more are counted.
 COUNTED_HITS = 3
 _FEW = 8
+_HEAD = 3  # shorter words are searched one by one
+_RUN = re.compile(r"[^\W_]+")
 
 
 def _by_search(lowered: str, words: list[str]) -> tuple[list[int], list[int]]:
@@ -46,13 +49,42 @@ def _by_search(lowered: str, words: list[str]) -> tuple[list[int], list[int]]:
     return counts, firsts
 
 
+def _by_runs(lowered: str, words: list[str], counts: list[int], firsts: list[int], which: list[int]) -> None:
+    """Hits of words made of letters and digits: each lies within one run of these in the text.
+
+    A run that occurs often is searched once; work is linear in the text, with one look-up for each
+    place of a different run where a word of some length may begin.
+    """
+    index = {words[i]: i for i in which}
+    sizes: dict[str, set[int]] = {}
+    for word in index:
+        sizes.setdefault(word[:_HEAD], set()).add(len(word))
+    ordered = {head: tuple(sorted(some)) for head, some in sizes.items()}
+    seen: dict[str, list[int]] = {}
+    for match in _RUN.finditer(lowered):
+        run = match[0]
+        if run in seen:
+            seen[run][0] += 1
+        else:
+            seen[run] = [1, match.start()]
+    for run, (times, start) in seen.items():
+        free: dict[int, int] = {}  # hits of one word must not overlap
+        for at in range(len(run) - _HEAD + 1):
+            for size in ordered.get(run[at : at + _HEAD], ()):
+                i = index.get(run[at : at + size])
+                if i is not None and at >= free.get(i, 0):
+                    free[i] = at + size
+                    counts[i] = min(COUNTED_HITS, counts[i] + times)
+                    if firsts[i] == 0 or start + at + 1 < firsts[i]:
+                        firsts[i] = start + at + 1
+
+
 def _by_automaton(lowered: str, words: list[str]) -> tuple[list[int], list[int]]:
     automaton = ahocorasick.Automaton()
     for i, word in enumerate(words):
         automaton.add_word(word, (i, len(word)))
     automaton.make_automaton()
-    counts = [0] * len(words)
-    firsts = [0] * len(words)
+    counts, firsts = [0] * len(words), [0] * len(words)
     free_from = [0] * len(words)  # hits of one keyword must not overlap
     for end, (i, size) in automaton.iter(lowered):
         n = counts[i]
@@ -68,9 +100,21 @@ def _by_automaton(lowered: str, words: list[str]) -> tuple[list[int], list[int]]
 
 def count_hits(lowered: str, words: list[str]) -> tuple[list[int], list[int]]:
     """Hit counts (up to three) and 1-based first positions (0: none) of distinct words."""
-    if ahocorasick is None or len(words) <= _FEW:
+    if len(words) <= _FEW:
         return _by_search(lowered, words)
-    return _by_automaton(lowered, words)
+    if ahocorasick is not None:
+        return _by_automaton(lowered, words)
+    return _without_package(lowered, words)
+
+
+def _without_package(lowered: str, words: list[str]) -> tuple[list[int], list[int]]:
+    counts, firsts = [0] * len(words), [0] * len(words)
+    plain = [i for i, w in enumerate(words) if len(w) >= _HEAD and _RUN.fullmatch(w)]
+    _by_runs(lowered, words, counts, firsts, plain)
+    others = sorted(set(range(len(words))).difference(plain))
+    for i, n, first in zip(others, *_by_search(lowered, [words[i] for i in others])):
+        counts[i], firsts[i] = n, first
+    return counts, firsts
 
 
 def cut_snippet(text: str, keyword: str, position: int) -> str:

@@ -74,10 +74,11 @@ def entities(text: Column) -> Column:
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n neighbouring words joined by an underscore."""
     count = F.size(words) - (n - 1)
-    return F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), "_")),
-    ).otherwise(no_strings())
+    joined = F.slice(words, 1, F.greatest(count, F.lit(0)))
+    for k in range(1, n):
+        # neighbours side by side: the words are not looked up again for each position
+        joined = F.zip_with(joined, F.slice(words, k + 1, F.greatest(count, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))
+    return F.when(count > 0, joined).otherwise(no_strings())
 
 
 def keywords(text: Column) -> Column:

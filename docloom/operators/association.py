@@ -67,7 +67,7 @@ def name_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:
     texts = analyses.select(
         "job_id",
         "image_id",
-        F.explode(F.concat(F.array("description"), "suggested_associations")).alias("t"),
+        F.explode(F.concat(F.array("description"), F.coalesce("suggested_associations", F.array().cast("array<string>")))).alias("t"),
     ).select("job_id", "image_id", F.lower("t").alias("t")).filter("t is not null")
     names = items.select("job_id", "item_id", F.lower("name").alias("name")).filter("name <> ''")
 

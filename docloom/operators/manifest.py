@@ -1,7 +1,9 @@
 """Archive checks, member paths and file classification.
 
 Input manifest: job_id, member_path, member_size, header (first bytes, binary); optional
-sniffed_mime and inner_names (member names of a nested archive). Input archives:
+sniffed_mime, inner_names (member names of a nested archive) and archive_error. A row without
+member_path stands for the archive itself: with an error it could not be read, without one it
+is empty. An error on a row with a path is that member's. Input archives:
 job_id, archive_size. Everything works on rows of all jobs together.
 """
 
@@ -15,17 +17,28 @@ from docloom.functions import text as tx
 from docloom.functions.lookup import lookup
 
 
+def _error(manifest: DataFrame) -> Column:
+    return F.col("archive_error") if "archive_error" in manifest.columns else F.lit(None).cast("string")
+
+
 def check_archives(archives: DataFrame, manifest: DataFrame) -> DataFrame:
-    """job_id, members, unpacked_bytes, reject_reason (null when accepted); first failed limit wins."""
+    """job_id, members, unpacked_bytes, reject_reason (null when accepted); first failed limit wins.
+
+    An archive without any manifest row, or with an error of its own, is corrupt; a readable one
+    without members is accepted.
+    """
+    broken = F.col("member_path").isNull() & _error(manifest).isNotNull()
     totals = manifest.groupBy("job_id").agg(
-        F.count("*").alias("members"), F.sum("member_size").alias("unpacked_bytes")
+        F.count("member_path").alias("members"),
+        F.sum("member_size").alias("unpacked_bytes"),
+        F.coalesce(F.bool_or(broken), F.lit(False)).alias("broken"),
     )
     size = F.col("archive_size")
     ratio = F.col("unpacked_bytes") / size
     reason = (
         F.when(size.isNull(), "archive not found")
         .when(size > fv.MAX_ARCHIVE_BYTES, "archive size exceeds maximum")
-        .when(F.col("members").isNull(), "invalid or corrupted archive")
+        .when(F.col("members").isNull() | F.col("broken"), "invalid or corrupted archive")
         .when(F.col("members") > fv.MAX_ARCHIVE_MEMBERS, "too many files in archive")
         .when((size > 0) & (ratio > fv.MAX_COMPRESSION_RATIO), "suspicious compression ratio")
     )
@@ -47,17 +60,18 @@ def with_safe_path(manifest: DataFrame) -> DataFrame:
 
 
 def accepted_members(manifest: DataFrame) -> DataFrame:
-    """Members that become files: safe path, not a directory, at least one byte."""
+    """Members that become files: readable, safe path, not a directory, at least one byte."""
     return with_safe_path(manifest).filter(
-        F.col("path").isNotNull() & ~F.endswith("member_path", F.lit("/")) & (F.col("member_size") > 0)
+        F.col("path").isNotNull() & _error(manifest).isNull() & ~F.endswith("member_path", F.lit("/")) & (F.col("member_size") > 0)
     )
 
 
 def member_errors(manifest: DataFrame) -> DataFrame:
-    """job_id, member_path, error for dangerous paths and empty files."""
+    """job_id, member_path, error for unreadable archives (no path) and members, dangerous paths, empty files."""
     checked = with_safe_path(manifest)
     empty = ~F.endswith("member_path", F.lit("/")) & (F.col("member_size") <= 0)
-    error = F.when(
+    own = _error(manifest)
+    error = F.when(own.isNotNull(), own).when(
         F.col("path").isNull(), F.concat(F.lit("Skipped dangerous path: "), "member_path")
     ).when(empty, F.concat(F.lit("Empty file: "), "path"))
     return checked.select("job_id", "member_path", error.alias("error")).filter("error is not null")

@@ -53,8 +53,8 @@ def _split(rows: DataFrame) -> DataFrame:
 
 
 def distinct_hashes(images: DataFrame) -> DataFrame:
-    """job_id, hash64, seq: the earliest image of each hash."""
-    return images.groupBy("job_id", "hash64").agg(F.min("seq").alias("seq"))
+    """job_id, hash64, seq: the earliest image of each hash; images without a hash have no duplicate."""
+    return images.filter("hash64 is not null").groupBy("job_id", "hash64").agg(F.min("seq").alias("seq"))
 
 
 def _buckets(hashes: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def drop_near_duplicates(images: DataFrame) -> DataFrame:
 
     Rounds over the near pairs: an image all of whose earlier neighbours are dropped is
     kept, its later neighbours are dropped. A pair leaves the table as soon as either
-    side is decided, and each round ends in a checkpoint.
+    side is decided, and each round ends in a checkpoint. Images without a hash stay.
     """
     with_checkpoints(images.sparkSession)
     open_pairs = near_pairs(images).checkpoint()
@@ -121,4 +121,5 @@ def drop_near_duplicates(images: DataFrame) -> DataFrame:
             open_pairs = open_pairs.join(lost.withColumnRenamed("seq", side), ["job_id", side], "left_anti")
         open_pairs = open_pairs.checkpoint()
     keepers = distinct_hashes(images).join(dropped, ["job_id", "seq"], "left_anti")
-    return images.join(keepers.select("job_id", "seq"), ["job_id", "seq"], "left_semi")
+    hashed = images.filter("hash64 is not null").join(keepers.select("job_id", "seq"), ["job_id", "seq"], "left_semi")
+    return hashed.unionByName(images.filter("hash64 is null"))

@@ -17,15 +17,27 @@ from docloom.operators.numbering import number_rows
 POLICY_WORDS = ["policy", "warranty", "refund", "terms"]  # fixed values
 
 
-def upsert(base: DataFrame, updates: DataFrame, saved_at: Column) -> DataFrame:
-    """Insert or replace by job_id; a written row has the next version and a new saved_at."""
+def _last_edits(edits: DataFrame, keys: list[str], data: list[str], order: str | None) -> DataFrame:
+    """keys, data of the last edit by the order column, and how many edits there are (edits)."""
+    row = F.struct(*[F.col(c) for c in data])
+    last = F.max_by(row, F.col(order)) if order else F.max(row)
+    return edits.groupBy(*keys).agg(F.count("*").alias("edits"), last.alias("last")).select(*keys, "last.*", "edits")
+
+
+def upsert(base: DataFrame, updates: DataFrame, saved_at: Column, order: str | None = None) -> DataFrame:
+    """Insert or replace by job_id; a written row has a new saved_at, and its version counts its edits.
+
+    Several updates of one key apply in the order of a column: the last one stays. Without that
+    column the largest values stay.
+    """
     data = [c for c in base.columns if c not in ("job_id", "version", "saved_at")]
-    joined = base.alias("b").join(updates.withColumn("written", F.lit(True)).alias("u"), "job_id", "full")
-    written = F.coalesce("u.written", F.lit(False))
+    joined = base.alias("b").join(_last_edits(updates, ["job_id"], data, order).alias("u"), "job_id", "full")
+    edits = F.coalesce("u.edits", F.lit(0))
+    written = edits > 0
     return joined.select(
         "job_id",
         *[F.when(written, F.col(f"u.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in data],
-        (F.coalesce("b.version", F.lit(0)) + written.cast("int")).alias("version"),
+        (F.coalesce("b.version", F.lit(0)) + edits).alias("version"),
         F.when(written, saved_at).otherwise(F.col("b.saved_at")).alias("saved_at"),
     )
 
@@ -34,13 +46,16 @@ def delete(base: DataFrame, job_ids: DataFrame) -> DataFrame:
     return base.join(job_ids.select("job_id"), "job_id", "left_anti")
 
 
-def replace_services(services: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace whole services by (profile_id, ordinal); changes outside the list are ignored."""
+def replace_services(services: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Replace whole services by (profile_id, ordinal); changes outside the list are ignored.
+
+    Of several changes of one service the last in the order of a column stays.
+    """
     keys = ["profile_id", "ordinal"]
     data = [c for c in services.columns if c not in keys]
-    joined = services.alias("b").join(changes.withColumn("changed", F.lit(True)).alias("u"), keys, "left")
+    joined = services.alias("b").join(_last_edits(changes, keys, data, order).alias("u"), keys, "left")
     return joined.select(
-        *keys, *[F.when(F.col("u.changed"), F.col(f"u.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in data]
+        *keys, *[F.when(F.col("u.edits") > 0, F.col(f"u.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in data]
     )
 
 

@@ -69,27 +69,29 @@ CONTEXT = """string_agg('[Document: ' || {name} || ', Page ' || page_number || '
 
 _SQL: dict[str, str] = {
     # sources and sinks
-    "src2_archive_members": """
-        select 'page_' || page_id as job_id, m.path as member_path, m.size::bigint as member_size, m.header as header
-        from (select page_id, unnest([
-            {'path': 'site/page.html', 'size': octet_length(encode(html)), 'header': hex(encode(html))[1:32]},
-            {'path': 'site/address.txt', 'size': octet_length(encode(url)), 'header': hex(encode(url))[1:32]},
-            {'path': '../outside.txt', 'size': 1, 'header': '78'},
-            {'path': 'site/empty.pdf', 'size': 0, 'header': ''}]) as m from pages)""",
     "src4_profile_json": "select profile_id, job_id, business_type, name, email, city from v_profiles",
     "src5_discovery_store": "select job_id, path, file_type, file_size from v_files",
-    "src6_files_by_category": "select category, count(*) as files, sum(file_size)::bigint as bytes from v_files group by 1",
+    "src6_files_by_category": "select category, job_id, path, file_size from v_files",
     "src7_export": """
         select profile_id, ordinal, max(kv.value) filter (kv.key = 'name') as name, null::varchar as internal,
             (count(*) - 1)::bigint as keys from v_item_maps group by 1, 2""",
-    "src8_csv_rows": "select c_name as name, c_mktsegment as segment from customer",
+    "src8_csv_rows": """
+        select c_name as name, c_mktsegment || case when c_custkey % 7 = 0 then chr(10) || ', ' || c_name else '' end as segment,
+            3::bigint as n_cells, null::bigint as row_index from customer
+        union all select s_name, s_name || ' Ltd', 5, row_number() over (order by s_suppkey) - 1 from supplier""",
     # manifest and files
-    "fil1_archive_limits": "select job_id, archive_size, members, unpacked_bytes, reject_reason from v_checked",
+    "fil1_archive_limits": """
+        select job_id, archive_size, members, unpacked_bytes, reject_reason from v_checked
+        union all select 'archive_' || s_suppkey, 1000, (s_suppkey % 3 = 2)::bigint, case when s_suppkey % 3 = 2 then 9 end,
+            case when s_suppkey % 3 = 0 then 'invalid or corrupted archive' end from supplier""",
     "fil2_safe_path": "select job_id, member_path, path from v_paths",
     "fil3_member_errors": """
         select job_id, member_path, case when path is null then 'Skipped dangerous path: ' || member_path
             else 'Empty file: ' || path end as error from v_paths
-        where path is null or (not ends_with(member_path, '/') and member_size <= 0)""",
+        where path is null or (not ends_with(member_path, '/') and member_size <= 0)
+        union all select 'archive_' || s_suppkey, case when s_suppkey % 3 = 2 then 'docs/a.pdf' end,
+            case when s_suppkey % 3 = 2 then 'unreadable member: bad checksum' else 'invalid or corrupted archive: no directory' end
+        from supplier where s_suppkey % 3 <> 1""",
     "fil4_type_by_extension": f"""
         select path, {suffix('path')} as extension, {case_of(fv.TYPE_BY_EXTENSION, suffix('path'))} as file_type
         from v_paths where path is not null""",
@@ -176,12 +178,13 @@ _SQL: dict[str, str] = {
         select page_id, array_to_string({lowered(matches("url || ' ' || html", fv.URL_IN_TEXT))}, ' ') as urls from pages""",
     "kw6_prices": "select p_partkey, '$' || floor(p_retailprice)::bigint || '.50' as prices from part",
     "kw7_ngrams": f"""
-        select query_id, {ngrams('words', 2)} as bigrams, {ngrams('words', 3)} as trigrams
-        from (select query_id, {ORDERED} as words from (select query_id, {tokens('query')} as all_words from v_questions))""",
+        select doc_id, page_number, {ngrams('words', 2)} as bigrams, {ngrams('words', 3)} as trigrams
+        from (select doc_id, page_number, {ORDERED} as words
+            from (select doc_id, page_number, {tokens('text')} as all_words from v_pages))""",
     "kw8_keywords": f"select doc_id, page_number, {sorted_text(keywords('text'))} as keywords from v_pages",
     "kw9_capitalised": r"""
-        select query_id, array_to_string(list_filter(regexp_extract_all(query, '[\p{L}\p{N}_]+'),
-            lambda w: regexp_full_match(w, '[A-Z][a-z]+')), ' ') as names from v_questions""",
+        select doc_id, page_number, array_to_string(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'),
+            lambda w: regexp_full_match(w, '[A-Z][a-z]+')), ' ') as names from v_pages""",
     # index
     "idx1_page_postings": "select doc_id, page_number, keyword from v_keywords",
     "idx1_stored_postings": "select query_id, keyword, doc_id, page_number, relevance from v_found",
@@ -437,9 +440,10 @@ _SQL: dict[str, str] = {
     # profile store
     "pro1_upsert": """
         select coalesce(u.job_id, b.job_id) as job_id,
-            case when u.job_id is not null then u.business_name else b.business_name end as business_name,
-            case when u.job_id is not null then u.category else b.category end as category,
-            coalesce(b.version, 0) + (u.job_id is not null)::bigint as version,
+            case when u.job_id like '%3' then u.business_name || ' again'
+                when u.job_id is not null then u.business_name else b.business_name end as business_name,
+            case when u.job_id like '%3' then 'AGAIN' when u.job_id is not null then u.category else b.category end as category,
+            coalesce(b.version, 0) + (u.job_id is not null)::bigint + coalesce(u.job_id like '%3', false)::bigint as version,
             case when u.job_id is not null then '2024-02-01' else b.saved_at end as saved_at
         from v_store b full join v_edits u on b.job_id = u.job_id""",
     "pro2_delete": "select job_id, business_name from v_store where job_id not in (select job_id from v_edits)",

@@ -30,7 +30,7 @@ from docloom.operators import (
 from docloom.operators.numbering import number_rows
 from docloom.plans import views
 from docloom.session import new_folder
-from docloom.sources import archives, csv_tables, stores
+from docloom.sources import csv_tables, stores
 from docloom.streaming import ingest, job_status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,17 +61,6 @@ def sorted_text(column: Column | str, name: str) -> Column:
 # --- sources and sinks ---------------------------------------------------------
 
 
-@query
-def src2_archive_members(spark, d):
-    rows = archives.expand_archives(views.archive_files(spark, d))
-    return rows.select("job_id", "member_path", "member_size", F.hex("header").alias("header"))
-
-
-@query
-def src3_samples(spark, d):
-    return archives.list_samples(spark, d, "*.parquet")
-
-
 @query
 def src4_profile_json(spark, d):
     saved = views.profiles(spark, d)
@@ -91,17 +80,17 @@ def _files(spark, d):
 @query
 def src5_discovery_store(spark, d):
     folder = new_folder(spark, "discovery")
-    stores.write_discovery(_files(spark, d), folder)
+    for _ in range(2):  # a job written again replaces its records
+        stores.write_discovery(_files(spark, d), folder)
     return spark.read.parquet(folder).select("job_id", "path", "file_type", "file_size")
 
 
 @query
 def src6_files_by_category(spark, d):
     folder = new_folder(spark, "categories")
-    stores.write_by_category(_files(spark, d), folder)
-    return spark.read.parquet(folder).groupBy("category").agg(
-        F.count("*").alias("files"), F.sum("file_size").alias("bytes")
-    )
+    for _ in range(2):
+        stores.write_by_category(_files(spark, d), folder)
+    return spark.read.parquet(folder).select("category", "job_id", "path", "file_size")
 
 
 @query
@@ -118,25 +107,39 @@ def src7_export(spark, d):
 @query
 def src8_csv_rows(spark, d):
     folder = new_folder(spark, "csv")
-    lines = views.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    broken = F.when(F.col("c_custkey") % 7 == 0, F.concat("c_mktsegment", F.lit("\n, "), "c_name")).otherwise(F.col("c_mktsegment"))
+    lines = views.table(spark, d, "customer").select("c_custkey", "c_name", broken.alias("c_mktsegment"))
     lines.write.option("header", True).csv(folder)
+    wide = views.table(spark, d, "supplier").orderBy("s_suppkey").coalesce(1)
+    wide.select("s_suppkey", "s_name", F.concat("s_name", F.lit(" Ltd")), "s_nationkey", "s_nationkey").write.mode("append").csv(folder)
     rows = csv_tables.read_csv_rows(spark, folder)
-    return rows.select(F.element_at("cells", 2).alias("name"), F.element_at("cells", 3).alias("segment")).filter(
-        "name <> 'c_name'"
-    )
+    cell = lambda n: F.get("cells", F.lit(n))
+    return rows.filter(cell(1) != "c_name").select(
+        cell(1).alias("name"), cell(2).alias("segment"), big(F.size("cells"), "n_cells"),
+        F.when(F.size("cells") == 5, F.col("row_index")).alias("row_index"),
+    )
 
 
-@query
-def src9_usage(spark, d):
-    return stores.storage_usage(spark, d)
+# --- manifest and files ----------------------------------------------------------
 
 
-# --- manifest and files ----------------------------------------------------------
+def _with_damage(spark, d):
+    """Archives and members, and one small archive a supplier: unreadable, empty, or with a member that cannot be read."""
+    made = views.table(spark, d, "supplier").select(
+        F.concat(F.lit("archive_"), "s_suppkey").alias("job_id"),
+        F.when(F.col("s_suppkey") % 3 == 2, F.lit("docs/a.pdf")).alias("member_path"),
+        F.when(F.col("s_suppkey") % 3 == 2, F.lit(9)).cast("bigint").alias("member_size"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.lit("invalid or corrupted archive: no directory"))
+        .when(F.col("s_suppkey") % 3 == 2, F.lit("unreadable member: bad checksum")).alias("archive_error"),
+    )
+    sizes = made.select("job_id", F.lit(1000).cast("bigint").alias("archive_size"))
+    members = views.members(spark, d).unionByName(made, allowMissingColumns=True)
+    return views.archives(spark, d).unionByName(sizes), members
 
 
 @query
 def fil1_archive_limits(spark, d):
-    return manifest.check_archives(views.archives(spark, d), views.members(spark, d))
+    return manifest.check_archives(*_with_damage(spark, d))
 
 
 @query
@@ -146,7 +149,7 @@ def fil2_safe_path(spark, d):
 
 @query
 def fil3_member_errors(spark, d):
-    return manifest.member_errors(views.members(spark, d))
+    return manifest.member_errors(_with_damage(spark, d)[1])
 
 
 @query
@@ -404,9 +407,9 @@ def kw6_prices(spark, d):
 
 @query
 def kw7_ngrams(spark, d):
-    words = tx.tokens(F.col("query"))
-    return views.questions(spark, d).select(
-        "query_id", joined(tx.ngrams(words, 2), "bigrams"), joined(tx.ngrams(words, 3), "trigrams")
+    words = tx.tokens(F.col("text"))
+    return views.pages(spark, d).select(
+        "doc_id", "page_number", joined(tx.ngrams(words, 2), "bigrams"), joined(tx.ngrams(words, 3), "trigrams")
     )
 
 
@@ -417,7 +420,7 @@ def kw8_keywords(spark, d):
 
 @query
 def kw9_capitalised(spark, d):
-    return views.questions(spark, d).select("query_id", joined(tx.capitalised_words(F.col("query")), "names"))
+    return views.pages(spark, d).select("doc_id", "page_number", joined(tx.capitalised_words(F.col("text")), "names"))
 
 
 # --- index ---------------------------------------------------------------------------
@@ -694,12 +697,16 @@ def med12_unassociated(spark, d):
 
 
 def _doc_list(spark, d):
-    """Conversation files as the documents of jobs of ten files each."""
-    return views.table(spark, d, "conversations").select(
-        F.concat(F.lit("job_"), F.floor(F.col("conv_id") / 10)).alias("job_id"),
-        F.concat(F.lit("c"), "conv_id").alias("doc_id"),
-        F.col("conv_id").alias("doc_order"),
-    ).distinct()
+    """All files as the documents of jobs of ten conversation files, then ten document files, each."""
+
+    def files(name, key, letter, after):
+        return views.table(spark, d, name).select(
+            F.concat(F.lit("job_"), F.floor(F.col(key) / 10)).alias("job_id"),
+            F.concat(F.lit(letter), key).alias("doc_id"),
+            (F.col(key) + F.lit(after)).alias("doc_order"),
+        ).distinct()
+
+    return files("conversations", "conv_id", "c", 0).unionByName(files("documents", "doc_id", "d", 1 << 40))
 
 
 @query
@@ -989,7 +996,12 @@ def _edits(spark, d):
 
 @query
 def pro1_upsert(spark, d):
-    merged = profiles.upsert(_store(spark, d), _edits(spark, d), F.lit("2024-02-01"))
+    edits = _edits(spark, d).withColumn("edit_order", F.lit(0))
+    again = edits.filter("job_id like '%3'").select(
+        "job_id", F.concat("business_name", F.lit(" again")).alias("business_name"), F.lit("AGAIN").alias("category"),
+        F.lit(1).alias("edit_order"),
+    )
+    merged = profiles.upsert(_store(spark, d), again.unionByName(edits), F.lit("2024-02-01"), "edit_order")
     return merged.select("job_id", "business_name", "category", big("version", "version"), "saved_at")
 
 
@@ -1009,8 +1021,10 @@ def pro3_replace_services(spark, d):
     changes = views.table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("profile_id"), F.col("s_nationkey").cast("bigint").alias("ordinal"),
         F.lit("svc_new").alias("service_id"), F.col("s_name").alias("name"), F.lit("changed").alias("category"),
+        F.lit(1).alias("edit_order"),
     )
-    return profiles.replace_services(_dense_services(spark, d), changes)
+    earlier = changes.withColumns({"name": F.lit("overwritten"), "edit_order": F.lit(0)})
+    return profiles.replace_services(_dense_services(spark, d), changes.unionByName(earlier), "edit_order")
 
 
 @query

@@ -284,7 +284,8 @@ DEFINITIONS: dict[str, str] = {
         from v_items i join v_analyses a using (job_id)""",
     "v_docs": """
         select distinct 'job_' || (conv_id // 10) as job_id, 'c' || conv_id as doc_id, conv_id as doc_order
-        from conversations""",
+        from conversations
+        union all select distinct 'job_' || (doc_id // 10), 'd' || doc_id, doc_id + 1099511627776 from documents""",
     "v_full": f"""
         select doc_id, string_agg('[Page ' || page_number || ']' || chr(10) || text, chr(10) || chr(10) order by page_number)
             as text

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import struct
 import sys
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +26,12 @@ MEMBER_SCHEMA = (
 )
 
 
+# All that damaged bytes raise while an archive or a member is read.
+DAMAGED = (
+    zipfile.BadZipFile, zlib.error, struct.error, EOFError, ValueError, RuntimeError, OSError, NotImplementedError,
+)
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """path, modificationTime, length, content of every ZIP file below a folder."""
     return (
@@ -50,7 +58,7 @@ def _inner_names(archive: zipfile.ZipFile, info: zipfile.ZipInfo, head: bytes) -
     try:
         with archive.open(info) as stream, zipfile.ZipFile(stream) as inner:
             return inner.namelist()
-    except (zipfile.BadZipFile, RuntimeError, OSError):
+    except DAMAGED:
         return None
 
 
@@ -59,20 +67,34 @@ def _member_row(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple:
         with archive.open(info) as stream:
             head = stream.read(16)
         return info.filename, info.file_size, head, _inner_names(archive, info, head), None
-    except (zipfile.BadZipFile, RuntimeError, OSError, NotImplementedError) as broken:
+    except DAMAGED as broken:
         return info.filename, info.file_size, None, None, f"unreadable member: {broken}"
 
 
+def _within_limits(infos: list[zipfile.ZipInfo], size: int) -> bool:
+    """The limits on members and ratio, judged from the archive's directory alone."""
+    unpacked = sum(info.file_size for info in infos)
+    return len(infos) <= fv.MAX_ARCHIVE_MEMBERS and unpacked <= size * fv.MAX_COMPRESSION_RATIO
+
+
+def _archive_rows(content: bytes, size: int) -> list[tuple]:
+    """Rows without job_id and size; members of an archive beyond the limits are listed but not opened."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            infos = archive.infolist()
+            if not _within_limits(infos, size):
+                return [(info.filename, info.file_size, None, None, None) for info in infos]
+            return [_member_row(archive, info) for info in infos] or [(None, None, None, None, None)]
+    except DAMAGED as broken:
+        return [(None, None, None, None, f"invalid or corrupted archive: {broken}")]
+
+
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One manifest row per member; a member is read only as far as its first bytes or its own member list."""
     columns = [part.split()[0] for part in MEMBER_SCHEMA.split(", ")]
     for batch in batches:
         for job_id, size, content in zip(batch["job_id"], batch["length"], batch["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    rows = [(job_id, size, *_member_row(archive, info)) for info in archive.infolist()]
-            except zipfile.BadZipFile as broken:
-                rows = [(job_id, size, None, None, None, None, f"invalid or corrupted archive: {broken}")]
+            rows = [(job_id, size, *row) for row in _archive_rows(content, size)]
             yield pd.DataFrame(rows, columns=columns)
 
 
@@ -81,7 +103,7 @@ def with_job_id(archives: DataFrame) -> DataFrame:
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
-    """The member manifest; an unreadable archive gives one row with archive_error.
+    """The member manifest; an unreadable archive gives one row with archive_error, an empty one a row without path.
 
     Archives beyond the size limit are not opened: `check_archives` rejects them by size.
     """

@@ -2,45 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 
+_RAW = "_raw_row"
 
-def read_csv_rows(spark: SparkSession, folder: str, width: int | None = None) -> DataFrame:
-    """source_file, row_index, cells. Row 0 is the header row.
 
-    Give the width of the widest file when files differ; shorter rows end in nulls.
+def _cells_in(raw: Column) -> Column:
+    """Cells of a raw row: separators outside quotes, and one."""
+    return F.regexp_count(F.regexp_replace(raw, r'"[^"]*"', ""), F.lit(",")) + 1
+
+
+def _read(spark: SparkSession, folder: str, width: int) -> DataFrame:
+    """Rows as `width` columns; rows with another number of cells also carry their raw text."""
+    columns = [*(f"_c{i} string" for i in range(width)), f"{_RAW} string"]
+    return (
+        spark.read.schema(", ".join(columns))
+        .option("header", False)
+        .option("multiLine", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _RAW)
+        .csv(folder)
+    )
+
+
+def row_width(spark: SparkSession, folder: str) -> int:
+    """Cells of the widest row of a folder, counted over all rows."""
+    widest = _read(spark, folder, 1).agg(F.max(_cells_in(F.col(_RAW))), F.count("_c0")).first()[0]
+    return widest or 1
+
 
-    A file may be read in several splits: rows are numbered inside each split, and the
-    splits of a file follow one another by their start. No row sequence passes one task.
+def read_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """source_file, row_index, cells. Row 0 is the header row.
+
+    Each row has its own cells: files and rows of different width lose none and gain none, an
+    empty cell is null. A quoted cell may hold line breaks; for their sake a file is one split.
+    Rows are numbered inside each split, so no row sequence passes one task for several files.
     """
-    reader = spark.read.option("header", False).option("mode", "PERMISSIVE")
-    if width is not None:
-        reader = reader.schema(", ".join(f"_c{i} string" for i in range(width)))
-    raw = reader.csv(folder)
-    cells = F.array(*[F.col(c) for c in raw.columns])
+    raw = _read(spark, folder, row_width(spark, folder))
+    width = len(raw.columns) - 1
+    own = F.coalesce(F.least(_cells_in(F.col(_RAW)), F.lit(width)), F.lit(width))
     located = raw.select(
         F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("seen"),
-        cells.alias("cells"),
-    )
-    # rows of one split are consecutive, so its first number turns `seen` into a count
-    starts = located.groupBy("source_file", "split_start").agg(
-        F.min("seen").alias("first_seen"), F.count("*").alias("n")
+        F.slice(F.array(*[F.col(f"_c{i}") for i in range(width)]), F.lit(1), own).alias("cells"),
     )
-    before = (
-        "coalesce(sum(n) over (partition by source_file order by split_start"
-        " rows between unbounded preceding and 1 preceding), 0)"
-    )
-    starts = starts.selectExpr("source_file", "split_start", "first_seen", f"{before} as before_rows")
-    placed = located.join(starts, ["source_file", "split_start"])
+    # rows of one file are consecutive, so its first number turns `seen` into a count
+    starts = located.groupBy("source_file").agg(F.min("seen").alias("first_seen"))
+    placed = located.join(starts, "source_file")
     return placed.select(
         tx.base_name(F.col("source_file")).alias("source_file"),
-        (F.col("before_rows") + F.col("seen") - F.col("first_seen")).alias("row_index"),
+        (F.col("seen") - F.col("first_seen")).alias("row_index"),
         "cells",
     )
-
-

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.profiles import export_json
+from docloom.session import with_checkpoints
 
 BUCKETS = 64
 
@@ -30,16 +31,53 @@ def _write(df: DataFrame, folder: str, folders: list[str], sort_by: str, mode: s
     )
 
 
-def write_discovery(files: DataFrame, folder: str, buckets: int = BUCKETS, mode: str = "append") -> None:
-    """Discovery records by job bucket."""
-    keyed = files.withColumn("job_bucket", bucket(F.col("job_id"), buckets))
-    _write(keyed, folder, ["job_bucket"], "job_id", mode)
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
 
+def _replace_jobs(files: DataFrame, folder: str, folders: list[str], buckets: int) -> None:
+    """Write the records of the jobs in files in place of their earlier ones.
 
-def write_by_category(files: DataFrame, folder: str, buckets: int = BUCKETS, mode: str = "append") -> None:
-    """Files placed in a folder per category."""
+    Only the job buckets that these jobs fall into are read and written again; the other jobs of
+    such a bucket come through. The new rows are cut off from the folder by a checkpoint before
+    they replace it, and a folder that loses its last row is removed.
+    """
+    spark = files.sparkSession
     keyed = files.withColumn("job_bucket", bucket(F.col("job_id"), buckets))
-    _write(keyed, folder, ["category", "job_bucket"], "job_id", mode)
+    store, path = _path(spark, folder)
+    if not store.exists(path):
+        _write(keyed, folder, folders, "job_id", "overwrite")
+        return
+    with_checkpoints(spark)
+    written = keyed.checkpoint()
+    touched = written.select("job_bucket").distinct()  # at most `buckets` rows
+    stored = spark.read.parquet(folder).select(keyed.columns)
+    before = stored.join(F.broadcast(touched), "job_bucket", "left_semi").checkpoint()
+    after = before.join(written.select("job_id").distinct(), "job_id", "left_anti").select(keyed.columns)
+    after = after.unionByName(written).checkpoint()
+    emptied = before.select(*folders).distinct().exceptAll(after.select(*folders).distinct()).collect()
+    (
+        after.hint("rebalance", *folders)
+        .sortWithinPartitions(*folders, "job_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*folders)
+        .parquet(folder)
+    )
+    for row in emptied:
+        gone = "/".join(f"{name}={row[name]}" for name in folders)
+        store.delete(_path(spark, f"{folder}/{gone}")[1], True)
+
+
+def write_discovery(files: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Discovery records by job bucket; a job written again replaces its records."""
+    _replace_jobs(files, folder, ["job_bucket"], buckets)
+
+
+def write_by_category(files: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Files placed in a folder per category; a job written again replaces its files."""
+    _replace_jobs(files, folder, ["category", "job_bucket"], buckets)
 
 
 def write_postings(postings: DataFrame, folder: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:

@@ -139,3 +139,17 @@ def test_associations_equal_all_pairs(spark):
 def test_tag_overlap(spark, a, b, share):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     assert df.select(association.tag_overlap(F.col("a"), F.col("b"))).first()[0] == pytest.approx(share)
+
+
+def test_images_without_hash_are_no_duplicates(spark):
+    rows = [("j", "a", 1, 5), ("j", "b", 2, None), ("j", "c", 3, None), ("j", "d", 4, 5)]
+    images = spark.createDataFrame(rows, "job_id string, image_id string, seq long, hash64 long")
+    kept = near_duplicates.drop_near_duplicates(images).collect()
+    assert sorted(r["image_id"] for r in kept) == ["a", "b", "c"]
+
+
+def test_a_missing_list_keeps_the_description(spark):
+    items = spark.createDataFrame([("j", "i1", "red chair")], "job_id string, item_id string, name string")
+    kind = "job_id string, image_id string, description string, suggested_associations array<string>"
+    analyses = spark.createDataFrame([("j", "p1", "A red chair", None)], kind)
+    assert [r["image_id"] for r in association.name_matches(items, analyses).collect()] == ["p1"]

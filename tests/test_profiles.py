@@ -106,3 +106,14 @@ def test_profile_parts_hold_all_services(spark):
     assert [len(r["services"] or []) for r in got] == [10, 10, 5, 0]
     assert [s["ordinal"] for r in got[:3] for s in r["services"]] == list(range(25))
     assert (got[0]["llm_calls"], got[3]["llm_calls"]) == (5, 2)
+
+
+def test_edits_of_one_key_apply_in_order(spark):
+    base = spark.createDataFrame([("a", "old", 3, "t0"), ("b", "kept", 1, "t0")], "job_id string, name string, version int, saved_at string")
+    edits = spark.createDataFrame([("a", "last", 2), ("a", "first", 1), ("c", "new", 1)], "job_id string, name string, at int")
+    rows = sorted(map(tuple, profiles.upsert(base, edits, F.lit("t1"), "at").collect()))
+    assert rows == [("a", "last", 5, "t1"), ("b", "kept", 1, "t0"), ("c", "new", 1, "t1")]
+    services = spark.createDataFrame([(1, 0, "x"), (1, 1, "y")], "profile_id long, ordinal long, name string")
+    changes = spark.createDataFrame([(1, 0, "second", 2), (1, 0, "first", 1), (9, 0, "none", 1)], "profile_id long, ordinal long, name string, at int")
+    replaced = profiles.replace_services(services, changes, "at").collect()
+    assert sorted(map(tuple, replaced)) == [(1, 0, "second"), (1, 1, "y")]

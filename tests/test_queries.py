@@ -25,7 +25,7 @@ def database():
 
 def test_contract():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(QUERIES) <= set(contract.queries()) and set(QUERIES) - set(ORACLES) == {"src3_samples", "src9_usage"}
+    assert set(QUERIES) <= set(contract.queries()) and set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
@@ -38,8 +38,3 @@ def test_query_equals_sql(spark, database, name):
     import check_oracles
 
     assert check_oracles.compare(spark, database, str(DATA), name).startswith("ok")
-
-
-@pytest.mark.parametrize("name", ["src3_samples", "src9_usage"])
-def test_file_metadata_queries(spark, name):
-    assert contract.queries()[name](spark, str(DATA)).count() == 14

@@ -96,9 +96,50 @@ def test_csv_rows_keep_file_order_over_splits(spark, tmp_path):
 def test_csv_files_of_different_width(spark, tmp_path):
     (tmp_path / "narrow.csv").write_text("a,b\n")
     (tmp_path / "wide.csv").write_text("a,b,c,d\n")
-    rows = csv_tables.read_csv_rows(spark, str(tmp_path), width=4).collect()
-    got = {r["source_file"]: r["cells"] for r in rows}
-    assert got == {"narrow.csv": ["a", "b", None, None], "wide.csv": ["a", "b", "c", "d"]}
+    (tmp_path / "mixed.csv").write_text('a,b\n1,2,3\n"x\ny",4\n,\n1,"p,q","r\ns",4,5,6\n')
+    rows = csv_tables.read_csv_rows(spark, str(tmp_path)).collect()
+    got = {(r["source_file"], r["row_index"]): r["cells"] for r in rows}
+    assert got == {
+        ("narrow.csv", 0): ["a", "b"],
+        ("wide.csv", 0): ["a", "b", "c", "d"],
+        ("mixed.csv", 0): ["a", "b"],
+        ("mixed.csv", 1): ["1", "2", "3"],
+        ("mixed.csv", 2): ["x\ny", "4"],
+        ("mixed.csv", 3): [None, None],
+        ("mixed.csv", 4): ["1", "p,q", "r\ns", "4", "5", "6"],
+    }
+
+
+def test_a_job_written_again_replaces_its_records(spark, tmp_path):
+    kind = "job_id string, path string, category string, file_size long"
+    first = [(f"j{i}", f"p{k}", "document" if k else "image", 1) for i in range(30) for k in range(3)]
+    second = [("j3", "p9", "document", 2), ("j77", "p0", "image", 2)]
+    want = sorted([r for r in first if r[0] != "j3"] + second)
+    for write, folder in ((stores.write_discovery, "d"), (stores.write_by_category, "c")):
+        for rows in (first, first, second, second):
+            write(spark.createDataFrame(rows, kind), str(tmp_path / folder), buckets=4)
+        stored = spark.read.parquet(str(tmp_path / folder)).select("job_id", "path", "category", "file_size")
+        assert sorted(map(tuple, stored.collect())) == want
+
+
+def test_damaged_and_empty_archives_are_told_apart(spark, tmp_path):
+    good = packed([("a.txt", "hello " * 50), ("b.txt", "world " * 50)])
+    at = good.index(b"a.txt") + len(b"a.txt")  # the first compressed byte; no block of this type exists
+    (tmp_path / "damaged.zip").write_bytes(good[:at] + b"\xff" + good[at + 1 :])
+    (tmp_path / "good.zip").write_bytes(good)
+    (tmp_path / "empty.zip").write_bytes(packed([]))
+    (tmp_path / "junk.zip").write_bytes(b"no archive")
+    (tmp_path / "many.zip").write_bytes(packed([(f"f{i}", "x") for i in range(101)]))
+    found = archives.read_archives(spark, str(tmp_path))
+    members = archives.expand_archives(found)
+    checked = {r.job_id: r for r in manifest.check_archives(archives.archive_table(found), members).collect()}
+    reasons = {k: r.reject_reason for k, r in checked.items()}
+    assert reasons["good"] is reasons["empty"] is reasons["damaged"] is None and checked["empty"].members == 0
+    assert "corrupt" in reasons["junk"] and "too many" in reasons["many"]
+    errors = {(r.job_id, r.member_path): r.error for r in manifest.member_errors(members).collect()}
+    assert set(errors) == {("junk", None), ("damaged", "a.txt")} and "unreadable member" in errors[("damaged", "a.txt")]
+    files = manifest.discover(archives.archive_table(found), members)
+    assert sorted((r.job_id, r.path) for r in files.collect()) == [("damaged", "b.txt"), ("good", "a.txt"), ("good", "b.txt")]
 
 
 def test_shared_folder_comes_from_the_session(spark):
