@@ -14,6 +14,7 @@ ANALYSIS_SCHEMA = (
     " is_service_related boolean, associations array<string>, confidence double"
 )
 FENCE = "```"
+FAQS = "array<struct<question:string,answer:string>>"
 
 
 def fenced_json(response: Column) -> Column:
@@ -55,6 +56,10 @@ def services(parsed: DataFrame) -> DataFrame:
         value = _text_field(path)
         return F.when(has_text(value), value).otherwise(default)
 
+    def or_empty(path: str, kind: str, empty: Column) -> Column:
+        """Missing parts, and parts of another shape, are empty."""
+        return F.coalesce(F.try_variant_get("data", path, kind), empty)
+
     price = F.try_variant_get("data", "$.price", "double")
     priced = has_number(price)
     name = F.replace(F.replace("doc_name", F.lit(".pdf"), F.lit("")), F.lit(".docx"), F.lit(""))
@@ -68,12 +73,26 @@ def services(parsed: DataFrame) -> DataFrame:
         F.when(priced, price).alias("base_price"),
         F.when(priced, F.coalesce(_text_field("$.currency"), F.lit("INR"))).alias("currency"),
         F.when(priced, F.lit("per unit")).alias("price_type"),
+        or_empty("$.details", "map<string,string>", F.create_map().cast("map<string,string>")).alias("details"),
+        or_empty("$.inclusions", "array<string>", tx.no_strings()).alias("inclusions"),
+        or_empty("$.exclusions", "array<string>", tx.no_strings()).alias("exclusions"),
         _text_field("$.policies.cancellation").alias("cancellation_policy"),
+        or_empty("$.faqs", FAQS, F.array().cast(FAQS)).alias("faqs"),
         F.array(F.lower(F.coalesce(_text_field("$.category"), F.lit("business")))).alias("tags"),
     )
     return named_services(rows)
 
 
+def company_info(parsed: DataFrame) -> DataFrame:
+    """Name, description, category and contact of a company; all null where the answer is no object.
+
+    Input: key columns and data, from `parse_fenced`.
+    """
+    fields = ("name", "description", "category", "email", "phone", "website")
+    kept = [c for c in parsed.columns if c not in ("data", "response", *fields)]
+    return parsed.select(*kept, *[_text_field(f"$.{f}").alias(f) for f in fields])
+
+
 def named_services(rows: DataFrame) -> DataFrame:
     return rows.filter(has_text(F.col("name")))
 

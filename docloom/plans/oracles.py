@@ -363,8 +363,15 @@ _SQL: dict[str, str] = {
             coalesce(nullif(data->>'$.description', ''), 'Business offering - ' || doc_name) as description,
             coalesce(nullif(data->>'$.category', ''), 'General') as category, nullif((data->>'$.price')::double, 0) as base_price,
             case when {nonzero("(data->>'$.price')::double")} then 'INR' end as currency,
-            data->>'$.policies.cancellation' as cancellation_policy, lower(coalesce(data->>'$.category', 'business')) as tags
+            data->>'$.policies.cancellation' as cancellation_policy, lower(coalesce(data->>'$.category', 'business')) as tags,
+            coalesce(array_to_string(data->>'$.inclusions[*]', ' '), '') as inclusions,
+            coalesce(array_to_string(data->>'$.exclusions[*]', ' '), '') as exclusions,
+            coalesce('seats=' || (data->>'$.details.seats') || ' size=' || (data->>'$.details.size'), '') as details,
+            coalesce((data->>'$.faqs[0].question') || '?' || (data->>'$.faqs[0].answer'), '') as faqs
         from v_fenced""",
+    "llm3_company_info": """
+        select doc_id, data->>'$.name' as name, data->>'$.description' as description, data->>'$.category' as category,
+            data->>'$.email' as email, data->>'$.phone' as phone, data->>'$.website' as website from v_fenced""",
     "llm11_named_services": "select profile_id, service_id, name from v_services where coalesce(name, '') <> ''",
     "llm12_assembled_profiles": """
         select profile_id, job_id, business_type, p.name as business_name, 0::bigint as part, coalesce(services, '') as services,

@@ -784,10 +784,19 @@ def llm9_analyses(spark, d):
 def llm10_services(spark, d):
     return answers.services(_parsed(spark, d)).select(
         "doc_id", "service_id", "name", "description", "category", "base_price", "currency", "cancellation_policy",
-        joined("tags", "tags"),
+        joined("tags", "tags"), joined("inclusions", "inclusions"), joined("exclusions", "exclusions"),
+        joined(F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat_ws("=", e["key"], e["value"])), "details"),
+        joined(F.transform("faqs", lambda f: F.concat_ws("?", f["question"], f["answer"])), "faqs"),
     )
 
 
+@query
+def llm3_company_info(spark, d):
+    return answers.company_info(_parsed(spark, d)).select(
+        "doc_id", "name", "description", "category", "email", "phone", "website"
+    )
+
+
 @query
 def llm11_named_services(spark, d):
     return answers.named_services(views.services(spark, d)).select("profile_id", "service_id", "name")

@@ -107,7 +107,10 @@ _EVENT = (
     """ || '", "tags": ["t' || (user_id % 7) || '", "' || event_type || '"], "is_product": '"""
     """ || case when event_id % 2 = 0 then 'true' else 'false' end"""
     """ || ', "price": ' || case when event_id % 3 = 0 then '0' else (event_id % 50)::varchar end"""
-    """ || ', "policies": {"cancellation": "c' || (event_id % 4) || '"}, "confidence": 0.' || (10 + event_id % 90) || '}'"""
+    """ || ', "policies": {"cancellation": "c' || (event_id % 4) || '"}, "confidence": 0.' || (10 + event_id % 90)"""
+    """ || ', "details": {"size": "s' || (event_id % 5) || '", "seats": ' || (event_id % 9) || '}, "inclusions": ["i'"""
+    """ || (event_id % 3) || '", "lunch"], "exclusions": ["x' || (user_id % 3) || '"], "faqs": [{"question": "q'"""
+    """ || (event_id % 2) || '", "answer": "a"}], "email": "e' || (user_id % 9) || '@example.com"}'"""
 )
 
 # name -> SQL; a definition may use the names before it

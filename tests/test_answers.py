@@ -97,3 +97,18 @@ def test_business_type_and_company_text(spark):
     assert kinds == {"j": "service", "k": "product", "l": "service"}
     inputs = {r["job_id"]: r["input"] for r in prompts.company_requests(docs, pages).collect()}
     assert inputs["j"] == "[Page 1]\nWe sell[Page 1]\nmountain HIKES" and inputs["k"] == "[Page 2]\nan item"
+
+
+def test_service_parts_and_company_info(spark):
+    rows = [
+        (1, "a.pdf", '{"details": {"seats": 4, "age": "8+"}, "inclusions": ["lunch"], "faqs": [{"question": "Q", "answer": "A"}], "email": "a@b.c"}'),
+        (2, "b.pdf", '{"details": "none", "inclusions": null, "faqs": 3, "name": "B"}'),
+        (3, "c.pdf", "nothing"),
+    ]
+    parsed = answers.parse_fenced(spark.createDataFrame(rows, "doc_id long, doc_name string, response string"))
+    got = {r["doc_id"]: r for r in answers.services(parsed).collect()}
+    assert got[1]["details"] == {"seats": "4", "age": "8+"} and got[1]["inclusions"] == ["lunch"] and got[1]["exclusions"] == []
+    assert [tuple(f) for f in got[1]["faqs"]] == [("Q", "A")]
+    assert all(got[i][c] in ({}, []) for i in (2, 3) for c in ("details", "inclusions", "exclusions", "faqs"))
+    company = {r["doc_id"]: r for r in answers.company_info(parsed).collect()}
+    assert company[1]["email"] == "a@b.c" and company[2]["name"] == "B" and company[3]["name"] is None
