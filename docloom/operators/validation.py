@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed_values as fv
 from docloom.functions.lookup import has_items, has_number, has_text
 
-SERVICE_FIELDS = [
-    "name", "description", "category", "pricing", "details", "itinerary", "inclusions", "exclusions",
-    "cancellation_policy", "payment_policy", "travel_info", "faqs", "tags",
-]
-
 
 def is_email(value: Column) -> Column:
     return value.rlike(fv.EMAIL_ADDRESS)

@@ -169,9 +169,9 @@ DEFINITIONS: dict[str, str] = {
             {_K} + 1 as page_number,
             'Order ' || {_K} || ' has priority ' || o_orderpriority || ' and status ' || o_orderstatus as text,
             [[
-              ([['Item','Price','Quantity'], ['Day','Time','Activity'], ['Feature','Specification','Value'],
-                ['Dish','Course','Category'], ['Product ','Stock','Available'], ['Column A','Column B',null],
-                ['Menu Item','Description','Category'], ['Separate','  Note  ','Kind']])[{_K} % 8 + 1],
+              ([['Voyage','Price of a berth','Berths left'], ['Leg','Day of travel','Harbour'], ['Engine','Specification','Unit'],
+                ['Dish','Course','Category'], ['Barrel ','Stock','Cellar'], ['Left half','Right half',null],
+                ['House menu','Feature','Season'], ['Separate','  Note  ','Kind']])[{_K} % 8 + 1],
               [' ' || o_orderpriority || '  ',
                case when {_K} % 3 = 0 then '$ ' || {_PRICE} else {_PRICE}::varchar end,
                case when {_K} % 7 = 0 then null else o_orderstatus end],

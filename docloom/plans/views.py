@@ -90,9 +90,9 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
 def table_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as pages with three raw tables each; headers, blanks, nulls and widths vary by order."""
     headers = """array(
-        array('Item','Price','Quantity'), array('Day','Time','Activity'), array('Feature','Specification','Value'),
-        array('Dish','Course','Category'), array('Product ','Stock','Available'), array('Column A','Column B',null),
-        array('Menu Item','Description','Category'), array('Separate','  Note  ','Kind'))[o_orderkey % 8]"""
+        array('Voyage','Price of a berth','Berths left'), array('Leg','Day of travel','Harbour'), array('Engine','Specification','Unit'),
+        array('Dish','Course','Category'), array('Barrel ','Stock','Cellar'), array('Left half','Right half',null),
+        array('House menu','Feature','Season'), array('Separate','  Note  ','Kind'))[o_orderkey % 8]"""
     price = "cast(floor(o_totalprice) as bigint)"
     first = f"""array(concat(' ', o_orderpriority, '  '),
         case when o_orderkey % 3 = 0 then concat('$ ', {price}) else cast({price} as string) end,

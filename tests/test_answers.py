@@ -23,7 +23,7 @@ def test_json_in_prose(spark):
     assert got["category"] == "product"
 
 
-@pytest.mark.parametrize("response", ["This is not JSON at all", '{"a": 1} and {"b": 2}', '{"open": '])
+@pytest.mark.parametrize("response", ["no object in these words", '{"a": 1} and {"b": 2}', '{"open": '])
 def test_unreadable_answer(spark, response):
     got = analysis(spark, response)
     assert (got["description"], got["category"], got["confidence"]) == (response, "other", 0.5)
