@@ -24,20 +24,27 @@ BITS = 64
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle_words: int) -> int:
-    """Signed 64-bit SimHash of one text; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle_words: int) -> list[int]:
+    """XXH64 of each shingle of one text, repeats included; empty for a text without words."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space count
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(shingle_words, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = [
+    return [
         digest(joined[a:b], 42)
         for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     ]
+
+
+def fingerprint(text: str | None, shingle_words: int) -> int:
+    """Signed 64-bit SimHash of one text; 0 for a text without words."""
+    hashes = shingle_hashes(text, shingle_words)
+    if not hashes:
+        return 0
     octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
     packed = np.packbits(2 * ones > len(hashes), bitorder="little")
@@ -194,13 +201,12 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def keep_one(docs: DataFrame, radius: int = 2, shingle_words: int = 5, hot_rows: int = 256) -> DataFrame:
-    """One row of docs for each near-duplicate group, all columns: that with the least doc_id.
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs for each group of groups (doc_id, text_hash, group_id), all columns: that with the least doc_id.
 
     Rows without doc_id come last. Among rows that share the least doc_id the text with the least
     hash stays, and of repeated rows one. Texts pass one shuffle, by document.
     """
-    groups = near_groups(docs, radius, shingle_words, hot_rows)
     key = ["no_id", "id", "text_hash"]
     own = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id")]
     first = groups.groupBy("group_id").agg(F.min(F.struct(*own, "text_hash")).alias("first"))

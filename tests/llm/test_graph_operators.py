@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import embeddings, simhash
+from docloom.llm import embeddings, near_copies, simhash
 from docloom.llm.components import components
 
 
@@ -77,7 +77,7 @@ def test_simhash_equals_brute_force(spark):
     for hot in (256, 2):
         rows = simhash.near_groups(frame, 2, 3, hot).select("doc_id", "fingerprint", "component_id").collect()
         assert sorted(map(tuple, rows), key=str) == want
-    kept = simhash.keep_one(frame, 2, 3).collect()
+    kept = simhash.keep_one(frame, simhash.near_groups(frame, 2, 3)).collect()
     assert len(kept) == len(set(roots.values()))
 
 
@@ -95,9 +95,53 @@ def test_simhash_of_odd_and_empty_tables(spark, odd_docs):
     rows = simhash.near_groups(odd_docs).collect()
     assert len(rows) == 10
     assert {r.component_id for r in rows if r.fingerprint == 0} == {2}
-    kept = simhash.keep_one(odd_docs)
+    kept = simhash.keep_one(odd_docs, simhash.near_groups(odd_docs))
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 6, 7]
-    assert simhash.near_groups(odd_docs.limit(0)).count() == 0 and simhash.keep_one(odd_docs.limit(0)).count() == 0
+    assert simhash.near_groups(odd_docs.limit(0)).count() == 0
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Copies at a similarity of 0.8 or more join, texts that share a third do not; blocks change nothing."""
+    rng = random.Random(8)
+    docs = []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 90, 300, 1500]))]
+        docs.append((10 * i, " ".join(words)))
+        for k in range(1, 4):
+            edited = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) // 100)):
+                edited[at] = "edited"
+            docs.append((10 * i + k, "\n".join(edited).upper()))
+        part = len(words) // 3
+        docs.append((10 * i + 4, " ".join(words[:part] + [f"x{rng.randrange(5000)}" for _ in range(2 * part)])))
+    sets = {d: set(simhash.shingle_hashes(t, 5)) for d, t in docs}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = [(a, b) for a in sets for b in sets if b < a and alike(a, b) >= 0.8]
+    roots = grouped(list(sets), near)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for block_rows in (8192, 2):
+        got = {r.doc_id: r.component_id for r in near_copies.near_groups(frame, block_rows=block_rows).collect()}
+        assert got == {d: min(x for x in sets if roots[x] == roots[d]) for d in sets}
+
+
+def test_similar_sets_share_a_bucket():
+    """Any two sets of up to 63 shingles with a similarity of 0.8 or more have a key in common."""
+    rng = np.random.default_rng(9)
+    for _ in range(3000):
+        union = rng.integers(0, 2**63, rng.integers(1, 64), dtype=np.uint64)
+        union = np.unique(union)
+        apart = rng.permutation(len(union))[: len(union) // 5]
+        cut = rng.integers(0, len(apart) + 1)
+        a, b = np.delete(union, apart[:cut]), np.delete(union, apart[cut:])
+        assert set(near_copies.table_keys(a, 16).tolist()) & set(near_copies.table_keys(b, 16).tolist())
+
+
+def test_near_copies_of_odd_and_empty_tables(spark, odd_docs):
+    rows = near_copies.near_groups(odd_docs).collect()
+    assert len(rows) == 10 and {r.component_id for r in rows if r.doc_id in (2, 3, 5)} == {2}
+    kept = simhash.keep_one(odd_docs, near_copies.near_groups(odd_docs))
+    assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 6, 7]
+    assert near_copies.near_groups(odd_docs.limit(0)).count() == 0
 
 
 def planted(n, dimension, seed):
