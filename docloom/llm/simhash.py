@@ -21,6 +21,7 @@ from docloom.llm.components import components
 from docloom.session import with_checkpoints
 
 BITS = 64
+ROW_KEY = ["no_id", "id", "text_hash"]
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -201,17 +202,20 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def row_key(doc_id: Column, hashed: Column) -> list[Column]:
+    """ROW_KEY of a row: orders rows by doc_id, those without one last, then by the hash of the text."""
+    return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), hashed.alias("text_hash")]
+
+
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of docs for each group of groups (doc_id, text_hash, group_id), all columns: that with the least doc_id.
 
     Rows without doc_id come last. Among rows that share the least doc_id the text with the least
     hash stays, and of repeated rows one. Texts pass one shuffle, by document.
     """
-    key = ["no_id", "id", "text_hash"]
-    own = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id")]
-    first = groups.groupBy("group_id").agg(F.min(F.struct(*own, "text_hash")).alias("first"))
+    first = groups.groupBy("group_id").agg(F.min(F.struct(*row_key(F.col("doc_id"), F.col("text_hash")))).alias("first"))
     keepers = first.select("first.*").distinct()
     whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *own, text_hash(F.col("text")).alias("text_hash")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(F.col("doc_id"), text_hash(F.col("text")))
     )
-    return whole.join(keepers, key, "left_semi").dropDuplicates(key).select("doc.*")
+    return whole.join(keepers, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY).select("doc.*")
