@@ -1,14 +1,14 @@
 """Near-duplicate embeddings by product quantisation.
 
 Vectors of unit length go to the inverted list of the nearest coarse centroid; residuals are
-coded by one codeword per subspace. A cosine of at least c is a distance of at most r. A
-vector probes every list that such a neighbour can lie in: the plane halfway between the two
-centroids is near enough. The neighbour lies r away at most, and in d dimensions a difference
-without preferred direction reaches r / sqrt(d) along one of them, so `sigmas` times that
-counts as near enough (r itself where sigmas * sigmas >= d; then no link can be lost). There
-the vector compares itself with the codes by table lookups (asymmetric distance less the coded
-vector's own coding error bounds the true distance from below, which loses nothing), and with
-the vectors that pass by exact cosines.
+coded by one codeword per subspace. A cosine of at least c is a distance of at most r. Two such
+neighbours in different lists lie on either side of the plane halfway between the two centroids,
+and their distances to it add up to at most r: one of them is within r / 2 of it. So a vector
+probes every list whose plane is that near, in any dimension and whatever the fit, and no link
+is lost; a pair that both sides find counts in the lower list. In a probed list the vector
+compares itself with the codes by table lookups (asymmetric distance less the coded vector's own
+coding error bounds the true distance from below, which loses nothing), and with the vectors
+that pass by exact cosines.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from docloom.session import with_checkpoints
 SUBSPACES = 8
 WORDS = 64
 SLACK = 1e-6  # on distances, far above rounding
-PLACED = "row_id long, label long, list int, own boolean, code binary, error double, vector binary"
+PLACED = "row_id long, label long, list int, home int, own boolean, code binary, error double, probed binary, vector binary"
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -73,15 +73,15 @@ class Quantiser:
         return codes.astype(np.uint8), np.sqrt(table.min(axis=2).sum(axis=1))
 
     def probes(self, vectors: np.ndarray, own: np.ndarray, distances: np.ndarray) -> np.ndarray:
-        """For each vector and list after its own: whether to look for neighbours there."""
+        """For each vector and list but its own: whether to look for neighbours there."""
         mine = distances[np.arange(len(vectors)), own]
         between = np.sqrt(_nearest(self.centres[own], self.centres))
         reach = (distances - mine[:, None]) / np.maximum(2 * between, 1e-12)
-        later = np.arange(len(self.centres))[None, :] > own[:, None]
-        return later & ((reach <= self.reach + SLACK) | (between < 1e-9))
+        others = np.arange(len(self.centres))[None, :] != own[:, None]
+        return others & ((reach <= self.reach + SLACK) | (between < 1e-9))
 
 
-def fit(vectors: np.ndarray, lists: int, radius: float, sigmas: float = 4.0, seed: int = 11) -> Quantiser:
+def fit(vectors: np.ndarray, lists: int, radius: float, sigmas: float | None = None, seed: int = 11) -> Quantiser:
     """Coarse centroids and residual codewords from unit vectors; the fit only decides the cost."""
     rng = np.random.default_rng(seed)
     width = -(-vectors.shape[1] // SUBSPACES)
@@ -90,7 +90,8 @@ def fit(vectors: np.ndarray, lists: int, radius: float, sigmas: float = 4.0, see
     residuals = points - centres[_nearest(points, centres).argmin(axis=1)]
     parts = residuals.reshape(len(points), SUBSPACES, width)
     few = [kmeans(parts[:, s].copy(), WORDS, 6, rng) for s in range(SUBSPACES)]
-    return Quantiser(vectors.shape[1], centres, np.stack(few), radius, radius * min(1.0, sigmas / np.sqrt(vectors.shape[1])))
+    share = 1.0 if sigmas is None else min(1.0, sigmas / np.sqrt(vectors.shape[1]))
+    return Quantiser(vectors.shape[1], centres, np.stack(few), radius, radius / 2 * share)
 
 
 def _clean(vectors: pd.Series, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +107,7 @@ def _clean(vectors: pd.Series, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(good, np.int64), np.array(rows).reshape(len(rows), dimension)
 
 
-def _train(rows: DataFrame, n: int, min_cosine: float, sigmas: float, sample_rows: int, max_lists: int) -> Quantiser | None:
+def _train(rows: DataFrame, n: int, min_cosine: float, sigmas: float | None, sample_rows: int, max_lists: int) -> Quantiser | None:
     sample = rows.orderBy(F.xxhash64("row_id")).limit(sample_rows).select("embedding").toPandas()["embedding"]
     lengths = pd.Series([len(v) for v in sample if v is not None and len(v)], dtype="int64")
     if not len(lengths):
@@ -136,7 +137,8 @@ def _place(rows: DataFrame, quantiser: Quantiser, kind: str) -> DataFrame:
                 distances = _nearest(unit, q.centres)
                 own = distances.argmin(axis=1)
                 codes, errors = q.encode(unit - q.centres[own])
-                who, where = np.nonzero(q.probes(unit, own, distances))
+                probes = q.probes(unit, own, distances)
+                who, where = np.nonzero(probes)
                 all_rows, n = np.concatenate([np.arange(len(good)), who]), len(good)
                 raw = [v.tobytes() for v in vectors.astype(kind)]
                 yield pd.DataFrame(
@@ -144,9 +146,11 @@ def _place(rows: DataFrame, quantiser: Quantiser, kind: str) -> DataFrame:
                         "row_id": part["row_id"].to_numpy()[good][all_rows],
                         "label": part["label"].to_numpy()[good][all_rows],
                         "list": np.concatenate([own, where]).astype(np.int32),
+                        "home": own[all_rows].astype(np.int32),
                         "own": np.arange(len(all_rows)) < n,
                         "code": [c.tobytes() for c in codes] + [b""] * len(who),
                         "error": np.concatenate([errors, np.zeros(len(who))]),
+                        "probed": [p.tobytes() for p in np.packbits(probes, axis=1)] + [b""] * len(who),
                         "vector": [raw[i] for i in all_rows],
                     }
                 )
@@ -157,7 +161,8 @@ def _place(rows: DataFrame, quantiser: Quantiser, kind: str) -> DataFrame:
 def compare(tile: pd.DataFrame, quantiser: Quantiser, min_cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (positions in the tile pair) between its two tiles, or within the one tile.
 
-    The first tile has rows of the list; the second the same, others of the list, or visitors.
+    The first tile has rows of the list; the second the same, others of the list, or visitors. A
+    visitor from a lower list leaves out the rows that probe that list: they meet there.
     """
     side = tile["side"].to_numpy()
     within = tile["tile_a"].iloc[0] == tile["tile_b"].iloc[0]
@@ -170,6 +175,9 @@ def compare(tile: pd.DataFrame, quantiser: Quantiser, min_cosine: float, kind: s
     residuals = quantiser.padded(vectors / length[:, None]) - quantiser.centres[int(tile["list"].iloc[0])]
     codes = np.stack([np.frombuffer(c, np.uint8) for c in tile["code"].to_numpy()[members]])
     errors = tile["error"].to_numpy()[members]
+    probed = np.stack([np.frombuffer(p, np.uint8) for p in tile["probed"].to_numpy()[members]])
+    probed = np.unpackbits(probed, axis=1).astype(bool)
+    home = tile["home"].to_numpy()
     left, right = [], []
     for start in range(0, len(others), 64):
         rows = others[start : start + 64]
@@ -178,6 +186,8 @@ def compare(tile: pd.DataFrame, quantiser: Quantiser, min_cosine: float, kind: s
         near = np.sqrt(distance) - errors[None, :] <= quantiser.radius + SLACK
         if within:
             near &= rows[:, None] < members[None, :]
+        else:
+            near &= (home[rows] >= tile["list"].iloc[0])[:, None] | ~probed[:, home[rows]].T
         a, b = np.nonzero(near)
         a, b = rows[a], members[b]
         cosine = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (length[a] * length[b])
@@ -220,7 +230,7 @@ def _links(placed: DataFrame, quantiser: Quantiser, min_cosine: float, tile_rows
     )
     met = F.when(own, F.col("own_tiles") + F.col("visitor_tiles")).otherwise(F.col("own_tiles"))
     paired = tiled.withColumns({"side": side.cast("int"), "other": F.explode(F.sequence(F.lit(0), met - 1))}).select(
-        *key, "row_id", "code", "error", "vector", "side",
+        *key, "row_id", "home", "code", "error", "probed", "vector", "side",
         F.least("side", "other").alias("tile_a"), F.greatest("side", "other").alias("tile_b"),
     )
 
@@ -238,7 +248,7 @@ def _links(placed: DataFrame, quantiser: Quantiser, min_cosine: float, tile_rows
 def near_vectors(
     vectors: DataFrame,
     min_cosine: float = 0.93,
-    sigmas: float = 4.0,
+    sigmas: float | None = None,
     sample_rows: int = 8_192,
     max_lists: int = 1024,
     tile_rows: int = 128,
@@ -251,6 +261,9 @@ def near_vectors(
     component_id is the least vec_id reachable; kept marks the row that carries it. Repeated rows
     are vectors of their own. A row without vec_id names no component (null if alone, then kept).
 
+    No link is lost unless a caller gives `sigmas`: then a list is probed only where its plane is within
+    sigmas / sqrt(dimension) of the lossless reach, if that is less than 1.
+
     Lists number a quarter of the root of the rows, up to max_lists, and are fitted on at most
     sample_rows rows. A list is cut into tiles of about tile_rows rows, and pairs of tiles are groups:
     a list that holds a third of all rows is many small groups, and tasks hand back one row for

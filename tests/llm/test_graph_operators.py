@@ -174,6 +174,30 @@ def test_vectors_equal_brute_force(spark, dimension, sigmas, recall):
         assert all(got[i].component_id == roots[i] and got[i].kept == (roots[i] == i) for i in got)
 
 
+def brute_links(x, labels):
+    """Links of each row and the least row reachable, by all cosines."""
+    v = np.asarray(x, float)
+    length = np.linalg.norm(v, axis=1)
+    linked = (v @ v.T) / np.outer(length, length) >= 0.93
+    linked &= np.array(labels)[:, None] == np.array(labels)[None, :]
+    np.fill_diagonal(linked, False)
+    return linked.sum(axis=1), grouped(range(len(v)), np.argwhere(linked).tolist())
+
+
+@pytest.mark.parametrize("directions", [2, 3, 6])
+def test_vectors_of_few_directions_lose_no_link(spark, directions):
+    """64 components that vary in few directions: whole differences lie along a plane's normal."""
+    rng = np.random.default_rng(directions)
+    x = rng.normal(size=(1500, directions)) @ rng.normal(size=(directions, 64))
+    x = (x + 0.01 * rng.normal(size=x.shape)).astype(np.float32)
+    labels = [int(i % 2) for i in range(len(x))]
+    frame = spark.createDataFrame([(i, x[i].tolist(), labels[i]) for i in range(len(x))], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embeddings.near_vectors(frame).collect()}
+    links, roots = brute_links(x, labels)
+    assert links.sum() > 1000
+    assert all(got[i].n_links == links[i] and got[i].component_id == roots[i] for i in got)
+
+
 def test_vectors_that_link_with_nothing(spark):
     one = [1.0, 0.0, 0.0]
     rows = [
