@@ -124,6 +124,27 @@ def test_near_copies_equal_brute_force(spark):
         assert got == {d: min(x for x in sets if roots[x] == roots[d]) for d in sets}
 
 
+def test_near_copies_without_their_original_equal_brute_force(spark):
+    """Families whose members lie just above and below 0.8 of each other: failed links are replaced."""
+    rng = random.Random(4)
+    docs = []
+    for family in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for k in range(12):
+            edited = list(words)
+            for at in rng.sample(range(300), rng.choice([3, 4, 4])):
+                edited[at] = f"e{rng.randrange(10**6)}"
+            docs.append((100 * family + k, " ".join(edited)))
+    sets = {d: set(simhash.shingle_hashes(t, 5)) for d, t in docs}
+    near = [(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = grouped(list(sets), near)
+    assert len(set(roots.values())) > 14
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for block_rows in (2048, 4):
+        got = {r.doc_id: r.component_id for r in near_copies.near_groups(frame, block_rows=block_rows).collect()}
+        assert got == roots
+
+
 @pytest.mark.parametrize("least,most,missed", [(4, 7, 0.05), (8, 31, 0.006), (32, 300, 0.003)])
 def test_similar_sets_share_a_bucket(least, most, missed):
     """Sets with a similarity of 0.8 have a key in common, but for the share that the docstring names."""
