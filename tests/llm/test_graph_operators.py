@@ -124,6 +124,24 @@ def test_near_copies_equal_brute_force(spark):
         assert got == {d: min(x for x in sets if roots[x] == roots[d]) for d in sets}
 
 
+def test_near_copies_of_short_texts_equal_brute_force(spark):
+    """Texts of 4 to 8 shingles and the same with a word more at either end: all pairs at 0.8 join."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(600):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(8 + i % 4)]
+        more = [words, [*words, "more"], ["more", *words], [*words, "or", "less"]]
+        docs += [(10 * i + k, " ".join(w)) for k, w in enumerate(more)]
+    sets = {d: set(simhash.shingle_hashes(t, 5)) for d, t in docs}
+    families = [[d for d in sets if d // 10 == i] for i in range(600)]
+    close = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    small = [d for d in sets if len(sets[d]) <= 8]
+    near = [(a, b) for f in families for a in f for b in f if b < a and close(a, b) and {a, b} <= set(small)]
+    roots = grouped(small, near)
+    frame = spark.createDataFrame([d for d in docs if len(sets[d[0]]) <= 8], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_groups(frame).collect()} == roots
+
+
 def test_near_copies_without_their_original_equal_brute_force(spark):
     """Families whose members lie just above and below 0.8 of each other: failed links are replaced."""
     rng = random.Random(4)
