@@ -119,10 +119,69 @@ from (select pair_id, part, sum(shared::int)::bigint as n_prompt_turns from spli
 left join made m using (pair_id, part) group by all
 """
 
+# One assignment and one set of means a round; the vectors are lists of 64 whole numbers.
+OP11 = """
+with kept as (
+    select vec_id, list_transform(embedding::double[], lambda x: floor(64 * x)::bigint) as v from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (
+    select (row_number() over (order by h, v) - 1)::int as c, v from (
+        select sha256('1:' || coalesce(vec_id::varchar, '')) as h, v from kept order by h, v limit 16)),
+""" + "".join(
+    f"""
+a{r} as (
+    select k.vec_id, k.v, min_by(c.c, (d(k.v, c.v), c.c)) as c, min(d(k.v, c.v)) as distance
+    from (select row_number() over () as i, * from kept) k, c{r} c group by k.i, k.vec_id, k.v),
+""".replace("d(k.v, c.v)", "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint")
+    + (
+        f"""
+p{r} as (
+    select c, i, sum(x)::hugeint as s, count(*) as n
+    from (select c, unnest(v) as x, generate_subscripts(v, 1) as i from a{r}) group by c, i),
+m{r} as (
+    select c, list(case when s % n < 0 then s // n - 1 else s // n end order by i)::bigint[] as v from p{r} group by c),
+c{r + 1} as (select c.c, coalesce(m.v, c.v) as v from c{r} c left join m{r} m using (c)),
+"""
+        if r < 3
+        else ""
+    )
+    for r in range(4)
+) + """
+t as (select c, sum(distance)::bigint as s from a3 group by c)
+select a3.vec_id, a3.c as cluster, a3.distance, t.s as cluster_inertia, (select sum(s) from t)::bigint as inertia,
+    sha256(array_to_string(c3.v, ',')) as centroid_sha256
+from a3 join t using (c) join c3 using (c)
+"""
+
+OP13 = """
+with cut as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+        sha256('1:' || coalesce(doc_id::varchar, '')) as h
+    from documents),
+num as (
+    select *, len(u) as n, ('0x' || substr(h, 1, 8))::bigint % (len(u) + 1) as x, ('0x' || substr(h, 9, 8))::bigint % (len(u) + 1) as y,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+            or ('0x' || substr(h, 17, 8))::bigint % 100 >= 90 then 'plain'
+            when ('0x' || substr(h, 25, 8))::bigint % 100 < 20 then 'spm' else 'psm' end as form
+    from cut),
+piece as (
+    select *, array_to_string(u[1:least(x, y)], '') as p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') as m,
+        array_to_string(u[greatest(x, y) + 1:n], '') as s
+    from num)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end as prefix_chars,
+    case when form <> 'plain' then length(m) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+    sha256(text) as restored_sha256
+from piece
+"""
+
 ORACLES = {
     "op1_near_vectors": OP1,
     "op3_mix_sources": OP3,
     "op5_drop_shared_lines": OP5,
     "op6_warc_round_trip": OP6,
     "op7_preference_pairs": OP7,
+    "op11_centroid_clusters": OP11,
+    "op13_fill_in_middle": OP13,
 }

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import (
-    decontamination, embeddings, language, line_dedup, mixing, preferences, quality, simhash, token_counts, warc,
+    clustering, decontamination, embeddings, fill_in_middle, language, line_dedup, mixing, pii, preferences, quality, simhash,
+    token_counts, warc,
 )
 from docloom.llm.samples import fold
 
@@ -98,10 +99,34 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(table(spark, folder, "embeddings"), n=16, rounds=3, seed=1, size=64)
+
+
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = docs.select("doc_id", pii.personal_data(F.col("text"), pii.train(docs), spark).alias("spans"))
+    base = F.filter("spans", lambda s: s["is_base"])
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind))
+    counts = [of_kind(kind).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, folder, "documents"), seed=1, plain_percent=10, spm_percent=20)
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc.doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_vectors, op2_language, op3_mix_sources, op4_decontaminate, op5_drop_shared_lines,
         op6_warc_round_trip, op7_preference_pairs, op8_simhash, op9_quality, op10_token_counts,
+        op11_centroid_clusters, op12_personal_data, op13_fill_in_middle,
     )
 }
