@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions.hits import keyword_hits, keyword_snippets
+from docloom.operators.sizing import fits_broadcast
+from docloom.session import with_checkpoints
 
 
 def page_keywords(pages: DataFrame) -> DataFrame:
@@ -56,24 +58,33 @@ def keyword_counts(pages: DataFrame) -> DataFrame:
     return page_keywords(pages).groupBy("keyword").agg(F.count("*").alias("pages"))
 
 
-def posting_lists(postings_df: DataFrame, counts: DataFrame, segment_rows: int = 100_000) -> DataFrame:
+_SALTS = 64
+
+
+def posting_lists(postings_df: DataFrame, segment_rows: int = 100_000) -> DataFrame:
     """keyword, segment, refs: posting lists in segments of about segment_rows.
 
-    A rare keyword is one list. A frequent one is spread over as many segments as
-    its measured count needs, by a hash of the page, so no group grows with the data.
-    Input counts: keyword, pages.
+    A rare keyword is one list. A frequent one is spread over as many segments as its count needs,
+    by a hash of the page, so no group grows with the data. Postings are made once and written;
+    counts come from them, with partial sums, and only the frequent keywords are joined: broadcast where
+    their measured number allows, else by keyword and salt.
     """
-    frequent = counts.filter(F.col("pages") > segment_rows).select(
-        "keyword", F.ceil(F.col("pages") / segment_rows).alias("segments")
-    )
-    page_hash = F.conv(
-        F.substring(F.md5(F.concat_ws(":", "doc_id", "page_number")), 1, 8), 16, 10
-    ).cast("bigint")
-    segmented = postings_df.join(frequent, "keyword", "left").withColumn(
-        "segment", page_hash % F.coalesce("segments", F.lit(1))
-    )
+    with_checkpoints(postings_df.sparkSession)
+    page_hash = F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", "page_number")), 1, 8), 16, 10).cast("bigint")
+    made = postings_df.select("keyword", "doc_id", "page_number", "relevance").checkpoint()
+    counts = made.groupBy("keyword").agg(F.count("*").alias("pages"))
+    segments = F.ceil(F.col("pages") / segment_rows).alias("segments")
+    frequent = counts.filter(F.col("pages") > segment_rows).select("keyword", segments)
+    placed = made.withColumn("page_hash", page_hash)
+    if fits_broadcast(frequent):
+        placed = placed.join(F.broadcast(frequent), "keyword", "left")
+    else:
+        everywhere = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salted = placed.withColumn("salt", (F.col("page_hash") % _SALTS).cast("int"))
+        placed = salted.join(everywhere, ["keyword", "salt"], "left").drop("salt")
+    placed = placed.withColumn("segment", F.col("page_hash") % F.coalesce("segments", F.lit(1)))
     ref = F.struct("doc_id", "page_number", "relevance")
-    return segmented.groupBy("keyword", "segment").agg(F.sort_array(F.collect_list(ref)).alias("refs"))
+    return placed.groupBy("keyword", "segment").agg(F.sort_array(F.collect_list(ref)).alias("refs"))
 
 
 def document_nodes(pages: DataFrame) -> DataFrame:

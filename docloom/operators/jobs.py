@@ -1,7 +1,7 @@
 """Job status and timing from an event log.
 
 Input events: job_id, event_id, ts, phase, status, error. A hot job may own any share of
-the log: latest values and rates use partial aggregation, durations use time blocks.
+the log: latest values and rates use partial aggregation, durations use ranges of events.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed_values as fv
 from docloom.functions.lookup import lookup
+from docloom.session import with_checkpoints
 
 
 def phase_progress(phase: Column) -> Column:
@@ -44,23 +45,25 @@ def count_by_status(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status").agg(F.count("*").alias("jobs"))
 
 
-def phase_durations(events: DataFrame, block: str = "day") -> DataFrame:
+def phase_durations(events: DataFrame) -> DataFrame:
     """job_id, event_id, phase, seconds until the job's next event (null for its last).
 
-    The next event is looked up inside one time block of the job; the last event of a
-    block takes the first event of the job's next block. Only block starts meet in one
-    window per job.
+    Events are dealt to ranges of (job, time, event), so that a job of any length is spread over all
+    tasks. The next event is looked up inside a range of the job; the last event of a range takes
+    the first event of the job's next range: one row a job and range. Dealt events are written
+    once, because both sides must come from the same ranges.
     """
-    blocked = events.select(
-        "job_id", "event_id", "phase", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-        F.date_trunc(block, "ts").alias("block"),
-    )
-    starts = blocked.groupBy("job_id", "block").agg(F.min("at").alias("first_at"))
-    following = F.lead("first_at").over(Window.partitionBy("job_id").orderBy("block"))
-    starts = starts.select("job_id", "block", following.alias("next_block_at"))
-    inside = Window.partitionBy("job_id", "block").orderBy("at", "event_id")
-    next_at = F.coalesce(F.lead("at").over(inside), F.col("next_block_at"))
-    return blocked.join(starts, ["job_id", "block"]).select(
+    with_checkpoints(events.sparkSession)
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    order = ["job_id", "at", "event_id"]
+    dealt = events.select("job_id", "event_id", "phase", at).repartitionByRange(*order)
+    dealt = dealt.withColumn("range", F.spark_partition_id()).checkpoint()
+    starts = dealt.groupBy("job_id", "range").agg(F.min("at").alias("first_at"))
+    following = F.lead("first_at").over(Window.partitionBy("job_id").orderBy("range"))
+    starts = starts.select("job_id", "range", following.alias("next_range_at"))
+    inside = Window.partitionBy("job_id", "range").orderBy("at", "event_id")
+    next_at = F.coalesce(F.lead("at").over(inside), F.col("next_range_at"))
+    return dealt.join(starts, ["job_id", "range"]).select(
         "job_id", "event_id", "phase", ((next_at - F.col("at")) / F.lit(1e6)).alias("seconds")
     )
 

@@ -6,6 +6,7 @@ keeps k rows per query before its shuffle, and page text is read only for those
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed_values as fv
 from docloom.functions import text as tx
 from docloom.operators.sizing import broadcast_if_bounded, broadcast_if_small
+from docloom.session import with_checkpoints
+
+# Pages, or what gives the pages of the documents in a table of doc_id (a page store)
+Pages = DataFrame | Callable[[DataFrame], DataFrame]
 
 # ids, score, keyword and position of one ranked page, with room to spare
 _RANKED_ROW_BYTES = 4096
@@ -91,6 +96,25 @@ def rank_pages(matched: DataFrame, k: int | None = None, by: str = "score") -> D
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
+def rank_all_pages(matched: DataFrame, by: str = "score") -> DataFrame:
+    """The rank of every matched page of every query, in the order of `rank_pages`.
+
+    Rows are dealt to ranges of (query, score, document, page), so that a query that matches all
+    pages is ranked by all tasks. A row's number inside its range is added to the query's rows in the
+    ranges before; only one row a query and range is summed up for that. Placed rows are written once, because
+    numbers and offsets must come from the same ranges.
+    """
+    with_checkpoints(matched.sparkSession)
+    order = ["query_id", F.desc(by), "doc_id", "page_number"]
+    placed = matched.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = placed.withColumns({"range": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).checkpoint()
+    parts = placed.groupBy("query_id", "range").agg(F.count("*").alias("n"), F.min("place").alias("start"))
+    before = Window.partitionBy("query_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("query_id", "range", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rank = (F.col("before") + F.col("place") - F.col("start") + 1).alias("rank")
+    return placed.join(broadcast_if_small(parts), ["query_id", "range"]).select(*matched.columns, rank)
+
+
 def signal_scores(matched: DataFrame) -> DataFrame:
     """Weighted relevance, term coverage and snippet quality.
 
@@ -124,11 +148,24 @@ def confidence(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("confidence", F.round(F.least(F.col("mean_score") + bonus, F.lit(1.0)), 6))
 
 
-def _on_pages(ranked: DataFrame, pages: DataFrame, n_queries: int, k: int) -> DataFrame:
+def _pages_of(pages: Pages, wanted: DataFrame) -> DataFrame:
+    """All pages of a table; of a page store those of the wanted documents (doc_id)."""
+    return pages if isinstance(pages, DataFrame) else pages(wanted.select("doc_id"))
+
+
+def settled(few: DataFrame, pages: Pages) -> DataFrame:
+    """Rows that choose pages, computed once: a page store is asked for them before they are joined."""
+    if isinstance(pages, DataFrame):
+        return few
+    with_checkpoints(few.sparkSession)
+    return few.checkpoint()
+
+
+def _on_pages(ranked: DataFrame, pages: Pages, n_queries: int, k: int) -> DataFrame:
     """Join the few ranked rows to their pages; rows without such a page are dropped."""
     rows = ranked.select("query_id", F.inline("ranked_pages"))
     side = broadcast_if_bounded(rows, n_queries * k, _RANKED_ROW_BYTES)
-    return pages.select("doc_id", "page_number", "source_file", "text").join(side, ["doc_id", "page_number"])
+    return _pages_of(pages, rows).select("doc_id", "page_number", "source_file", "text").join(side, ["doc_id", "page_number"])
 
 
 def _joined(parts: DataFrame, part: Column) -> DataFrame:
@@ -138,8 +175,11 @@ def _joined(parts: DataFrame, part: Column) -> DataFrame:
     )
 
 
-def context(ranked: DataFrame, pages: DataFrame, n_queries: int, k: int = fv.DEFAULT_TOP_PAGES) -> DataFrame:
-    """Labelled snippets of the ranked pages, one text per query (at most k parts each)."""
+def context(ranked: DataFrame, pages: Pages, n_queries: int, k: int = fv.DEFAULT_TOP_PAGES) -> DataFrame:
+    """Labelled snippets of the ranked pages, one text per query (at most k parts each).
+
+    Of a page store only the pages of the ranked documents are read; give it `settled` rows.
+    """
     part = F.concat(
         F.lit("[Document: "), tx.base_name(F.col("source_file")),
         F.lit(", Page "), F.col("page_number"), F.lit("]\n"),
@@ -148,7 +188,7 @@ def context(ranked: DataFrame, pages: DataFrame, n_queries: int, k: int = fv.DEF
     return _joined(_on_pages(ranked, pages, n_queries, k), part)
 
 
-def page_context(ranked: DataFrame, pages: DataFrame, n_queries: int, k: int = fv.DEFAULT_TOP_PAGES) -> DataFrame:
+def page_context(ranked: DataFrame, pages: Pages, n_queries: int, k: int = fv.DEFAULT_TOP_PAGES) -> DataFrame:
     """Like `context`, with the first 1000 characters of the page in place of the snippet."""
     part = F.concat(
         F.lit("[Document: "), F.col("source_file"), F.lit(", Page "), F.col("page_number"), F.lit("]\n"),
@@ -167,12 +207,12 @@ def match_counts(matched: DataFrame) -> DataFrame:
     )
 
 
-def answer(queries: DataFrame, postings: DataFrame, pages: DataFrame, k: int = fv.DEFAULT_TOP_PAGES) -> DataFrame:
+def answer(queries: DataFrame, postings: DataFrame, pages: Pages, k: int = fv.DEFAULT_TOP_PAGES) -> DataFrame:
     """Matched pages, ranked pages, confidence and context for every query, also those without a match."""
     n_queries = queries.count()
     terms = query_terms(queries)
     matched = matched_pages(terms, postings).drop("terms_found", "n_terms")
-    ranked = confidence(ranked_pages(rank_pages(matched, k), terms))
+    ranked = settled(confidence(ranked_pages(rank_pages(matched, k), terms)), pages)
     return (
         queries.join(match_counts(matched), "query_id", "left")
         .join(ranked.drop("mean_score"), "query_id", "left")
@@ -181,7 +221,7 @@ def answer(queries: DataFrame, postings: DataFrame, pages: DataFrame, k: int = f
     )
 
 
-def keyword_lookup(lookups: DataFrame, postings: DataFrame, pages: DataFrame, first: int = 5) -> DataFrame:
+def keyword_lookup(lookups: DataFrame, postings: DataFrame, pages: Pages, first: int = 5) -> DataFrame:
     """Exact keyword lookup: total hits, and the first references in document order with their snippets.
 
     Input lookups: keyword. Text is read only for the few references shown.
@@ -192,9 +232,10 @@ def keyword_lookup(lookups: DataFrame, postings: DataFrame, pages: DataFrame, fi
     order = Window.partitionBy("keyword").orderBy("doc_id", "page_number")
     refs = found.withColumn("ref", F.row_number().over(order)).filter(F.col("ref") <= first)
     shown = refs.join(totals, "keyword").select("keyword", "total_hits", "ref", "doc_id", "page_number", "position")
+    shown = settled(shown, pages)
     side = broadcast_if_bounded(shown, wanted.count() * first, _RANKED_ROW_BYTES)
     snippet = F.substring(tx.snippet_at(F.col("text"), F.col("position"), F.col("keyword")), 1, 200)
-    texts = pages.select("doc_id", "page_number", "text")
+    texts = _pages_of(pages, shown).select("doc_id", "page_number", "text")
     return texts.join(side, ["doc_id", "page_number"]).select(
         "keyword", "total_hits", "ref", "doc_id", "page_number", snippet.alias("snippet")
     )

@@ -19,16 +19,17 @@ def _row_bytes(df: DataFrame):
     return size
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast a side of measured size; leave it to a shuffle join when it is larger.
-
-    Only for flat rows. The check reads at most BROADCAST_ROWS + 1 rows.
-    """
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a side is small enough to broadcast, by measure. Only for flat rows; reads at most BROADCAST_ROWS + 1 of them."""
     rows, size = (
         df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
     )
-    fits = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-    return F.broadcast(df) if fits else df
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast a side of measured size; leave it to a shuffle join when it is larger."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def broadcast_if_bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

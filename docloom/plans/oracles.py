@@ -522,6 +522,10 @@ _SQL: dict[str, str] = {
         select count(*) as jobs, round(avg((status = 'completed')::int), 6) as success_rate,
             round(avg((status = 'failed')::int), 6) as failure_rate from v_status""",
     "job6_ingest_stream": "select doc_id, page_number, keyword, relevance from v_postings where doc_id like 'd%'",
+    "job6_stream_lookup": """
+        select query_id, keyword, doc_id, page_number, relevance from v_found where doc_id like 'd%'""",
 }
 
+_SQL["retrieve_stored_answers"] = _SQL["retrieve_answers"]
+
 ORACLES = {name: with_views(sql) for name, sql in _SQL.items()}

@@ -1,9 +1,9 @@
 """Files the engine writes and reads: profiles, discovery records, exports, usage.
 
-Jobs and keywords are many, so folders are per hash bucket, never per value. Rows of a
-bucket are sorted by value inside their files. The rebalance before a write splits large
-buckets and joins small ones by measured size, so that a large job or a frequent keyword
-becomes many tasks and files.
+Jobs are many, so folders are per hash bucket, never per value. Rows of a bucket are sorted by
+value inside their files. The rebalance before a write splits large buckets and joins small
+ones by measured size, so that a large job becomes many tasks and files. The index has
+stores of its own (`index_store`).
 """
 
 from __future__ import annotations
@@ -80,19 +80,6 @@ def write_by_category(files: DataFrame, folder: str, buckets: int = BUCKETS) ->
     _replace_jobs(files, folder, ["category", "job_bucket"], buckets)
 
 
-def write_postings(postings: DataFrame, folder: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
-    """The index by keyword bucket: a lookup reads the folders and row groups of its keywords."""
-    keyed = postings.withColumn("keyword_bucket", bucket(F.col("keyword"), buckets))
-    _write(keyed, folder, ["keyword_bucket"], "keyword", mode)
-
-
-def read_postings(spark: SparkSession, folder: str, terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """The stored postings in the folders of the given keywords; other folders are pruned at run time."""
-    wanted = terms.select(bucket(F.col("keyword"), buckets).alias("keyword_bucket")).distinct()
-    # at most `buckets` rows
-    return spark.read.parquet(folder).join(F.broadcast(wanted), "keyword_bucket", "left_semi").drop("keyword_bucket")
-
-
 def read_job(spark: SparkSession, folder: str, job_id: str, buckets: int = BUCKETS) -> DataFrame:
     """One job's rows: the bucket folder prunes files, the sort order prunes row groups."""
     return spark.read.parquet(folder).filter(

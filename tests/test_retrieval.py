@@ -91,10 +91,12 @@ def test_snippet_choice_packs_and_unpacks(spark):
     assert all(r["t"] == r["term_no"] and r["n"] == r["chars"] for r in got)
 
 
-def test_posting_lists_hold_every_posting_once(spark):
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_posting_lists_hold_every_posting_once(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", broadcast_rows)
     pages = spark.createDataFrame([(f"d{i}", "f.pdf", 1, f"common word{i % 7}") for i in range(500)], PAGES)
     postings = index.postings(pages)
-    lists = index.posting_lists(postings, index.keyword_counts(pages), segment_rows=50).collect()
+    lists = index.posting_lists(postings, segment_rows=50).collect()
     common = [r for r in lists if r["keyword"] == "common"]
     assert len(common) == 10 and max(len(r["refs"]) for r in common) < 100
     assert sum(len(r["refs"]) for r in lists) == postings.count()
