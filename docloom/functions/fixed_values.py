@@ -178,3 +178,26 @@ MIME_BY_EXTENSION = {
     ".jpe": "image/jpeg",
     ".qt": "video/quicktime",
 }
+
+# What an assembled profile says about its making: fixed values.
+PROFILE_CONFIDENCE = 0.8
+EXTRACTION_METHOD = "groq_llm"
+PROFILE_VERSION = "2.0"
+EXTRA_CALLS = 2
+
+# Words that mark a policy field: fixed values.
+POLICY_WORDS = ["policy", "warranty", "refund", "terms"]
+
+# Declared ranges of fields by record, as (field, least, greatest, least excluded): fixed values.
+FIELD_RANGES = {
+    "file": [("file_size", 0, None, True)],
+    "page": [("page_number", 1, None, False)],
+    "table": [("confidence", 0, 1, False)],
+    "analysis": [("confidence", 0, 1, False)],
+    "posting": [("relevance_score", 0, 1, False)],
+    "business": [("average_rating", 0, 5, False)],
+    "extraction": [("confidence_score", 0, 1, False)],
+    "pricing": [("base_price", 0, None, False), ("discount_price", 0, None, False)],
+    "scores": [("completeness_score", 0, 1, False)],
+    "job": [("progress", 0, 100, False)],
+}

@@ -14,9 +14,6 @@ from docloom.functions import fixed_values as fv
 from docloom.functions.lookup import has_number
 from docloom.operators.numbering import number_rows
 
-POLICY_WORDS = ["policy", "warranty", "refund", "terms"]  # fixed values
-
-
 def _last_edits(edits: DataFrame, keys: list[str], data: list[str], order: str | None) -> DataFrame:
     """keys, data of the last edit by the order column, and how many edits there are (edits)."""
     row = F.struct(*[F.col(c) for c in data])
@@ -148,7 +145,7 @@ def badges(items: DataFrame, list_fields: list[str], keys: list[str]) -> DataFra
 
 def policy_fields(item: Column) -> Column:
     """Non-empty text fields whose key names a policy."""
-    pattern = "|".join(POLICY_WORDS)
+    pattern = "|".join(fv.POLICY_WORDS)
     return F.map_filter(item, lambda k, v: k.rlike(pattern) & F.coalesce(v != "", F.lit(False)))
 
 
@@ -212,6 +209,46 @@ def profile_parts(profiles: DataFrame, services: DataFrame, documents: DataFrame
     )
 
 
+def _by_ordinal(a: Column, b: Column) -> Column:
+    """Services hold maps, which have no order of their own."""
+    return F.when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0)
+
+
+def assemble_profiles(
+    docs: DataFrame, types: DataFrame, companies: DataFrame, services: DataFrame, extracted_at: Column, part_rows: int = 1000
+) -> DataFrame:
+    """Whole profiles of jobs from the answers about their documents, with services in runs of part_rows.
+
+    docs: job_id, doc_id, doc_order (a whole number); types: job_id, business_type; companies: job_id and
+    the columns of `company_info`; services: doc_id and the columns of `answers.services`. Every job of docs has a
+    profile: without a company answer its information is null, without services its list is null.
+    Services follow the order of their documents, in parts of part_rows, so that no row grows without bound.
+    """
+    fields = [c for c in services.columns if c != "doc_id"]
+    placed = services.join(docs, "doc_id").select("job_id", "doc_order", F.struct(*fields).alias("service"))
+    numbered = number_rows(placed, ["job_id"], "doc_order", "ordinal")
+    lists = numbered.groupBy("job_id", F.floor(F.col("ordinal") / part_rows).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "service")), _by_ordinal).alias("services")
+    )
+    counted = docs.groupBy("job_id").agg(F.count("*").alias("documents"))
+    contact = F.struct("email", "phone", "website").alias("contact")
+    info = companies.select("job_id", F.struct("name", "description", "category", contact).alias("business_info"))
+    record = F.struct(
+        extracted_at.alias("extraction_date"), F.col("documents").alias("source_files_count"),
+        (F.col("documents") + fv.EXTRA_CALLS).alias("llm_calls_made"), F.lit(fv.PROFILE_CONFIDENCE).alias("confidence_score"),
+        F.lit(fv.EXTRACTION_METHOD).alias("extraction_method"), F.lit(fv.PROFILE_VERSION).alias("version"),
+    )
+    return (
+        counted.join(types, "job_id", "left")
+        .join(info, "job_id", "left")
+        .join(lists, "job_id", "left")
+        .select(
+            F.concat(F.lit("profile_"), "job_id").alias("profile_id"), "job_id", "business_type", "business_info",
+            F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), "services", record.alias("extraction_metadata"),
+        )
+    )
+
+
 def export_json(item: Column) -> Column:
     """The profile as JSON without its internal keys."""
     return F.to_json(F.map_filter(item, lambda k, _: ~F.startswith(k, F.lit("_"))))

@@ -354,6 +354,11 @@ def editor_completeness(profiles: DataFrame, services: DataFrame) -> DataFrame:
     return joined.withColumn("overall", total)
 
 
+def editor_service_scores(services: DataFrame) -> DataFrame:
+    """profile_id, ordinal, score: the editor's score of each service."""
+    return services.select("profile_id", "ordinal", editor_service_score().alias("score"))
+
+
 def filled_fields() -> Column:
     """How many of the thirteen service fields are filled."""
     flags = [
@@ -390,6 +395,22 @@ def out_of_range(
     )
 
 
+def range_findings(df: DataFrame, record: str, key: str) -> DataFrame:
+    """record, row_key, column_name, value: the values outside their declared range, in one pass over the rows.
+
+    record names the kind of rows, see FIELD_RANGES; df has its fields. NaN lies outside of every range that
+    has an upper end, null is not checked.
+    """
+    found = []
+    for field, low, high, open_low in fv.FIELD_RANGES[record]:
+        value = F.col(field).cast("double")
+        below = value <= F.lit(float(low)) if open_low else value < F.lit(float(low))
+        broken = below if high is None else below | (value > F.lit(float(high)))
+        found.append(F.when(broken, F.struct(F.lit(field).alias("column_name"), value.alias("value"))))
+    rows = df.select(F.col(key).cast("string").alias("row_key"), F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return rows.select(F.lit(record).alias("record"), "row_key", "column_name", "value")
+
+
 def field_score_rows(profiles: DataFrame) -> DataFrame:
     """profile_id, field_group, total_fields, populated_fields, score: one row per group of fields."""
     groups = {

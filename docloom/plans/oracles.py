@@ -379,6 +379,23 @@ _SQL: dict[str, str] = {
         from v_profiles p left join (select job_id, count(*) as documents from v_docs group by 1) using (job_id)
         left join (select profile_id, string_agg(service_id, ' ' order by ordinal) as services from v_services group by 1)
             using (profile_id)""",
+    "llm12_whole_profiles": f"""
+        select 'profile_' || job_id as profile_id, job_id, business_type, c.data->>'$.name' as name,
+            c.data->>'$.description' as description, c.data->>'$.category' as category, c.data->>'$.email' as email,
+            coalesce(part, 0) as part, coalesce(services, '') as services, '2024-05-01' as extraction_date,
+            documents as source_files_count, documents + 2 as llm_calls_made, 0.8::double as confidence_score,
+            'groq_llm' as extraction_method, '2.0' as version
+        from (select job_id, count(*) as documents from v_docs group by 1)
+        left join ({{types}}) using (job_id)
+        left join (select 'job_' || doc_id as job_id, data from v_fenced) c using (job_id)
+        left join (
+            select job_id, n // 4 as part, string_agg(concat_ws(':', n, service_id, category, price, cancellation), ' ' order by n) as services
+            from (select d.job_id, row_number() over (partition by d.job_id order by doc_order) - 1 as n,
+                'svc_' || lower(replace(substring(doc_name, 1, 20), ' ', '_')) as service_id,
+                coalesce(nullif(data->>'$.category', ''), 'General') as category,
+                nullif((data->>'$.price')::bigint, 0) as price, data->>'$.policies.cancellation' as cancellation
+                from v_fenced f join v_docs d on d.doc_id = 'd' || f.doc_id)
+            group by all) using (job_id)""",
     # validation
     "val1_emails": f"select profile_id, email, regexp_matches(email, {quoted(fv.EMAIL_ADDRESS)}) as valid from v_profiles",
     "val2_phones": r"select profile_id, phone, length(regexp_replace(phone, '\D', '', 'g')) >= 7 as valid from v_profiles",
@@ -423,6 +440,7 @@ _SQL: dict[str, str] = {
                 coalesce(score, 0) as services
             from v_profiles p left join (select profile_id, avg(({EDITOR13})::double / 13) as score
                 from v_services group by 1) using (profile_id))""",
+    "val19_service_scores": f"select profile_id, ordinal, round(({EDITOR13})::double / 13, 9) as score from v_services",
     "val20_service_fill": f"""
         select profile_id, ordinal, ({FILLED13})::bigint as filled, floor(({FILLED13})::double / 13 * 100)::bigint as percent
         from v_services""",
@@ -431,6 +449,19 @@ _SQL: dict[str, str] = {
         union all select service_id, 'base_price', base_price from v_services where base_price < 0
         union all select service_id, 'discount_price', discount_price from v_services where discount_price < 0
         union all select doc_id, 'page_number', page_number from v_pages where page_number < 1""",
+    "val21_all_ranges": """
+        select * replace (round(value, 9) as value) from (
+            select 'file' as record, member_path as row_key, 'file_size' as column_name, member_size::double as value
+            from v_members where member_size <= 0
+            union all select 'page', doc_id, 'page_number', page_number from v_pages where page_number < 1
+            union all select 'pricing', service_id, 'base_price', base_price from v_services where base_price < 0
+            union all select 'pricing', service_id, 'discount_price', discount_price from v_services where discount_price < 0
+            union all select 'business', s_suppkey::varchar, 'average_rating', s_acctbal::double / 1500 from supplier
+            union all select 'extraction', c_custkey::varchar, 'confidence_score', c_acctbal::double / 8000 from customer
+            union all select 'scores', o_orderkey::varchar, 'completeness_score', o_totalprice::double / 100000 from orders
+            union all select 'job', l_orderkey::varchar, 'progress', l_extendedprice::double / 900 from lineitem)
+        where column_name not in ('average_rating', 'confidence_score', 'completeness_score', 'progress') or value < 0
+            or value > case column_name when 'average_rating' then 5 when 'progress' then 100 else 1 end""",
     "val22_exclusive_items": """
         select profile_id, 'products' as field, 'Service-only business cannot have products' as message from v_profiles
             where business_type = 'service' and profile_id in (select profile_id from v_products)
@@ -526,6 +557,7 @@ _SQL: dict[str, str] = {
         select query_id, keyword, doc_id, page_number, relevance from v_found where doc_id like 'd%'""",
 }
 
+_SQL["llm12_whole_profiles"] = _SQL["llm12_whole_profiles"].format(types=_SQL["llm2_business_type"])
 _SQL["retrieve_stored_answers"] = _SQL["retrieve_answers"]
 
 ORACLES = {name: with_views(sql) for name, sql in _SQL.items()}

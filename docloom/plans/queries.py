@@ -853,6 +853,29 @@ def llm12_assembled_profiles(spark, d):
     )
 
 
+@query
+def llm12_whole_profiles(spark, d):
+    """Profiles of all jobs from business types, company answers and the services answered for their documents."""
+    docs, parsed = _doc_list(spark, d), _parsed(spark, d)
+    companies = answers.company_info(parsed.withColumn("job_id", F.concat(F.lit("job_"), "doc_id")))
+    offered = answers.services(parsed).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    types = prompts.business_type(docs, views.pages(spark, d))
+    made = profiles.assemble_profiles(docs, types, companies, offered, F.lit("2024-05-01"), part_rows=4)
+    info, record = F.col("business_info"), F.col("extraction_metadata")
+    shown = lambda s: F.concat_ws(
+        ":", s["ordinal"], s["service"]["service_id"], s["service"]["category"], s["service"]["base_price"].cast("bigint"),
+        s["service"]["cancellation_policy"],
+    )
+    return made.select(
+        "profile_id", "job_id", "business_type", info["name"].alias("name"), info["description"].alias("description"),
+        info["category"].alias("category"), info["contact"]["email"].alias("email"), big("part", "part"),
+        F.coalesce(F.array_join(F.transform("services", shown), " "), F.lit("")).alias("services"),
+        *[record[c].alias(c) for c in (
+            "extraction_date", "source_files_count", "llm_calls_made", "confidence_score", "extraction_method", "version"
+        )],
+    )
+
+
 # --- validation ---------------------------------------------------------------------------------
 
 
@@ -989,6 +1012,12 @@ def val19_editor_completeness(spark, d):
     return scores.select("profile_id", *[near(c, c) for c in ("business_info", "services", "overall")])
 
 
+@query
+def val19_service_scores(spark, d):
+    scores = validation.editor_service_scores(views.services(spark, d))
+    return scores.select("profile_id", "ordinal", near("score", "score"))
+
+
 @query
 def val20_service_fill(spark, d):
     filled = validation.service_fill(views.services(spark, d))
@@ -1006,6 +1035,31 @@ def val21_out_of_range(spark, d):
     )
 
 
+@query
+def val21_all_ranges(spark, d):
+    """All declared ranges: the engine's own records, and ratings, scores, progress and extraction records as received."""
+    rows = lambda name: views.table(spark, d, name)
+    files = views.members(spark, d).withColumnRenamed("member_size", "file_size")
+    found = index.postings(views.pages(spark, d)).withColumnRenamed("relevance", "relevance_score")
+    analysed = answers.parse_analysis(views.responses(spark, d).filter("response is not null"))
+    share = (F.col("o_totalprice") / 100000).alias("completeness_score")
+    checks = [
+        (files, "file", "member_path"), (views.pages(spark, d), "page", "doc_id"),
+        (tables.extract_tables(views.table_pages(spark, d)), "table", "table_id"),
+        (analysed.select("image_id", F.col("analysis.confidence").alias("confidence")), "analysis", "image_id"),
+        (found, "posting", "doc_id"), (views.services(spark, d), "pricing", "service_id"),
+        (rows("supplier").select("s_suppkey", (F.col("s_acctbal") / 1500).alias("average_rating")), "business", "s_suppkey"),
+        (rows("customer").select("c_custkey", (F.col("c_acctbal") / 8000).alias("confidence_score")), "extraction", "c_custkey"),
+        (rows("orders").select("o_orderkey", share), "scores", "o_orderkey"),
+        (rows("lineitem").select("l_orderkey", (F.col("l_extendedprice") / 900).alias("progress")), "job", "l_orderkey"),
+    ]
+    parts = [validation.range_findings(*check) for check in checks]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.withColumn("value", F.round("value", 9))
+
+
 @query
 def val22_exclusive_items(spark, d):
     return validation.exclusive_findings(views.profiles(spark, d), views.products(spark, d), views.services(spark, d))
