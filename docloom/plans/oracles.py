@@ -78,7 +78,7 @@ _SQL: dict[str, str] = {
     "src8_csv_rows": """
         select c_name as name, c_mktsegment || case when c_custkey % 7 = 0 then chr(10) || ', ' || c_name else '' end as segment,
             3::bigint as n_cells, null::bigint as row_index from customer
-        union all select s_name, s_name || ' Ltd', 5, row_number() over (order by s_suppkey) - 1 from supplier""",
+        union all select s_name, s_name || ' Ltd', 5, row_number() over (partition by s_suppkey // 100 order by s_suppkey) - 1 from supplier""",
     # manifest and files
     "fil1_archive_limits": """
         select job_id, archive_size, members, unpacked_bytes, reject_reason from v_checked

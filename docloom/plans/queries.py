@@ -106,13 +106,16 @@ def src7_export(spark, d):
 
 @query
 def src8_csv_rows(spark, d):
+    """Customers with line breaks in quoted cells, and wider files of a hundred suppliers each, read back row by row."""
     folder = new_folder(spark, "csv")
     broken = F.when(F.col("c_custkey") % 7 == 0, F.concat("c_mktsegment", F.lit("\n, "), "c_name")).otherwise(F.col("c_mktsegment"))
     lines = views.table(spark, d, "customer").select("c_custkey", "c_name", broken.alias("c_mktsegment"))
-    lines.write.option("header", True).csv(folder)
-    wide = views.table(spark, d, "supplier").orderBy("s_suppkey").coalesce(1)
-    wide.select("s_suppkey", "s_name", F.concat("s_name", F.lit(" Ltd")), "s_nationkey", "s_nationkey").write.mode("append").csv(folder)
-    rows = csv_tables.read_csv_rows(spark, folder)
+    lines.write.option("header", True).csv(f"{folder}/lines")
+    file = F.floor(F.col("s_suppkey") / 100)
+    wide = views.table(spark, d, "supplier").withColumn("file", file).repartition("file").sortWithinPartitions("file", "s_suppkey")
+    cells = ["s_suppkey", "s_name", F.concat("s_name", F.lit(" Ltd")).alias("long"), "s_nationkey", F.col("s_nationkey").alias("again")]
+    wide.select(*cells, "file").write.partitionBy("file").csv(f"{folder}/wide")
+    rows = csv_tables.read_csv_rows(spark, [f"{folder}/lines", f"{folder}/wide"])
     cell = lambda n: F.get("cells", F.lit(n))
     return rows.filter(cell(1) != "c_name").select(
         cell(1).alias("name"), cell(2).alias("segment"), big(F.size("cells"), "n_cells"),

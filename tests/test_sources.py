@@ -1,4 +1,6 @@
+import csv
 import io
+import random
 import zipfile
 
 import pytest
@@ -93,6 +95,29 @@ def test_csv_rows_keep_file_order_over_splits(spark, tmp_path):
     assert sorted(r["row_index"] for r in rows if r["source_file"] == "two.csv") == [0, 1]
 
 
+@pytest.mark.parametrize("split", [150, 1000, 100_000])
+def test_one_csv_file_is_many_splits(spark, tmp_path, split):
+    """Rows equal those of a plain reader wherever the splits fall, also inside quoted cells."""
+    rng = random.Random(2)
+    parts = ["a", "b c", "1", ",", "\n", '"', "\n\n", "é", " x", "longer words here"]
+    rows = [["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5))] for _ in range(400)]
+    with open(tmp_path / "f.csv", "w", newline="", encoding="utf-8") as file:
+        csv.writer(file, quoting=csv.QUOTE_ALL, lineterminator="\n").writerows(rows[:200])
+        file.write("\n\n")
+        csv.writer(file, lineterminator="\r\n").writerows(rows[200:])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        n_tasks = csv_tables._lines(spark, str(tmp_path), '"').select("block").distinct().count()
+        got = sorted((r.row_index, r.cells) for r in csv_tables.read_csv_rows(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == list(enumerate(rows))
+    assert n_tasks > 4 or split == 100_000
+
+
 def test_csv_files_of_different_width(spark, tmp_path):
     (tmp_path / "narrow.csv").write_text("a,b\n")
     (tmp_path / "wide.csv").write_text("a,b,c,d\n")
