@@ -558,6 +558,11 @@ _SQL: dict[str, str] = {
 }
 
 _SQL["llm12_whole_profiles"] = _SQL["llm12_whole_profiles"].format(types=_SQL["llm2_business_type"])
+for _stored, _plain in (
+    ("pro1_stored_upsert", "pro1_upsert"), ("pro2_stored_delete", "pro2_delete"), ("pro3_stored_replace", "pro3_replace_services"),
+    ("pro4_stored_append", "pro4_append_services"), ("pro5_stored_delete", "pro5_delete_services"),
+):
+    _SQL[_stored] = _SQL[_plain]
 _SQL["retrieve_stored_answers"] = _SQL["retrieve_answers"]
 
 ORACLES = {name: with_views(sql) for name, sql in _SQL.items()}

@@ -30,7 +30,7 @@ from docloom.operators import (
 from docloom.operators.numbering import number_rows
 from docloom.plans import views
 from docloom.session import new_folder
-from docloom.sources import csv_tables, index_store, stores
+from docloom.sources import csv_tables, edit_store, index_store, stores
 from docloom.streaming import ingest, job_status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1099,14 +1099,37 @@ def _edits(spark, d):
     )
 
 
-@query
-def pro1_upsert(spark, d):
+def _profile_edits(spark, d):
     edits = _edits(spark, d).withColumn("edit_order", F.lit(0))
     again = edits.filter("job_id like '%3'").select(
         "job_id", F.concat("business_name", F.lit(" again")).alias("business_name"), F.lit("AGAIN").alias("category"),
         F.lit(1).alias("edit_order"),
     )
-    merged = profiles.upsert(_store(spark, d), again.unionByName(edits), F.lit("2024-02-01"), "edit_order")
+    return again.unionByName(edits)
+
+
+def _upsert(base, edits):
+    return profiles.upsert(base, edits, F.lit("2024-02-01"), "edit_order")
+
+
+def _edited_store(spark, table, key, changes, edit):
+    """The table written to a store, edited there, and read back; the batch is retried and applies once."""
+    folder = new_folder(spark, "store")
+    edit_store.create(table, folder, key)
+    for _ in range(2):
+        edit_store.apply(spark, folder, 1, changes, edit)
+    return edit_store.read(spark, folder)
+
+
+@query
+def pro1_upsert(spark, d):
+    merged = _upsert(_store(spark, d), _profile_edits(spark, d))
+    return merged.select("job_id", "business_name", "category", big("version", "version"), "saved_at")
+
+
+@query
+def pro1_stored_upsert(spark, d):
+    merged = _edited_store(spark, _store(spark, d), "job_id", _profile_edits(spark, d), _upsert)
     return merged.select("job_id", "business_name", "category", big("version", "version"), "saved_at")
 
 
@@ -1115,30 +1138,61 @@ def pro2_delete(spark, d):
     return profiles.delete(_store(spark, d), _edits(spark, d)).select("job_id", "business_name")
 
 
+@query
+def pro2_stored_delete(spark, d):
+    left = _edited_store(spark, _store(spark, d), "job_id", _edits(spark, d), profiles.delete)
+    return left.select("job_id", "business_name")
+
+
 def _dense_services(spark, d):
     base = views.services(spark, d).select("profile_id", F.col("ordinal").alias("order_key"), "name", "category")
     dense = profiles.with_service_id(number_rows(base, ["profile_id"], "order_key", "ordinal"))
     return dense.select("profile_id", "ordinal", "service_id", "name", "category")
 
 
-@query
-def pro3_replace_services(spark, d):
+def _service_changes(spark, d):
     changes = views.table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("profile_id"), F.col("s_nationkey").cast("bigint").alias("ordinal"),
         F.lit("svc_new").alias("service_id"), F.col("s_name").alias("name"), F.lit("changed").alias("category"),
         F.lit(1).alias("edit_order"),
     )
     earlier = changes.withColumns({"name": F.lit("overwritten"), "edit_order": F.lit(0)})
-    return profiles.replace_services(_dense_services(spark, d), changes.unionByName(earlier), "edit_order")
+    return changes.unionByName(earlier)
+
+
+def _replace(base, changes):
+    return profiles.replace_services(base, changes, "edit_order")
 
 
 @query
-def pro4_append_services(spark, d):
-    added = views.table(spark, d, "part").select(
+def pro3_replace_services(spark, d):
+    return _replace(_dense_services(spark, d), _service_changes(spark, d))
+
+
+@query
+def pro3_stored_replace(spark, d):
+    return _edited_store(spark, _dense_services(spark, d), "profile_id", _service_changes(spark, d), _replace)
+
+
+def _added_services(spark, d):
+    return views.table(spark, d, "part").select(
         F.col("p_size").cast("bigint").alias("profile_id"), F.col("p_partkey").alias("order_key"),
         F.col("p_name").alias("name"), F.lit("part").alias("category"),
     )
-    return profiles.append_services(_dense_services(spark, d), added, "order_key")
+
+
+def _append(base, added):
+    return profiles.append_services(base, added, "order_key")
+
+
+@query
+def pro4_append_services(spark, d):
+    return _append(_dense_services(spark, d), _added_services(spark, d))
+
+
+@query
+def pro4_stored_append(spark, d):
+    return _edited_store(spark, _dense_services(spark, d), "profile_id", _added_services(spark, d), _append)
 
 
 @query
@@ -1147,6 +1201,13 @@ def pro5_delete_services(spark, d):
     return profiles.delete_services(base, base.filter("category = 'F'"))
 
 
+@query
+def pro5_stored_delete(spark, d):
+    base = _dense_services(spark, d)
+    removed = base.filter("category = 'F'").select("profile_id", "ordinal")
+    return _edited_store(spark, base, "profile_id", removed, profiles.delete_services)
+
+
 @query
 def pro6_list(spark, d):
     listed = profiles.list_profiles(views.profiles(spark, d), views.services(spark, d), views.products(spark, d))
