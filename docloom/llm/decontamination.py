@@ -22,6 +22,8 @@ from docloom.session import with_checkpoints
 
 Q = 8
 FILTER_BITS = 22
+STRETCH = 1 << 20  # postings looked at together
+WIDE = 1 << 15  # diagonals aligned together
 _BASE = 0x9E3779B97F4A7C15 | 1
 _NO_LETTERS = re.compile(r"[\W_]+")
 MATCHES = "array<struct<item_id: bigint, n_edits: int, begin: int>>"
@@ -97,6 +99,7 @@ class Items:
     offsets: np.ndarray
     owner: np.ndarray  # item of each posting
     place: np.ndarray  # its position in the item
+    window: np.ndarray  # fewest diagonals a band moves on by, over the items of each code
     short: list[int]  # items with fewer than Q units
 
     def present(self) -> np.ndarray:
@@ -118,9 +121,11 @@ def prepare(rows: list[tuple[int, str]], rate: float) -> Items:
     place = np.concatenate([*(np.arange(length[i] - Q + 1) for i in long), np.zeros(0, np.int64)]).astype(np.int64)
     order = np.argsort(codes, kind="stable")
     distinct, first = np.unique(codes[order], return_index=True)
+    steps = np.maximum(edits, 1)[owner[order]]
     return Items(
         np.array([i for i, _ in kept], np.int64), units, [t for _, t in kept], edits, length - Q + 1 - edits * Q,
-        distinct, np.append(first, len(codes)), owner[order], place[order], np.flatnonzero(length < Q).tolist(),
+        distinct, np.append(first, len(codes)), owner[order], place[order],
+        np.minimum.reduceat(steps, first) if len(first) else steps, np.flatnonzero(length < Q).tolist(),
     )
 
 
@@ -138,46 +143,110 @@ def find(text: str | None, items: Items, present: np.ndarray) -> list[tuple[int,
         spots = np.flatnonzero(present[_slot(codes)])
         number = np.minimum(np.searchsorted(items.codes, codes[spots]), len(items.codes) - 1)
         known = items.codes[number] == codes[spots]
-        spots, number = spots[known], number[known]
-        for i, low, high in _bands(spots, number, items):
-            k = int(items.edits[i])
-            exact = plain.find(items.texts[i]) if i not in found else -1
+        for i, stretches in _bands(spots[known], number[known], items).items():
+            exact = plain.find(items.texts[i])
             if exact >= 0:
                 found[i] = (0, exact)
-            elif found.get(i, (1, 0))[0] > 0 and (hit := aligned(items.units[i], units, low - k, high + k, k)):
-                found[i] = min(found.get(i, hit), hit)
+                continue
+            for first, last in stretches:
+                hit = aligned(items.units[i], units, first, last, int(items.edits[i]))
+                if hit:
+                    found[i] = min(found.get(i, hit), hit)
+                    if found[i][0] == 1:  # no place has none
+                        break
     return sorted((int(items.ids[i]), n, at) for i, (n, at) in found.items())
 
 
-def _bands(spots: np.ndarray, number: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """item, first and last diagonal of the bands that hold enough different q-grams of the item."""
-    times = items.offsets[number + 1] - items.offsets[number]
-    total = int(times.sum())
-    if not total:
-        return []
-    posting = np.arange(total) - np.repeat(np.cumsum(times) - times, times) + np.repeat(items.offsets[number], times)
-    item, place = items.owner[posting], items.place[posting]
-    often = np.bincount(item, minlength=len(items.ids)) >= items.least
-    some = often[item]
-    item, place, diagonal = item[some], place[some], (np.repeat(spots, times) - items.place[posting])[some]
-    step = np.maximum(items.edits[item], 1)
-    band = np.floor_divide(diagonal, step)
-    if not len(band):
-        return []
-    item, band, place = np.concatenate([item, item]), np.concatenate([band, band - 1]), np.concatenate([place, place])
-    low = band.min()
-    key = item * (band.max() - low + 1) + (band - low)
-    order = np.argsort(key)
-    key = key[order]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    ends = np.append(starts[1:], len(key))
-    full = np.flatnonzero(ends - starts >= items.least[item[order[starts]]])
+def _thinned(spots: np.ndarray, number: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """The spots without those of a q-gram that repeats inside a window: its first and last one reach the same bands."""
+    order = np.lexsort((spots, number))
+    spots, number = spots[order], number[order]
+    window = spots // items.window[number]
+    new = np.append(True, (number[1:] != number[:-1]) | (window[1:] != window[:-1]))
+    kept = new | np.append(new[1:], True)
+    spots, number = spots[kept], number[kept]
+    order = np.argsort(spots, kind="stable")
+    return spots[order], number[order]
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different rows of some columns of whole numbers, in order."""
+    lows = [int(c.min()) for c in columns]
+    sizes = [int(c.max()) - low + 1 for c, low in zip(columns, lows, strict=True)]
+    if float(np.prod(np.array(sizes, float))) >= 2.0**62:
+        order = np.lexsort(columns[::-1])
+        rows = [c[order] for c in columns]
+        new = np.append(True, np.any([r[1:] != r[:-1] for r in rows], axis=0))
+        return tuple(r[new] for r in rows)
+    key = columns[0] - lows[0]
+    for c, low, size in zip(columns[1:], lows[1:], sizes[1:], strict=True):
+        key = key * size + (c - low)
+    key = np.unique(key)
     out = []
-    for first, last in zip(starts[full].tolist(), ends[full].tolist(), strict=True):
-        i, b = int(item[order[first]]), int(band[order[first]])
-        if len(np.unique(place[order[first:last]])) >= items.least[i]:
-            k = max(int(items.edits[i]), 1)
-            out.append((i, b * k, (b + 2) * k - 1))
+    for low, size in zip(lows[:0:-1], sizes[:0:-1], strict=True):
+        key, rest = np.divmod(key, size)
+        out.append(rest + low)
+    return (key + lows[0], *out[::-1])
+
+
+def _bands(spots: np.ndarray, number: np.ndarray, items: Items) -> dict[int, list[tuple[int, int]]]:
+    """For each item the runs of diagonals, widened by its edits, whose bands hold enough different q-grams of the item.
+
+    The text is gone through in stretches of about STRETCH postings. Places met in a band are kept once, and only
+    while the band can still meet more, so memory follows the items and not the text.
+    """
+    times = items.offsets[number + 1] - items.offsets[number]
+    if int(times.sum()) > STRETCH:
+        spots, number = _thinned(spots, number, items)
+        times = items.offsets[number + 1] - items.offsets[number]
+    if not len(spots):
+        return {}
+    upto = np.cumsum(times)
+    cuts = np.unique(np.searchsorted(upto, np.arange(STRETCH, int(upto[-1]) + STRETCH, STRETCH), side="left") + 1)
+    pieces = [(int(a), int(b)) for a, b in zip([0, *cuts[:-1]], np.minimum(cuts, len(spots)), strict=True) if a < b]
+
+    def postings(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Spot and posting number of every posting of the spots from a to b."""
+        n = times[a:b]
+        first = np.repeat(items.offsets[number[a:b]], n)
+        return np.repeat(spots[a:b], n), first + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+    met = sum(np.bincount(items.owner[postings(a, b)[1]], minlength=len(items.ids)) for a, b in pieces)
+    often = met >= items.least
+    step, length = np.maximum(items.edits, 1), items.least + Q - 1 + items.edits * Q
+    none = np.zeros(0, np.int64)
+    open_ = (none, none, none)  # item, band, place
+    full: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, b in pieces:
+        where, posting = postings(a, b)
+        some = often[items.owner[posting]]
+        item, place = items.owner[posting[some]], items.place[posting[some]]
+        band = np.floor_divide(where[some] - place, step[item])
+        if len(item):
+            item, band, place = _distinct(item, band, place)
+            item, band, place = (np.concatenate(x) for x in ((item, item, open_[0]), (band, band - 1, open_[1]), (place, place, open_[2])))
+            open_ = _distinct(item, band, place)
+        item, band, place = open_
+        if not len(item):
+            continue
+        # a band is done when its last diagonal lies more than the item before the next spot
+        done = (band + 2) * step[item] + length[item] < spots[b] if b < len(spots) else np.ones(len(item), bool)
+        ready, at = item[done], band[done]
+        starts = np.flatnonzero(np.append(True, (ready[1:] != ready[:-1]) | (at[1:] != at[:-1]))) if len(ready) else none
+        size = np.diff(np.append(starts, len(ready)))
+        enough = starts[size >= items.least[ready[starts]]] if len(ready) else none
+        full.append((ready[enough], at[enough]))
+        open_ = tuple(c[~done] for c in open_)
+    item, band = (np.concatenate(x) for x in zip(*full, strict=True)) if full else (none, none)
+    out: dict[int, list[tuple[int, int]]] = {}
+    for at in np.lexsort((band, item)).tolist():
+        i, b = int(item[at]), int(band[at])
+        k, runs = int(step[i]), out.setdefault(int(item[at]), [])
+        first, last = b * k - int(items.edits[i]), (b + 2) * k - 1 + int(items.edits[i])
+        if runs and first <= runs[-1][1] + 1 and last - runs[-1][0] < WIDE:
+            runs[-1] = (runs[-1][0], last)
+        else:
+            runs.append((first, last))
     return out
 
 

@@ -1,7 +1,10 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +14,7 @@ from tokenizers import Tokenizer
 
 from docloom.llm import decontamination, language, line_dedup, mixing, quality, token_counts
 
+ROOT = Path(__file__).resolve().parents[2]
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -154,6 +158,43 @@ def test_decontamination_equals_full_alignment(spark, odd_docs):
     assert decontamination.contaminated(odd_docs.limit(0), listed).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [1 << 20, 40])
+def test_stretches_lose_no_item(monkeypatch, stretch):
+    """Repetitive and plain texts, cut into stretches anywhere, find what alignment with the whole text finds."""
+    monkeypatch.setattr(decontamination, "STRETCH", stretch)
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice(["ab", "ba", "aab", "c", "abcab"]) for _ in range(rng.randrange(5, 20)))) for i in range(12)]
+    items = decontamination.prepare([*rows, (50, "a" * 40), (51, "abcdefgh" * 6)], 0.1)
+    for trial in range(60):
+        base = rng.choice(["a" * rng.randrange(60), "ab" * rng.randrange(40), ""])
+        piece = list(rng.choice(rows)[1] if trial % 3 else "abcdefgh" * rng.randrange(4, 8))
+        for _ in range(rng.randrange(4)):
+            piece[rng.randrange(len(piece))] = rng.choice(["", "z", "ab"])
+        text = base + "".join(piece) + rng.choice(["a" * 30, "cab" * 9, ""])
+        got = {(i, n) for i, n, _ in decontamination.find(text, items, items.present())}
+        want = set()
+        for n, i in enumerate(items.ids.tolist()):
+            edits = brute_edits(items.texts[n], text)
+            if edits <= items.edits[n] and len(items.texts[n]) >= decontamination.Q:
+                want.add((i, edits))
+        assert got == want
+
+
+@pytest.mark.parametrize("item", ["a" * 300, "a" * 150 + "b" + "a" * 149, "ab" * 150])
+def test_a_megabyte_of_one_letter_is_bounded(item):
+    """In a process of its own, which reports its peak memory."""
+    code = (
+        "import resource, time; from docloom.llm import decontamination as d; items = d.prepare([(1, %r)], 0.1); "
+        "start = time.time(); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; "
+        "found = d.find('a' * 1_000_000, items, items.present()); "
+        "print(found, time.time() - start, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    ) % item
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True).stdout
+    found, seconds, megabytes = out.rsplit(" ", 2)
+    assert float(seconds) < 10 and int(megabytes) < 300
+    assert eval(found)[:1] == ([] if "ab" * 2 in item else [(1, int("b" in item), 0)])
+
+
 def test_language_on_held_out_rows_and_odd_texts(spark, odd_docs):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.train(docs.filter("doc_id % 3 > 0"))
