@@ -28,7 +28,7 @@ from docloom.session import with_checkpoints
 SUBSPACES = 8
 WORDS = 64
 SLACK = 1e-6  # on distances, far above rounding
-PLACED = "row_id long, label long, list int, home int, own boolean, code binary, error double, probed binary, vector binary"
+PLACED = "row_id long, label {label}, size int, list int, home int, own boolean, code binary, error double, probed binary, vector binary"
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -55,7 +55,6 @@ class Quantiser:
     centres: np.ndarray  # lists x padded dimension
     words: np.ndarray  # subspaces x words x width
     radius: float
-    reach: float  # how far the plane between two centroids may be for a probe
 
     def padded(self, vectors: np.ndarray) -> np.ndarray:
         short = self.centres.shape[1] - vectors.shape[1]
@@ -78,10 +77,10 @@ class Quantiser:
         between = np.sqrt(_nearest(self.centres[own], self.centres))
         reach = (distances - mine[:, None]) / np.maximum(2 * between, 1e-12)
         others = np.arange(len(self.centres))[None, :] != own[:, None]
-        return others & ((reach <= self.reach + SLACK) | (between < 1e-9))
+        return others & ((reach <= self.radius / 2 + SLACK) | (between < 1e-9))
 
 
-def fit(vectors: np.ndarray, lists: int, radius: float, sigmas: float | None = None, seed: int = 11) -> Quantiser:
+def fit(vectors: np.ndarray, lists: int, radius: float, seed: int = 11) -> Quantiser:
     """Coarse centroids and residual codewords from unit vectors; the fit only decides the cost."""
     rng = np.random.default_rng(seed)
     width = -(-vectors.shape[1] // SUBSPACES)
@@ -90,49 +89,48 @@ def fit(vectors: np.ndarray, lists: int, radius: float, sigmas: float | None = N
     residuals = points - centres[_nearest(points, centres).argmin(axis=1)]
     parts = residuals.reshape(len(points), SUBSPACES, width)
     few = [kmeans(parts[:, s].copy(), WORDS, 6, rng) for s in range(SUBSPACES)]
-    share = 1.0 if sigmas is None else min(1.0, sigmas / np.sqrt(vectors.shape[1]))
-    return Quantiser(vectors.shape[1], centres, np.stack(few), radius, radius / 2 * share)
+    return Quantiser(vectors.shape[1], centres, np.stack(few), radius)
 
 
-def _clean(vectors: pd.Series, dimension: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that can be compared, and those rows as doubles."""
-    rows, good = [], []
+def _clean(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length, the rows that can be compared, and those rows as doubles."""
+    found: dict[int, tuple[list[int], list[np.ndarray]]] = {}
     for i, v in enumerate(vectors):
-        if v is None or len(v) != dimension:
+        if v is None or not len(v):
             continue
         x = np.asarray(v, dtype=np.float64)
         if np.isfinite(x).all() and x.any():
-            rows.append(x)
+            good, rows = found.setdefault(len(x), ([], []))
             good.append(i)
-    return np.array(good, np.int64), np.array(rows).reshape(len(rows), dimension)
-
-
-def _train(rows: DataFrame, n: int, min_cosine: float, sigmas: float | None, sample_rows: int, max_lists: int) -> Quantiser | None:
-    sample = rows.orderBy(F.xxhash64("row_id")).limit(sample_rows).select("embedding").toPandas()["embedding"]
-    lengths = pd.Series([len(v) for v in sample if v is not None and len(v)], dtype="int64")
-    if not len(lengths):
-        return None
-    dimension = int(lengths.mode().max())
-    _, vectors = _clean(sample, dimension)
-    if not len(vectors):
-        return None
-    lists = int(np.clip(np.sqrt(n) / 4, 1, min(max_lists, max(1, len(vectors) // 8))))
-    radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
-    return fit(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), lists, radius, sigmas)
+            rows.append(x)
+    return {size: (np.array(good, np.int64), np.array(rows)) for size, (good, rows) in found.items()}
 
 
-def _place(rows: DataFrame, quantiser: Quantiser, kind: str) -> DataFrame:
+def _train(rows: DataFrame, min_cosine: float, sample_rows: int, max_lists: int) -> dict[int, Quantiser]:
+    """A quantiser for each length of vectors (lengths are few: each is a job), from a sample of its rows by hash."""
+    size = F.size("embedding")
+    counts = rows.filter(size > 0).groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()
+    radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
+    found = {}
+    for dimension, n in counts:
+        own = rows.filter(size == dimension).orderBy(F.xxhash64("row_id")).limit(sample_rows)
+        _, vectors = _clean(own.select("embedding").toPandas()["embedding"]).get(dimension, (None, np.zeros((0, 1))))
+        # rows that cannot be compared are no reason to leave a length out: without a usable sample all share one list
+        vectors = vectors if len(vectors) else np.ones((1, dimension))
+        lists = int(np.clip(np.sqrt(n) / 4, 1, min(max_lists, max(1, len(vectors) // 8))))
+        found[dimension] = fit(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), lists, radius)
+    return found
+
+
+def _place(rows: DataFrame, quantisers: dict[int, Quantiser], kind: str) -> DataFrame:
     """PLACED: each comparable vector in its own list, with its code, and in the lists it probes."""
-    held = rows.sparkSession.sparkContext.broadcast(quantiser)
+    held = rows.sparkSession.sparkContext.broadcast(quantisers)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = held.value
-        for batch in batches:
-            for start in range(0, len(batch), 2048):
-                part = batch.iloc[start : start + 2048]
-                good, vectors = _clean(part["embedding"], q.dimension)
-                if not len(good):
-                    continue
+        parts = (b.iloc[start : start + 2048] for b in batches for start in range(0, len(b), 2048))
+        for part in parts:
+            for size, (good, vectors) in _clean(part["embedding"]).items():
+                q = held.value[size]
                 unit = q.padded(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
                 distances = _nearest(unit, q.centres)
                 own = distances.argmin(axis=1)
@@ -144,7 +142,8 @@ def _place(rows: DataFrame, quantiser: Quantiser, kind: str) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "row_id": part["row_id"].to_numpy()[good][all_rows],
-                        "label": part["label"].to_numpy()[good][all_rows],
+                        "label": part["label"].iloc[good[all_rows]].reset_index(drop=True),
+                        "size": np.int32(size),
                         "list": np.concatenate([own, where]).astype(np.int32),
                         "home": own[all_rows].astype(np.int32),
                         "own": np.arange(len(all_rows)) < n,
@@ -155,7 +154,8 @@ def _place(rows: DataFrame, quantiser: Quantiser, kind: str) -> DataFrame:
                     }
                 )
 
-    return rows.select("row_id", "label", "embedding").mapInPandas(place, PLACED)
+    label = rows.schema["label"].dataType.simpleString()
+    return rows.select("row_id", "label", "embedding").mapInPandas(place, PLACED.format(label=label))
 
 
 def compare(tile: pd.DataFrame, quantiser: Quantiser, min_cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -210,14 +210,14 @@ def _least_in_component(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _links(placed: DataFrame, quantiser: Quantiser, min_cosine: float, tile_rows: int, kind: str) -> DataFrame:
+def _links(placed: DataFrame, quantisers: dict[int, Quantiser], min_cosine: float, tile_rows: int, kind: str) -> DataFrame:
     """row_id, n_links, least: links found in each pair of tiles and a row each row is joined to there.
 
     The rows of a list fill its first tiles, the visitors the others, twice as many in each. Tiles of
     the list meet each other and themselves, visitors' tiles those of the list only.
     """
-    held = placed.sparkSession.sparkContext.broadcast(quantiser)
-    key = ["label", "list"]
+    held = placed.sparkSession.sparkContext.broadcast(quantisers)
+    key = ["label", "size", "list"]
     own = F.col("own")
     tiles = lambda flag, rows: F.ceil(F.sum(flag.cast("int")) / rows).cast("int")
     sizes = placed.groupBy(*key).agg(
@@ -236,7 +236,7 @@ def _links(placed: DataFrame, quantiser: Quantiser, min_cosine: float, tile_rows
 
     def join_tile(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values("row_id", ignore_index=True)
-        a, b = compare(tile, held.value, min_cosine, kind)
+        a, b = compare(tile, held.value[int(tile["size"].iloc[0])], min_cosine, kind)
         n = np.bincount(np.concatenate([a, b]), minlength=len(tile))
         rows = tile["row_id"].to_numpy()
         out = pd.DataFrame({"row_id": rows, "n_links": n, "least": rows[_least_in_component(len(tile), a, b)]})
@@ -248,21 +248,18 @@ def _links(placed: DataFrame, quantiser: Quantiser, min_cosine: float, tile_rows
 def near_vectors(
     vectors: DataFrame,
     min_cosine: float = 0.93,
-    sigmas: float | None = None,
     sample_rows: int = 8_192,
     max_lists: int = 1024,
-    tile_rows: int = 128,
+    tile_rows: int = 2048,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
 
     Two rows are linked when their labels are equal and not null and their cosine in doubles is
-    min_cosine or more. Vectors that are null, empty, zero or hold null or non-finite components,
-    and those whose length is not the most frequent one of the sample, are linked with nothing.
+    min_cosine or more; vectors of different lengths have none. Labels of any type that Spark groups by are compared as
+    they are. Vectors that are null, empty, zero or hold null or non-finite components are linked with nothing.
     component_id is the least vec_id reachable; kept marks the row that carries it. Repeated rows
     are vectors of their own. A row without vec_id names no component (null if alone, then kept).
-
-    No link is lost unless a caller gives `sigmas`: then a list is probed only where its plane is within
-    sigmas / sqrt(dimension) of the lossless reach, if that is less than 1.
+    No link is lost.
 
     Lists number a quarter of the root of the rows, up to max_lists, and are fitted on at most
     sample_rows rows. A list is cut into tiles of about tile_rows rows, and pairs of tiles are groups:
@@ -272,17 +269,17 @@ def near_vectors(
     spark = vectors.sparkSession
     with_checkpoints(spark)
     rows = vectors.select(
-        "vec_id", F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")
     ).withColumn("row_id", F.monotonically_increasing_id()).checkpoint()
     usable = rows.filter("label is not null and embedding is not null")
-    quantiser = _train(usable, usable.count(), min_cosine, sigmas, sample_rows, max_lists)
+    quantisers = _train(usable, min_cosine, sample_rows, max_lists)
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
     ids = rows.select("row_id", "vec_id")
-    if quantiser is None:
+    if not quantisers:
         found = ids.select("row_id", F.lit(0).cast("bigint").alias("n_links"), F.col("row_id").alias("least")).limit(0)
     else:
-        placed = _place(usable, quantiser, kind).checkpoint()
-        found = _links(placed, quantiser, min_cosine, tile_rows, kind).checkpoint()
+        placed = _place(usable, quantisers, kind).checkpoint()
+        found = _links(placed, quantisers, min_cosine, tile_rows, kind).checkpoint()
     joined = components(found.select(F.col("row_id").alias("a"), F.col("least").alias("b")))
     counts = found.groupBy("row_id").agg(F.sum("n_links").alias("n_links"))
     rooted = ids.join(joined.withColumnRenamed("node", "row_id"), "row_id", "left")

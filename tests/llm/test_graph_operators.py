@@ -224,24 +224,48 @@ def planted(n, dimension, seed):
     return np.concatenate([base, near, hot]).astype(np.float32)
 
 
-@pytest.mark.parametrize("dimension,sigmas,recall", [(24, 8.0, 1.0), (30, 4.0, 0.99)])
-def test_vectors_equal_brute_force(spark, dimension, sigmas, recall):
+@pytest.mark.parametrize("dimension", [24, 30])
+def test_vectors_equal_brute_force(spark, dimension):
     x = planted(300, dimension, 6)
     labels = [int(i % 3) if i < 600 else 1 for i in range(len(x))]
     rows = [(i, x[i].tolist(), labels[i]) for i in range(len(x))]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: r for r in embeddings.near_vectors(frame, 0.93, sigmas, tile_rows=40).collect()}
+    got = {r.vec_id: r for r in embeddings.near_vectors(frame, 0.93, tile_rows=40).collect()}
     v = x.astype(float)
     length = np.linalg.norm(v, axis=1)
     linked = (v @ v.T) / np.outer(length, length) >= 0.93
     linked &= np.array(labels)[:, None] == np.array(labels)[None, :]
     np.fill_diagonal(linked, False)
     want = linked.sum(axis=1)
-    assert sum(r.n_links for r in got.values()) >= recall * want.sum() > 90_000
-    assert all(got[i].n_links <= want[i] for i in got)
-    if recall == 1.0:
-        roots = grouped(range(len(x)), np.argwhere(linked).tolist())
-        assert all(got[i].component_id == roots[i] and got[i].kept == (roots[i] == i) for i in got)
+    assert want.sum() > 90_000 and all(got[i].n_links == want[i] for i in got)
+    roots = grouped(range(len(x)), np.argwhere(linked).tolist())
+    assert all(got[i].component_id == roots[i] and got[i].kept == (roots[i] == i) for i in got)
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "int"])
+def test_vectors_of_several_lengths_and_label_types(spark, kind):
+    """Equal vectors of a rare length link; labels 0.2 and 0.7, "1" and "01" are different."""
+    names = {"string": ["1", "01", "", None], "double": [0.2, 0.7, 0.0, None], "int": [1, 2, 0, None]}[kind]
+    rng = np.random.default_rng(1)
+    rows, i = [], 0
+    for size, n in ((16, 300), (5, 12), (1, 4)):
+        base = rng.normal(size=(max(1, n // 4), size))
+        for _ in range(n):
+            v = base[rng.integers(0, len(base))] + 0.05 * rng.normal(size=size)
+            rows.append((i, v.astype(np.float32).tolist(), names[int(rng.integers(0, 4))]))
+            i += 1
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(frame).collect()}
+    near = []
+    for a, v, x in rows:
+        for b, w, y in rows:
+            if a != b and x is not None and x == y and len(v) == len(w):
+                p, q = np.array(v), np.array(w)
+                if p @ q / (np.linalg.norm(p) * np.linalg.norm(q)) >= 0.93:
+                    near.append((a, b))
+    roots = grouped(range(len(rows)), near)
+    links = {a: sum(x == a for x, _ in near) for a, _, _ in rows}
+    assert got == {a: (links[a], roots[a]) for a, _, _ in rows} and sum(links.values()) > 200
 
 
 def brute_links(x, labels):
