@@ -100,7 +100,7 @@ met as (
     select pair_id, turn, l.said as chosen, r.said as rejected, l.said is distinct from r.said as differs
     from left_side l full join right_side r using (pair_id, turn)),
 split as (
-    select *, turn // 64 as part, coalesce(turn < min(turn) filter (where differs) over (partition by pair_id), true) as shared from met),
+    select *, (row_number() over (partition by pair_id order by turn) - 1) // 64 as part, coalesce(turn < min(turn) filter (where differs) over (partition by pair_id), true) as shared from met),
 long as (
     select pair_id, part, turn, case when shared then 'prompt' else 'chosen' end as side, unnest(chosen) as t from split
     union all select pair_id, part, turn, 'rejected', unnest(rejected) from split where not shared),

@@ -3,7 +3,8 @@
 Turns of both sides meet by number. The prompt is the longest run of turns, from the first,
 that both sides have alike; what follows on either side is its completion. Only built-in
 functions are used, and no conversation is gathered whole: turns are grouped by number, the
-first difference is a minimum, and long texts come in parts of a fixed number of turns.
+first difference is a minimum, and long conversations come in parts of a fixed number of turns,
+counted from their first one.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.numbering import number_rows
+
 TURNS_A_PART = 64
 # The marks of a common public chat template.
 START, BREAK, END = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -57,7 +60,8 @@ def format_pairs(
     start anywhere. Turns of one side that share a number count as one, ordered by role and text,
     repeated rows among them once. Null roles and texts count as empty. Rows without pair_id or
     turn belong to no conversation. A pair with one side only has an empty prompt; equal sides
-    have empty completions. part is turn div turns_a_part: concatenating a pair's parts in order
+    have empty completions. A pair of up to turns_a_part turns is one row, whatever their numbers; a longer
+    one goes on in further parts of as many turns: concatenating a pair's parts in order
     gives the whole; n_prompt_turns counts the prompt's turns in the part.
     """
     turns = _side(chosen, True).unionByName(_side(rejected, False)).distinct()
@@ -68,9 +72,11 @@ def format_pairs(
     first = met.groupBy("pair_id").agg(F.min(F.when(F.col("chosen") != F.col("rejected"), F.col("turn"))).alias("first"))
     shared = F.col("first").isNull() | (F.col("turn") < F.col("first"))
     none = F.array().cast("array<struct<role:string,text:string>>")
-    split = met.join(first, "pair_id").select(
+    # numbered apart from the texts, which stay where they are
+    positions = number_rows(turns.select("pair_id", "turn").distinct(), ["pair_id"], "turn", "position")
+    split = met.join(positions, ["pair_id", "turn"]).join(first, "pair_id").select(
         "pair_id",
-        F.floor(F.col("turn") / turns_a_part).cast("bigint").alias("part"),
+        F.floor(F.col("position") / turns_a_part).cast("bigint").alias("part"),
         F.struct(
             "turn",
             F.when(shared, F.col("chosen")).otherwise(none).alias("prompt"),

@@ -81,6 +81,15 @@ def test_parts_add_up(spark):
     assert [tuple(r)[:3] for r in preferences.format_pairs(*preferences.with_stale_reply(odd)).collect()] == [(1, 0, 1)]
 
 
+@pytest.mark.parametrize("start", [60, -5, 10**12])
+def test_parts_follow_positions_not_numbers(spark, start):
+    """Ten turns with gaps are one row wherever their numbers lie."""
+    turns = [(7, start + 3 * t, "assistant" if t % 2 else "user", f"t{t}") for t in range(10)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    (row,) = preferences.format_pairs(*preferences.with_stale_reply(frame)).collect()
+    assert (row.part, row.n_prompt_turns) == (0, 9) and row.prompt.count("<|im_start|>") == 9
+
+
 def test_no_python_in_the_plan(spark, capsys):
     frame = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     preferences.format_pairs(*preferences.with_stale_reply(frame)).explain()
