@@ -8,6 +8,7 @@ training did not see.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,20 +26,33 @@ UNKNOWN = "und"
 RESULT = "lang_pred string, score double, rejected boolean"
 
 
-def subword_slots(text: str) -> np.ndarray:
-    """The bucket of every subword of a text."""
-    octets = np.frombuffer(f" {' '.join(text.lower().split())} ".encode(), np.uint8).astype(np.uint32)
-    slots, code = [], octets
-    for width in WIDTHS:
-        if width > 1:
-            code = code[: len(octets) - width + 1] * np.uint32(257) + octets[width - 1 :]
-        mixed = (code ^ np.uint32(width * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-        slots.append((mixed ^ (mixed >> np.uint32(15))) & np.uint32(BUCKETS - 1))
-    return np.concatenate(slots)
+STRETCH = 1 << 16  # bytes of a text whose subwords are counted at once
+
+
+def _slots(octets: np.ndarray, width: int) -> np.ndarray:
+    """The bucket of every subword of one width."""
+    code = octets[: len(octets) - width + 1]
+    for k in range(1, width):
+        code = code * np.uint32(257) + octets[k : len(octets) - width + 1 + k]
+    mixed = (code ^ np.uint32(width * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+    return (mixed ^ (mixed >> np.uint32(15))) & np.uint32(BUCKETS - 1)
+
+
+def subword_counts(text: str) -> np.ndarray:
+    """How many subwords of a whole text fall into each bucket; a long text is counted in stretches."""
+    octets = np.frombuffer(f" {' '.join(text.lower().split())} ".encode(), np.uint8)
+    counts = np.zeros(BUCKETS, np.int64)
+    for first in range(0, len(octets), STRETCH):
+        part = octets[first : first + STRETCH + WIDTHS[-1] - 1].astype(np.uint32)
+        for width in WIDTHS:
+            own = part[: STRETCH + width - 1]  # subwords that begin in this stretch
+            if len(own) >= width:
+                counts += np.bincount(_slots(own, width), minlength=BUCKETS)
+    return counts
 
 
 def shares(text: str) -> np.ndarray:
-    counts = np.bincount(subword_slots(text), minlength=BUCKETS).astype(np.float32)
+    counts = subword_counts(text).astype(np.float32)
     return counts / counts.sum()
 
 
@@ -63,21 +77,40 @@ class Model:
         return _softmax((shares(text) @ self.table)[None, :] / self.temperature)[0]
 
 
-def fit(texts: list[str], labels: list[str], width: int = 16, rounds: int = 12, seed: int = 7) -> Model:
-    """Trains on whole texts and on three short passages of each, so that short texts are known too.
+def lessons(text: str) -> list[np.ndarray]:
+    """Subword shares of a whole text and of three short passages of it, so that short texts are learnt too."""
+    words = text.split()
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    starts = rng.integers(0, max(1, len(words) - 4), 3).tolist() if len(words) > 12 else []
+    return [shares(piece) for piece in [text, *(" ".join(words[s : s + n]) for s, n in zip(starts, (4, 8, 12), strict=False))]]
+
+
+def packed(row: np.ndarray) -> bytes:
+    """The buckets in use and their shares."""
+    used = np.flatnonzero(row)
+    return used.astype("<u2").tobytes() + row[used].astype("<f4").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    row = np.zeros(BUCKETS, np.float32)
+    row[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return row
+
+
+def fit(taught: list[list[np.ndarray]], labels: list[str], width: int = 16, rounds: int = 12, seed: int = 7) -> Model:
+    """Trains on the lessons of each text and its label.
 
     A tenth of the texts calibrate: the temperature with the best likelihood on them, and the
     threshold that rejects one in a hundred of their right answers.
     """
     names = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    held = np.arange(len(texts)) % 10 == 9 if len(texts) >= 50 else np.zeros(len(texts), bool)
+    held = np.arange(len(taught)) % 10 == 9 if len(taught) >= 50 else np.zeros(len(taught), bool)
     rows, targets, calibrating = [], [], []
-    for text, label, out in zip(texts, labels, held, strict=True):
-        words = text.split()
-        starts = rng.integers(0, max(1, len(words) - 4), 3) if len(words) > 12 else []
-        for piece in [text, *(" ".join(words[s : s + n]) for s, n in zip(starts, (4, 8, 12), strict=False))]:
-            rows.append(shares(piece))
+    for pieces, label, out in zip(taught, labels, held, strict=True):
+        for piece in pieces:
+            rows.append(piece)
             targets.append(names.index(label))
             calibrating.append(out)
     x, y, out = np.stack(rows), np.array(targets), np.array(calibrating)
@@ -109,25 +142,34 @@ def fit(texts: list[str], labels: list[str], width: int = 16, rounds: int = 12,
     return fitted
 
 
-def train(docs: DataFrame, per_language: int = 300, total: int = 3000, chars: int = 20_000) -> Model | None:
+def train(docs: DataFrame, per_language: int = 300, total: int = 3000) -> Model | None:
     """Fits on at most total rows of docs (doc_id, text, lang); None where no row can be learnt from.
 
-    Rows without text, letter or lang are not learnt from. A sample text beyond chars is
-    learnt from by that many characters from its middle, which bounds what reaches the driver;
-    predictions read whole texts.
+    Rows without text, letter or lang are not learnt from. Of each language per_language ids are chosen by hash, of all
+    of them total, so at most total languages can be learnt; where ids repeat, the rows with the least
+    hashes stay, so reruns agree. Whole texts are learnt from: their subwords are counted where they lie, and at
+    most 48 kB a text or passage reach the driver.
     """
     labelled = docs.select("doc_id", F.col("lang").alias("label"))
     chosen = even_sample(labelled, per_language, total)
-    start = F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2).cast("int"))
+
+    @F.pandas_udf("array<binary>")
+    def taught(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[packed(x) for x in lessons(t)] if has_letter(t) else None for t in texts], dtype=object)
+
+    order = ["h", "doc_id", "lang"]
     sample = (
         docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
         .filter(F.col("lang").isNotNull())
-        .select("doc_id", "lang", F.substring("text", start, F.lit(chars)).alias("text"))
+        .select("doc_id", "lang", F.xxhash64("doc_id", "lang", "text").alias("h"), taught("text").alias("lessons"))
+        .filter(F.col("lessons").isNotNull())
+        .orderBy(*order)
         .limit(total)
         .toPandas()
     )
-    sample = sample[np.array([has_letter(t) for t in sample["text"]], dtype=bool)].sort_values(["doc_id", "lang", "text"])
-    return fit(sample["text"].tolist(), sample["lang"].tolist()) if len(sample) else None
+    rows = [[unpacked(x) for x in pieces] for pieces in sample["lessons"]]
+    return fit(rows, sample["lang"].tolist()) if rows else None
 
 
 def language(text: Column, model: Model | None, spark) -> Column:

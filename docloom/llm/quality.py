@@ -1,16 +1,19 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms are hashed n-grams of word shapes (a run of letters of one case or of digits counts as
-one sign) and repetitions of words. Term weights of the labelled sample are factored by a
-truncated singular value decomposition; the sample's vectors are broadcast and compared with
-every document in blocks of exact cosine products.
+Terms are hashed words, hashed byte n-grams of words, and hashed n-grams of word shapes (a run of
+letters of one case or of digits counts as one sign) with repetitions of words. Each of the three groups
+has unit length and a fixed share. Term weights of the labelled sample are factored by a truncated singular
+value decomposition; the sample's vectors are broadcast and compared with every document in
+blocks of exact cosine products, and the nearest ones vote, weighted by similarity.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,7 +23,14 @@ from pyspark.sql import types as T
 
 from docloom.llm.samples import even_sample
 
-TERMS = 1024
+SHAPES = 1024
+WORDS = 1 << 15
+GRAMS = 1 << 15
+TERMS = SHAPES + WORDS + GRAMS
+GROUPS = [(0, SHAPES, 0.6), (SHAPES, SHAPES + WORDS, 0.2), (SHAPES + WORDS, TERMS, 0.2)]  # first, last, share of a cosine
+GRAM = 4  # bytes of an n-gram
+NEIGHBOURS = 100
+STRETCH = 1 << 16  # bytes of a text whose shapes are counted at once
 _REPEATED, _CHANGED, _FIRST_HASHED = 0, 1, 2
 _LOWER, _UPPER, _DIGIT, _OTHER = 1, 2, 3, 4
 SIGNS = 64
@@ -41,30 +51,82 @@ def _signs() -> np.ndarray:
 _SIGN = _signs()
 
 
-def term_counts(text: str | None) -> np.ndarray:
-    """Counts of the hashed terms of one whole text."""
-    counts = np.zeros(TERMS)
-    if not text:
-        return counts
-    sign = _SIGN[np.frombuffer(text.encode(), np.uint8)]
-    fresh = np.ones(len(sign), bool)
-    fresh[1:] = (sign[1:] != sign[:-1]) | (sign[1:] > _DIGIT)
-    sign = np.concatenate(([0, 0], sign[fresh], [0]))
-    for width in (2, 3):
-        code = sign[: len(sign) - width + 1].copy()
-        for k in range(1, width):
-            code = code * SIGNS + sign[k : len(sign) - width + 1 + k]
-        slot = ((code * 0x9E3779B1 + width) % 4294967291) % (TERMS - _FIRST_HASHED) + _FIRST_HASHED
-        counts += np.bincount(slot, minlength=TERMS)
-    words = text.split()
-    counts[_REPEATED] = sum(map(eq, words, words[1:]))
-    counts[_CHANGED] = max(0, len(words) - 1) - counts[_REPEATED]
+def _shape_counts(octets: np.ndarray) -> np.ndarray:
+    """Counts of the hashed shapes of a whole text, in stretches that overlap by what an n-gram can span."""
+    counts = np.zeros(SHAPES)
+    last = np.zeros(2, np.int64)  # the signs before the stretch
+    previous = -1
+    for first in range(0, len(octets) + 1, STRETCH):
+        sign = _SIGN[octets[first : first + STRETCH]]
+        before = np.append(previous, sign[:-1]) if len(sign) else sign
+        fresh = (sign != before) | (sign > _DIGIT)
+        previous = int(sign[-1]) if len(sign) else previous
+        own = sign[fresh]
+        if first + STRETCH > len(octets):
+            own = np.append(own, 0)  # the end of the text
+        run = np.concatenate((last, own))
+        for width in (2, 3):
+            ends = run[2 - width + 1 :]  # n-grams that end in this stretch
+            code = ends[: len(ends) - width + 1].copy()
+            for k in range(1, width):
+                code = code * SIGNS + ends[k : len(ends) - width + 1 + k]
+            slot = ((code * 0x9E3779B1 + width) % 4294967291) % (SHAPES - _FIRST_HASHED) + _FIRST_HASHED
+            counts += np.bincount(slot, minlength=SHAPES)
+        last = run[-2:]
     return counts
 
 
-def _frequencies(counts: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of the terms in each row; zero rows stay zero."""
-    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+def _word_slots(word: bytes) -> tuple[int, ...]:
+    """The slots of a word and of its n-grams, with a space at both ends."""
+    framed = b" " + word + b" "
+    grams = (framed[i : i + GRAM] for i in range(max(1, len(framed) - GRAM + 1)))
+    return (SHAPES + crc32(word) % WORDS, *(SHAPES + WORDS + crc32(g) % GRAMS for g in grams))
+
+
+_KNOWN: dict[bytes, tuple[int, ...]] = {}
+
+
+def _slots_of(word: bytes) -> tuple[int, ...]:
+    """As `_word_slots`; a worker keeps those of up to 200,000 short words."""
+    if len(word) > 32:
+        return _word_slots(word)
+    found = _KNOWN.get(word)
+    if found is None:
+        if len(_KNOWN) >= 200_000:
+            _KNOWN.clear()
+        found = _KNOWN[word] = _word_slots(word)
+    return found
+
+
+def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of one whole text, ascending, and their counts."""
+    if not text:
+        return np.zeros(0, np.int64), np.zeros(0)
+    shapes = _shape_counts(np.frombuffer(text.encode(), np.uint8))
+    words = text.split()
+    shapes[_REPEATED] = sum(map(eq, words, words[1:]))
+    shapes[_CHANGED] = max(0, len(words) - 1) - shapes[_REPEATED]
+    slots, times = [], []
+    for word, n in Counter(text.lower().encode().split()).items():
+        own = _slots_of(word)
+        slots += own
+        times += [n] * len(own)
+    counts = np.bincount(np.array(slots, np.int64), np.array(times, float), minlength=TERMS)
+    counts[:SHAPES] = shapes
+    used = np.flatnonzero(counts)
+    return used, counts[used]
+
+
+def _values(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Square roots of the shares of the terms in their group, weighted, each group at its share of unit length."""
+    out = np.zeros(len(terms))
+    bounds = np.searchsorted(terms, [b for b, _, _ in GROUPS] + [TERMS])
+    for (_, _, share), a, b in zip(GROUPS, bounds, bounds[1:], strict=False):
+        values = np.sqrt(counts[a:b] / max(counts[a:b].sum(), 1.0))
+        values = values if weights is None else values * weights[terms[a:b]]
+        length = np.linalg.norm(values)
+        out[a:b] = values / length * np.sqrt(share) if length > 1e-12 else 0.0
+    return out
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -80,31 +142,56 @@ class Model:
     labels: np.ndarray  # 0 or 1
     sharpness: float
 
-    def project(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(_unit(_frequencies(counts) * self.weights) @ self.axes)
+    def project(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return _unit(np.array([_values(t, n, self.weights) @ self.axes[t] for t, n in rows]).reshape(len(rows), -1))
+
+    def score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Share of label 1 among the nearest labelled rows, each weighted by exp(sharpness * (cosine - 1)).
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
-        """Share of label 1 among all labelled rows, each weighted by exp(sharpness * (cosine - 1))."""
-        cosines = self.project(counts) @ self.vectors.T
-        votes = np.exp(self.sharpness * (cosines - cosines.max(axis=1, keepdims=True)))
+        Rows as near as the last of the nearest vote too, so no order decides.
+        """
+        cosines = np.round(self.project(rows) @ self.vectors.T, 9)
+        k = min(NEIGHBOURS, cosines.shape[1])
+        least = np.partition(cosines, -k, axis=1)[:, -k]
+        votes = np.exp(self.sharpness * (cosines - cosines.max(axis=1, keepdims=True))) * (cosines >= least[:, None])
         return np.clip(votes @ self.labels / votes.sum(axis=1), 0.0, 1.0)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = 48, sharpness: float = 60.0) -> Model:
-    """Model from term counts (rows x TERMS) and labels 0/1 of the same rows; needs one row."""
-    used = _frequencies(counts)
-    weights = np.log((1 + len(used)) / (1 + (used > 0).sum(axis=0))) + 0.1
-    rows = _unit(used * weights)
-    values, axes = np.linalg.eigh(rows.T @ rows)
-    axes = np.ascontiguousarray(axes[:, np.argsort(-values)[:dimensions]])
-    return Model(weights, axes, _unit(rows @ axes), labels.astype(float), sharpness)
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int = 64, sharpness: float = 30.0) -> Model:
+    """Model from term counts of some texts and their labels 0/1; needs one row.
+
+    The sample's rows are fewer than the terms, so the decomposition is that of their products with each other.
+    """
+    found = np.bincount(np.concatenate([t for t, _ in rows]).astype(np.int64), minlength=TERMS)
+    weights = np.log((1 + len(rows)) / (1 + found)) + 0.1
+    dense = np.zeros((len(rows), TERMS), np.float32)
+    for at, (t, n) in enumerate(rows):
+        dense[at, t] = _values(t, n, weights)
+    values, left = np.linalg.eigh((dense @ dense.T).astype(np.float64))
+    best = np.argsort(-values)[:dimensions]
+    best = best[values[best] > 1e-6]
+    axes = (dense.T @ left[:, best].astype(np.float32)) / np.sqrt(values[best]).astype(np.float32)
+    axes = axes.astype(np.float32) if len(best) else np.zeros((TERMS, 1), np.float32)
+    model = Model(weights, axes, np.zeros((0, 1)), labels.astype(float), sharpness)
+    model.vectors = model.project(rows)
+    return model
+
+
+def _packed(text: str | None) -> bytes:
+    terms, counts = term_counts(text)
+    return terms.astype("<u4").tobytes() + counts.astype("<f4").tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 8
+    return np.frombuffer(raw, "<u4", n).astype(np.int64), np.frombuffer(raw, "<f4", n, 4 * n).astype(float)
 
 
 def _counts_column(text: Column) -> Column:
     @F.pandas_udf(T.BinaryType())
     def counts_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([term_counts(t).astype("<f4").tobytes() for t in texts], dtype=object)
+            yield pd.Series([_packed(t) for t in texts], dtype=object)
 
     return counts_of(text)
 
@@ -113,18 +200,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, total: int
     """Fits on at most total labelled documents; None where no document has a label.
 
     docs: doc_id, text; labels: doc_id, label (0 or 1, others are ignored). An id labelled
-    both ways counts as the smaller label. Only fixed-size term counts of the sample (4 kB a
-    row) reach the driver, never texts.
+    both ways counts as the smaller label; where ids repeat in docs, the rows with the least hashes stay, so reruns
+    agree. Only term counts of the sample (8 bytes a different term, of TERMS) reach the driver, never texts.
     """
     clean = labels.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = even_sample(clean, per_label, total)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sample.limit(total).select("doc_id", "label", _counts_column(F.col("text")).alias("counts")).toPandas()
-    if not len(rows):
-        return None
-    rows = rows.sort_values(["doc_id", "counts"])
-    counts = np.stack([np.frombuffer(c, "<f4") for c in rows["counts"]]).astype(float)
-    return fit(counts, rows["label"].to_numpy("int64"))
+    hashed = F.xxhash64("doc_id", "text").alias("h")
+    rows = sample.select("doc_id", "label", hashed, _counts_column(F.col("text")).alias("counts")).orderBy("h", "doc_id").limit(total)
+    rows = rows.toPandas()
+    return fit([_unpacked(c) for c in rows["counts"]], rows["label"].to_numpy("int64")) if len(rows) else None
 
 
 def quality_score(text: Column, model: Model | None, spark, block_rows: int = 512) -> Column:
@@ -143,7 +228,7 @@ def quality_score(text: Column, model: Model | None, spark, block_rows: int = 51
                 yield pd.Series(np.full(len(texts), 0.5))
                 continue
             parts = [
-                known.score(np.stack([term_counts(t) for t in texts.iloc[i : i + block_rows]]))
+                known.score([term_counts(t) for t in texts.iloc[i : i + block_rows]])
                 for i in range(0, len(texts), block_rows)
             ]
             yield pd.Series(np.round(np.concatenate([*parts, np.zeros(0)]), 9))
