@@ -8,17 +8,26 @@ other hashes lie within four bits of one hash.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed_values as fv
+from docloom.operators.graphs import components
+from docloom.operators.sizing import broadcast_if_small
 from docloom.session import with_checkpoints
 
+# Ship `_decided_in_order` with the job: executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_DISTANCE = fv.NEAR_DUPLICATE_BITS - 1
 BANDS = MAX_DISTANCE + 1  # two hashes within four bits agree on at least one of five bands
 HOT_BUCKET_ROWS = 2_000
+GROUP_PAIRS = 200_000
 BUCKET = ["job_id", "mask", "value"]
 
 
@@ -93,15 +102,22 @@ def near_pairs(images: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(images: DataFrame) -> DataFrame:
-    """The images a pass in input order would keep: each unless a kept earlier one is near.
+def _decided_in_order(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The images of one component that a pass in input order drops."""
+    dropped: set = set()
+    rows = pairs.sort_values(["job_id", "later", "earlier"])
+    for job, earlier, later in zip(rows["job_id"], rows["earlier"], rows["later"], strict=True):
+        if (job, earlier) not in dropped:
+            dropped.add((job, later))
+    return pd.DataFrame(sorted(dropped), columns=["job_id", "seq"]).astype({"job_id": pairs["job_id"].dtype, "seq": "int64"})
+
+
+def _dropped_in_rounds(open_pairs: DataFrame) -> DataFrame:
+    """job_id, seq of dropped images, by rounds over the pairs of large components.
 
-    Rounds over the near pairs: an image all of whose earlier neighbours are dropped is
-    kept, its later neighbours are dropped. A pair leaves the table as soon as either
-    side is decided, and each round ends in a checkpoint. Images without a hash stay.
+    An image all of whose earlier neighbours are dropped is kept, its later neighbours are dropped. A pair leaves
+    the table as soon as either side is decided, and each round ends in a checkpoint.
     """
-    with_checkpoints(images.sparkSession)
-    open_pairs = near_pairs(images).checkpoint()
     dropped = open_pairs.select("job_id", F.col("later").alias("seq")).limit(0)
     while not open_pairs.isEmpty():
         firsts = (
@@ -120,6 +136,35 @@ def drop_near_duplicates(images: DataFrame) -> DataFrame:
         for side in ("earlier", "later"):
             open_pairs = open_pairs.join(lost.withColumnRenamed("seq", side), ["job_id", side], "left_anti")
         open_pairs = open_pairs.checkpoint()
+    return dropped
+
+
+def dropped_images(pairs: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
+    """job_id, seq: what a pass in input order drops, each image that a kept earlier one is near.
+
+    pairs: job_id, earlier, later. What is decided for an image depends on its component of the near graph
+    only. A component of up to group_pairs pairs is decided in one task, in order, however long its chains
+    are; finding the components takes rounds that follow the logarithm of the longest. Larger components, which
+    no task could hold, are decided by rounds over all of them. Nodes are joined by a 64-bit hash of job and
+    number: if two meet, their components are decided together, with the same result.
+    """
+    with_checkpoints(pairs.sparkSession)
+    node = lambda side: F.xxhash64("job_id", side)
+    joined = components(pairs.select(node("earlier").alias("a"), node("later").alias("b")))
+    rooted = pairs.withColumn("node", node("later")).join(joined, "node").select("root", "job_id", "earlier", "later").checkpoint()
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
+    large = broadcast_if_small(sizes.filter(F.col("n") > group_pairs).select("root"))
+    small = rooted.join(large, "root", "left_anti")
+    kind = pairs.schema["job_id"].dataType.simpleString()
+    in_order = small.groupBy("root").applyInPandas(_decided_in_order, f"job_id {kind}, seq bigint")
+    rest = rooted.join(large, "root", "left_semi").drop("root").checkpoint()
+    return in_order.unionByName(_dropped_in_rounds(rest))
+
+
+def drop_near_duplicates(images: DataFrame) -> DataFrame:
+    """The images a pass in input order would keep: each unless a kept earlier one is near. Images without a hash stay."""
+    with_checkpoints(images.sparkSession)
+    dropped = dropped_images(near_pairs(images).checkpoint())
     keepers = distinct_hashes(images).join(dropped, ["job_id", "seq"], "left_anti")
     hashed = images.filter("hash64 is not null").join(keepers.select("job_id", "seq"), ["job_id", "seq"], "left_semi")
     return hashed.unionByName(images.filter("hash64 is null"))

@@ -90,6 +90,36 @@ def test_near_duplicates_equal_one_pass_in_order(spark, monkeypatch, hot):
     assert pairs == expected
 
 
+@pytest.mark.parametrize("group_pairs", [200_000, 3])
+def test_components_decide_like_a_pass_in_order(spark, group_pairs):
+    """Random near graphs over two jobs, decided in one task each or in rounds."""
+    rng = random.Random(8)
+    pairs = {(f"j{rng.randrange(2)}", *sorted(rng.sample(range(120), 2))) for _ in range(110)}
+    frame = spark.createDataFrame(sorted(pairs), "job_id string, earlier long, later long")
+    dropped = set()
+    for job, earlier, later in sorted(pairs, key=lambda p: (p[2], p[1])):
+        if (job, earlier) not in dropped:
+            dropped.add((job, later))
+    got = [(r.job_id, r.seq) for r in near_duplicates.dropped_images(frame, group_pairs).collect()]
+    assert sorted(got) == sorted(dropped) and len(got) > 30
+    assert near_duplicates.dropped_images(frame.limit(0)).count() == 0
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rng, value, rows = random.Random(4), 0, []
+    for seq in range(1000):
+        rows.append((seq, "j", value))
+        for bit in rng.sample(range(64), 4):
+            value ^= 1 << bit
+    df = spark.createDataFrame([(s, j, signed(v)) for s, j, v in rows], "seq long, job_id string, hash64 long")
+    kind, rounds = type(df), []
+    plain = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **k: rounds.append(1) or plain(self, *a, **k))
+    kept = {r["seq"] for r in near_duplicates.drop_near_duplicates(df).collect()}
+    assert kept == greedy(rows) and 400 < len(kept) < 600
+    assert len(rounds) < 20
+
+
 def test_no_near_pairs(spark):
     df = spark.createDataFrame([(1, "j", 0), (2, "j", -1), (3, "j", 0)], "seq long, job_id string, hash64 long")
     assert {r["seq"] for r in near_duplicates.drop_near_duplicates(df).collect()} == {1, 2}
