@@ -30,6 +30,7 @@ TERMS = SHAPES + WORDS + GRAMS
 GROUPS = [(0, SHAPES, 0.6), (SHAPES, SHAPES + WORDS, 0.2), (SHAPES + WORDS, TERMS, 0.2)]  # first, last, share of a cosine
 GRAM = 4  # bytes of an n-gram
 NEIGHBOURS = 100
+FIT_TERMS = 1 << 12  # terms looked at together in fitting
 STRETCH = 1 << 16  # bytes of a text whose shapes are counted at once
 _REPEATED, _CHANGED, _FIRST_HASHED = 0, 1, 2
 _LOWER, _UPPER, _DIGIT, _OTHER = 1, 2, 3, 4
@@ -157,21 +158,35 @@ class Model:
         return np.clip(votes @ self.labels / votes.sum(axis=1), 0.0, 1.0)
 
 
+def _columns(rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+    """The matrix of rows (terms, values) in runs of FIT_TERMS columns, each with the first of its columns."""
+    for first in range(0, TERMS, FIT_TERMS):
+        part = np.zeros((len(rows), FIT_TERMS), np.float32)
+        for at, (terms, values) in enumerate(rows):
+            a, b = np.searchsorted(terms, (first, first + FIT_TERMS))
+            part[at, terms[a:b] - first] = values[a:b]
+        yield first, part
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int = 64, sharpness: float = 30.0) -> Model:
     """Model from term counts of some texts and their labels 0/1; needs one row.
 
-    The sample's rows are fewer than the terms, so the decomposition is that of their products with each other.
+    The sample's rows are fewer than the terms, so the decomposition is that of their products with each other,
+    summed over runs of terms.
     """
     found = np.bincount(np.concatenate([t for t, _ in rows]).astype(np.int64), minlength=TERMS)
     weights = np.log((1 + len(rows)) / (1 + found)) + 0.1
-    dense = np.zeros((len(rows), TERMS), np.float32)
-    for at, (t, n) in enumerate(rows):
-        dense[at, t] = _values(t, n, weights)
-    values, left = np.linalg.eigh((dense @ dense.T).astype(np.float64))
+    weighed = [(t, _values(t, n, weights)) for t, n in rows]
+    products = np.zeros((len(rows), len(rows)), np.float32)
+    for _, part in _columns(weighed):
+        products += part @ part.T
+    values, left = np.linalg.eigh(products.astype(np.float64))
     best = np.argsort(-values)[:dimensions]
     best = best[values[best] > 1e-6]
-    axes = (dense.T @ left[:, best].astype(np.float32)) / np.sqrt(values[best]).astype(np.float32)
-    axes = axes.astype(np.float32) if len(best) else np.zeros((TERMS, 1), np.float32)
+    axes = np.zeros((TERMS, max(1, len(best))), np.float32)
+    sides = (left[:, best] / np.sqrt(values[best])).astype(np.float32)
+    for first, part in _columns(weighed) if len(best) else ():
+        axes[first : first + FIT_TERMS] = (part.T @ sides)[: TERMS - first]
     model = Model(weights, axes, np.zeros((0, 1)), labels.astype(float), sharpness)
     model.vectors = model.project(rows)
     return model
