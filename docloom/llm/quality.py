@@ -120,7 +120,7 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def _values(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     """Square roots of the shares of the terms in their group, weighted, each group at its share of unit length."""
-    out = np.zeros(len(terms))
+    out = np.zeros(len(terms), np.float32)
     bounds = np.searchsorted(terms, [b for b, _, _ in GROUPS] + [TERMS])
     for (_, _, share), a, b in zip(GROUPS, bounds, bounds[1:], strict=False):
         values = np.sqrt(counts[a:b] / max(counts[a:b].sum(), 1.0))
@@ -151,7 +151,7 @@ class Model:
 
         Rows as near as the last of the nearest vote too, so no order decides.
         """
-        cosines = np.round(self.project(rows) @ self.vectors.T, 9)
+        cosines = np.round(self.project(rows).astype(float) @ self.vectors.T.astype(float), 9)
         k = min(NEIGHBOURS, cosines.shape[1])
         least = np.partition(cosines, -k, axis=1)[:, -k]
         votes = np.exp(self.sharpness * (cosines - cosines.max(axis=1, keepdims=True))) * (cosines >= least[:, None])
@@ -168,6 +168,16 @@ def _columns(rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, n
         yield first, part
 
 
+def _largest(products: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues and their vectors of a symmetric matrix, by subspace iteration from a fixed start."""
+    q = np.random.default_rng(5).normal(size=(len(products), min(len(products), k + 16))).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(products @ q)[0]
+    values, inner = np.linalg.eigh((q.T @ (products @ q)).astype(np.float64))
+    order = np.argsort(-values)[:k]
+    return values[order], q @ inner[:, order].astype(np.float32)
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int = 64, sharpness: float = 30.0) -> Model:
     """Model from term counts of some texts and their labels 0/1; needs one row.
 
@@ -180,9 +190,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimension
     products = np.zeros((len(rows), len(rows)), np.float32)
     for _, part in _columns(weighed):
         products += part @ part.T
-    values, left = np.linalg.eigh(products.astype(np.float64))
-    best = np.argsort(-values)[:dimensions]
-    best = best[values[best] > 1e-6]
+    values, left = _largest(products, dimensions)
+    best = np.flatnonzero(values > 1e-5)
     axes = np.zeros((TERMS, max(1, len(best))), np.float32)
     sides = (left[:, best] / np.sqrt(values[best])).astype(np.float32)
     for first, part in _columns(weighed) if len(best) else ():
@@ -199,7 +208,7 @@ def _packed(text: str | None) -> bytes:
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw) // 8
-    return np.frombuffer(raw, "<u4", n).astype(np.int64), np.frombuffer(raw, "<f4", n, 4 * n).astype(float)
+    return np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<f4", n, 4 * n)
 
 
 def _counts_column(text: Column) -> Column:
