@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import with_checkpoints
+
 # Longer pieces are rarer: an eight-character one is found in few texts that lack the name.
 PIECE_CHARS = 8
 
@@ -26,16 +28,16 @@ def tag_overlap(tags1: Column, tags2: Column) -> Column:
     )
 
 
-def _pieces(text: Column, sizes: list[int]) -> Column:
-    """Distinct substrings of the given lengths."""
+def _pieces(text: Column, sizes: Column) -> Column:
+    """Distinct substrings of the lengths in an array."""
 
-    def of(n: int) -> Column:
+    def of(n: Column) -> Column:
         last = F.length(text) - n + 1
         return F.when(
-            last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, n))
+            last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, n))
         ).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+    return F.array_distinct(F.flatten(F.transform(sizes, of)))
 
 
 def _longest_pieces(name: Column) -> Column:
@@ -45,10 +47,10 @@ def _longest_pieces(name: Column) -> Column:
     )
 
 
-def _piece_sizes(names: DataFrame) -> list[int]:
-    """The piece lengths that occur, at most PIECE_CHARS numbers."""
-    sizes = names.select(F.least(F.length("name"), F.lit(PIECE_CHARS)).alias("n")).distinct().collect()
-    return sorted(r["n"] for r in sizes) or [PIECE_CHARS]
+def _piece_sizes(names: DataFrame) -> DataFrame:
+    """job_id, sizes: the piece lengths that occur in each job, at most PIECE_CHARS numbers."""
+    size = F.least(F.length("name"), F.lit(PIECE_CHARS))
+    return names.groupBy("job_id").agg(F.collect_set(size).alias("sizes"))
 
 
 def _rarest(rows: DataFrame, owner: list[str], key: str, counts: DataFrame, keep: Column | int) -> DataFrame:
@@ -62,8 +64,10 @@ def name_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:
     """job_id, item_id, image_id where the name occurs in the description or an association.
 
     A text that holds the name holds every piece of it; the join uses the piece that
-    is rarest among the texts. Equal names and equal texts are compared once.
+    is rarest among the texts. Equal names and equal texts are compared once. Texts are cut into pieces of
+    the lengths that their own job's names have, once, and only pieces that are in a name are kept.
     """
+    with_checkpoints(items.sparkSession)
     texts = analyses.select(
         "job_id",
         "image_id",
@@ -71,13 +75,13 @@ def name_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:
     ).select("job_id", "image_id", F.lower("t").alias("t")).filter("t is not null")
     names = items.select("job_id", "item_id", F.lower("name").alias("name")).filter("name <> ''")
 
-    pieces = texts.select("job_id", "t").distinct().select(
-        "*", F.explode(_pieces(F.col("t"), _piece_sizes(names))).alias("piece")
-    )
-    counts = pieces.groupBy("job_id", "piece").agg(F.count("*").alias("n"))
     keys = names.select("job_id", "name").distinct().select(
         "*", F.explode(_longest_pieces(F.col("name"))).alias("piece")
     )
+    cut = texts.select("job_id", "t").distinct().join(_piece_sizes(names), "job_id")
+    pieces = cut.select("job_id", "t", F.explode(_pieces(F.col("t"), F.col("sizes"))).alias("piece"))
+    pieces = pieces.join(keys.select("job_id", "piece").distinct(), ["job_id", "piece"], "left_semi").checkpoint()
+    counts = pieces.groupBy("job_id", "piece").agg(F.count("*").alias("n"))
     keys = _rarest(keys, ["job_id", "name"], "piece", counts, 1)
     found = pieces.join(keys, ["job_id", "piece"]).filter(F.contains("t", F.col("name")))
     return (

@@ -184,6 +184,39 @@ def keyword_stats(pages: DataFrame) -> DataFrame:
     return _one_row(totals, distinct)
 
 
+SKETCH_LOG_SIZE = 14  # 16,384 registers: a standard error of about 0.8 %, so nearly always within 2.5 %
+
+
+def stats_sketch(pages: DataFrame) -> DataFrame:
+    """One row that stands for a batch of pages: page and keyword totals, and sketches of its documents and keywords.
+
+    Rows of several batches are merged by `merged_stats`; an append reads its own pages only.
+    """
+    words = pages.select("doc_id", F.posexplode_outer(tx.keywords(F.col("text"))).alias("place", "keyword"))
+    return words.agg(
+        F.count_if(F.coalesce("place", F.lit(0)) == 0).alias("pages"),
+        F.count("keyword").alias("page_keywords"),
+        F.hll_sketch_agg("doc_id", F.lit(SKETCH_LOG_SIZE)).alias("documents"),
+        F.hll_sketch_agg("keyword", F.lit(SKETCH_LOG_SIZE)).alias("keywords"),
+    )
+
+
+def merged_stats(sketches: DataFrame) -> DataFrame:
+    """total_documents, total_pages, total_keywords, avg_keywords_per_page over batches; the two distinct counts are estimates.
+
+    A page that is in two batches counts twice in the totals and once in the estimates. `keyword_stats` is exact.
+    """
+    whole = sketches.agg(
+        F.hll_union_agg("documents").alias("documents"), F.hll_union_agg("keywords").alias("keywords"),
+        F.coalesce(F.sum("pages"), F.lit(0)).alias("total_pages"), F.sum("page_keywords").alias("page_keywords"),
+    )
+    return whole.select(
+        F.hll_sketch_estimate("documents").alias("total_documents"), "total_pages",
+        F.round(F.try_divide("page_keywords", "total_pages"), 6).alias("avg_keywords_per_page"),
+        F.hll_sketch_estimate("keywords").alias("total_keywords"),
+    )
+
+
 def compress(postings_df: DataFrame, keep: int = 10) -> DataFrame:
     """The best postings of each keyword; the rank limit is applied before the shuffle as well."""
     best_first = Window.partitionBy("keyword").orderBy(F.desc("relevance"), "doc_id", "page_number")

@@ -115,6 +115,26 @@ def test_index_tree_nodes_and_stats(spark, pages):
     assert abs(rough - stats["total_keywords"]) <= 1
 
 
+def test_sketches_of_batches_merge_within_the_bound(spark, tmp_path):
+    """Each batch is read once, on its own; the merged estimates lie within 2.5 % of the exact counts."""
+    batches = [
+        spark.createDataFrame([(f"d{i % 900}", "f.pdf", i, f"word{i} common other{i % 700}") for i in range(a, a + 1500)], PAGES)
+        for a in range(0, 6000, 1000)
+    ]
+    for n, batch in enumerate(batches):
+        index.stats_sketch(batch).write.parquet(str(tmp_path / f"batch={n}"))
+    got = index.merged_stats(spark.read.parquet(*(str(tmp_path / f"batch={n}") for n in range(6)))).first()
+    whole = batches[0]
+    for batch in batches[1:]:
+        whole = whole.unionByName(batch)
+    want = index.keyword_stats(whole).first()
+    assert (got.total_pages, got.avg_keywords_per_page) == (want.total_pages, want.avg_keywords_per_page)
+    assert got.total_keywords == pytest.approx(want.total_keywords, rel=0.025)
+    assert got.total_documents == pytest.approx(want.total_documents, rel=0.025)
+    none = index.merged_stats(index.stats_sketch(batches[0].limit(0))).first()
+    assert (none.total_pages, none.total_keywords) == (0, 0)
+
+
 def test_compress_keeps_the_best(spark):
     rows = [("d%02d" % i, 1, "k", i / 20, 1) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id string, page_number long, keyword string, relevance double, position int")
