@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed_values as fv
 from docloom.functions import text as tx
+from docloom.operators.sizing import broadcast_if_small
 
 
 def parseable(files: DataFrame) -> DataFrame:
@@ -39,20 +40,28 @@ def _page_text() -> Column:
     return F.concat(F.lit("[Page "), "page_number", F.lit("]\n"), "text")
 
 
-def full_text(pages: DataFrame, pages_per_part: int = 1000) -> DataFrame:
+def full_text(pages: DataFrame, pages_per_part: int = 1000, chars_per_part: int = 16_000_000) -> DataFrame:
     """doc_id, part, text: labelled non-blank pages in order.
 
-    A document of up to pages_per_part page numbers is one row. A longer one has a
-    row per run of that many page numbers, so no group grows without bound; its whole
-    text is its parts in order, joined by a blank line.
+    A document of up to pages_per_part page numbers and chars_per_part characters is one row. A longer one
+    goes on in further parts: a run of page numbers is cut where its characters pass another chars_per_part, so no
+    row exceeds that and one page. The whole text is the parts in order, joined by a blank line. Only documents
+    of several parts are numbered, from page lengths; texts pass one shuffle.
     """
-    part = F.floor((F.col("page_number") - 1) / pages_per_part)
-    ordered = F.sort_array(F.collect_list(F.struct("page_number", _page_text().alias("t"))))
-    return (
-        non_blank_pages(pages)
-        .groupBy("doc_id", part.alias("part"))
-        .agg(F.array_join(F.transform(ordered, lambda p: p["t"]), "\n\n").alias("text"))
-    )
+    run = F.floor((F.col("page_number") - 1) / pages_per_part).alias("run")
+    before = Window.partitionBy("doc_id", "run").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.floor(F.coalesce(F.sum("chars").over(before), F.lit(0)) / chars_per_part)
+    labelled = non_blank_pages(pages).select("doc_id", "page_number", run, _page_text().alias("t"))
+    placed = labelled.withColumn("chars", F.length("t")).withColumn("cut", cut)
+    ordered = F.sort_array(F.collect_list(F.struct("page_number", "t")))
+    parts = placed.groupBy("doc_id", "run", "cut").agg(F.array_join(F.transform(ordered, lambda p: p["t"]), "\n\n").alias("text"))
+    lengths = labelled.select("doc_id", "page_number", "run", F.length("t").alias("chars")).withColumn("cut", cut)
+    several = lengths.groupBy("doc_id").agg(F.count_distinct("run", "cut").alias("n")).filter("n > 1")
+    names = lengths.join(several, "doc_id", "left_semi").select("doc_id", "run", "cut").distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("run", "cut")) - 1
+    names = broadcast_if_small(names.select("doc_id", "run", "cut", number.alias("number")))
+    numbered = parts.join(names, ["doc_id", "run", "cut"], "left")
+    return numbered.select("doc_id", F.coalesce("number", F.lit(0)).cast("bigint").alias("part"), "text")
 
 
 def text_start(pages: DataFrame, chars: int) -> DataFrame:

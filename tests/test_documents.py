@@ -24,6 +24,20 @@ def test_full_text_in_parts_is_whole(long_document):
     assert "\n\n".join(r["text"] for r in parts) == whole(rows)
 
 
+@pytest.mark.parametrize("chars_per_part", [1, 40, 100_000])
+def test_parts_are_bounded_by_characters(spark, long_document, chars_per_part):
+    short = spark.createDataFrame([("e", "e.pdf", 1, "ab"), ("e", "e.pdf", 2, "c" * 300)], PAGES)
+    both = long_document.filter("page_number <= 60").unionByName(short)
+    parts = documents.full_text(both, 50, chars_per_part).orderBy("doc_id", "part").collect()
+    for doc in "de":
+        rows = both.filter(f"doc_id = '{doc}'").orderBy("page_number").collect()
+        own = [r for r in parts if r["doc_id"] == doc]
+        assert [r["part"] for r in own] == list(range(len(own)))
+        assert "\n\n".join(r["text"] for r in own) == whole(rows)
+        assert max(len(r["text"]) for r in own) <= 2 * chars_per_part + 330
+    assert len(parts) == {1: 42, 40: len(parts), 100_000: 3}[chars_per_part]
+
+
 @pytest.mark.parametrize("chars", [5, 100, 7000])
 def test_text_start_is_a_prefix_of_the_full_text(long_document, chars):
     expected = whole(long_document.orderBy("page_number").collect())[:chars]
