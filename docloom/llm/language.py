@@ -163,11 +163,12 @@ def train(docs: DataFrame, per_language: int = 300, total: int = 3000) -> Model
         docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
         .filter(F.col("lang").isNotNull())
         .select("doc_id", "lang", F.xxhash64("doc_id", "lang", "text").alias("h"), taught("text").alias("lessons"))
-        .filter(F.col("lessons").isNotNull())
         .orderBy(*order)
         .limit(total)
         .toPandas()
     )
+    # sorted out here: as a filter, lessons would be pushed below the join and taken from all rows
+    sample = sample[sample["lessons"].notna()]
     rows = [[unpacked(x) for x in pieces] for pieces in sample["lessons"]]
     return fit(rows, sample["lang"].tolist()) if rows else None
 
