@@ -1,6 +1,6 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms are hashed words, hashed byte n-grams of words, and hashed n-grams of word shapes (a run of
+Terms are hashed words, hashed byte n-grams of the text, and hashed n-grams of word shapes (a run of
 letters of one case or of digits counts as one sign) with repetitions of words. Each of the three groups
 has unit length and a fixed share. Term weights of the labelled sample are factored by a truncated singular
 value decomposition; the sample's vectors are broadcast and compared with every document in
@@ -9,11 +9,9 @@ blocks of exact cosine products, and the nearest ones vote, weighted by similari
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -29,6 +27,7 @@ GRAMS = 1 << 15
 TERMS = SHAPES + WORDS + GRAMS
 GROUPS = [(0, SHAPES, 0.6), (SHAPES, SHAPES + WORDS, 0.2), (SHAPES + WORDS, TERMS, 0.2)]  # first, last, share of a cosine
 GRAM = 4  # bytes of an n-gram
+_FACTOR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 NEIGHBOURS = 100
 FIT_TERMS = 1 << 12  # terms looked at together in fitting
 STRETCH = 1 << 16  # bytes of a text whose shapes are counted at once
@@ -77,26 +76,54 @@ def _shape_counts(octets: np.ndarray) -> np.ndarray:
     return counts
 
 
-def _word_slots(word: bytes) -> tuple[int, ...]:
-    """The slots of a word and of its n-grams, with a space at both ends."""
-    framed = b" " + word + b" "
-    grams = (framed[i : i + GRAM] for i in range(max(1, len(framed) - GRAM + 1)))
-    return (SHAPES + crc32(word) % WORDS, *(SHAPES + WORDS + crc32(g) % GRAMS for g in grams))
-
-
-_KNOWN: dict[bytes, tuple[int, ...]] = {}
-
-
-def _slots_of(word: bytes) -> tuple[int, ...]:
-    """As `_word_slots`; a worker keeps those of up to 200,000 short words."""
-    if len(word) > 32:
-        return _word_slots(word)
-    found = _KNOWN.get(word)
-    if found is None:
-        if len(_KNOWN) >= 200_000:
-            _KNOWN.clear()
-        found = _KNOWN[word] = _word_slots(word)
-    return found
+def _word_slots(octets: np.ndarray) -> np.ndarray:
+    """Slots of the words in a stretch that begins and ends with a space: sums of bytes times powers of a factor."""
+    inside = octets != 32
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    length = np.diff(np.append(starts, len(octets)))
+    place = np.arange(starts[0], len(octets)) - np.repeat(starts, length)
+    powers = np.multiply.accumulate(np.full(int(length.max()), _FACTOR, np.uint64))
+    value = octets[starts[0] :].astype(np.uint64) * inside[starts[0] :]
+    return _slot(np.add.reduceat(value * powers[place], starts - starts[0]), WORDS) + SHAPES
+
+
+def _gram_slots(octets: np.ndarray) -> np.ndarray:
+    """Slots of the n-grams of a stretch."""
+    value = octets.astype(np.uint64)
+    code = value[: len(value) - GRAM + 1]
+    for k in range(1, GRAM):
+        code = (code << np.uint64(8)) | value[k : len(value) - GRAM + 1 + k]
+    return _slot(code, GRAMS) + SHAPES + WORDS
+
+
+def _slot(code: np.ndarray, slots: int) -> np.ndarray:
+    """The high bits of a product; slots is a power of two."""
+    code = (code ^ (code >> np.uint64(29))) * _SPREAD
+    return (code >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def _word_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and counts of the hashed words and byte n-grams of a whole text with single spaces, in stretches cut at spaces."""
+    octets = f" {' '.join(text.lower().split())} ".encode()
+    terms, counts, first = np.zeros(0, np.int64), np.zeros(0), 0
+    while first < len(octets) - 1:
+        last = octets.find(b" ", first + STRETCH)
+        last = len(octets) - 1 if last < 0 else last
+        # n-grams that begin before the last space belong to this stretch
+        part = np.frombuffer(octets, np.uint8, min(last + GRAM - 1, len(octets)) - first, first)
+        found, times = np.unique(np.concatenate([_word_slots(part[: last + 1 - first]), _gram_slots(part)]), return_counts=True)
+        if first:
+            both = np.union1d(terms, found)
+            merged = np.zeros(len(both))
+            merged[np.searchsorted(both, terms)] += counts
+            merged[np.searchsorted(both, found)] += times
+            terms, counts = both, merged
+        else:
+            terms, counts = found, times.astype(float)
+        first = last
+    return terms, counts
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -107,15 +134,9 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     shapes[_REPEATED] = sum(map(eq, words, words[1:]))
     shapes[_CHANGED] = max(0, len(words) - 1) - shapes[_REPEATED]
-    slots, times = [], []
-    for word, n in Counter(text.lower().encode().split()).items():
-        own = _slots_of(word)
-        slots += own
-        times += [n] * len(own)
-    counts = np.bincount(np.array(slots, np.int64), np.array(times, float), minlength=TERMS)
-    counts[:SHAPES] = shapes
-    used = np.flatnonzero(counts)
-    return used, counts[used]
+    used = np.flatnonzero(shapes)
+    terms, counts = _word_terms(text)
+    return np.concatenate([used, terms]), np.concatenate([shapes[used], counts])
 
 
 def _values(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:

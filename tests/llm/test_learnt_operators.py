@@ -1,7 +1,6 @@
 """Language and quality: scores recomputed in plain Python from the fitted models, stretches, reruns, few labels."""
 
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -65,11 +64,13 @@ def plain_terms(text):
     words = text.split()
     counts[0] = sum(a == b for a, b in zip(words, words[1:]))
     counts[1] = max(0, len(words) - 1) - counts[0]
-    for word in text.lower().encode().split():
-        framed = b" " + word + b" "
-        counts[quality.SHAPES + zlib.crc32(word) % quality.WORDS] += 1
-        for i in range(max(1, len(framed) - 3)):
-            counts[quality.SHAPES + quality.WORDS + zlib.crc32(framed[i : i + 4]) % quality.GRAMS] += 1
+    octets = f" {' '.join(text.lower().split())} ".encode()
+    slot = lambda code, slots: ((code ^ code >> 29) * int(quality._SPREAD) % 2**64) >> (65 - slots.bit_length())
+    for word in octets.split():
+        code = sum(c * pow(int(quality._FACTOR), i + 1, 2**64) for i, c in enumerate(word)) % 2**64
+        counts[quality.SHAPES + slot(code, quality.WORDS)] += 1
+    for i in range(len(octets) - 3):
+        counts[quality.SHAPES + quality.WORDS + slot(int.from_bytes(octets[i : i + 4], "big"), quality.GRAMS)] += 1
     return {t: n for t, n in counts.items() if n}
 
 
