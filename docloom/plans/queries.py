@@ -80,9 +80,10 @@ def _files(spark, d):
 @query
 def src5_discovery_store(spark, d):
     folder = new_folder(spark, "discovery")
+    files = _files(spark, d)
     for _ in range(2):  # a job written again replaces its records
-        stores.write_discovery(_files(spark, d), folder)
-    return spark.read.parquet(folder).select("job_id", "path", "file_type", "file_size")
+        stores.write_discovery(files, folder)
+    return stores.read_records(spark, folder, files.schema).select("job_id", "path", "file_type", "file_size")
 
 
 @query

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docloom.operators.profiles import export_json
 from docloom.session import with_checkpoints
@@ -52,7 +53,7 @@ def _replace_jobs(files: DataFrame, folder: str, folders: list[str], buckets: in
     with_checkpoints(spark)
     written = keyed.checkpoint()
     touched = written.select("job_bucket").distinct()  # at most `buckets` rows
-    stored = spark.read.parquet(folder).select(keyed.columns)
+    stored = read_records(spark, folder, keyed.schema).select(keyed.columns)
     before = stored.join(F.broadcast(touched), "job_bucket", "left_semi").checkpoint()
     after = before.join(written.select("job_id").distinct(), "job_id", "left_anti").select(keyed.columns)
     after = after.unionByName(written).checkpoint()
@@ -80,9 +81,18 @@ def write_by_category(files: DataFrame, folder: str, buckets: int = BUCKETS) ->
     _replace_jobs(files, folder, ["category", "job_bucket"], buckets)
 
 
-def read_job(spark: SparkSession, folder: str, job_id: str, buckets: int = BUCKETS) -> DataFrame:
-    """One job's rows: the bucket folder prunes files, the sort order prunes row groups."""
-    return spark.read.parquet(folder).filter(
+def read_records(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
+    """All records of a store whose columns are known: a store of no record has no file to take them from."""
+    return spark.read.schema(schema).parquet(folder)
+
+
+def read_job(spark: SparkSession, folder: str, job_id: str, buckets: int = BUCKETS, schema: StructType | str | None = None) -> DataFrame:
+    """One job's rows: the bucket folder prunes files, the sort order prunes row groups.
+
+    schema: columns of the records and job_bucket, for a store that may hold none.
+    """
+    records = read_records(spark, folder, schema) if schema else spark.read.parquet(folder)
+    return records.filter(
         (F.col("job_bucket") == bucket(F.lit(job_id), buckets)) & (F.col("job_id") == job_id)
     )
 

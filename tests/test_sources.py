@@ -70,6 +70,18 @@ def test_discovery_store_round_trip(spark, tmp_path):
     assert {tuple(r) for r in back.collect()} == set(rows)
 
 
+def test_discovery_store_of_no_file(spark, tmp_path):
+    files = spark.createDataFrame([], "job_id string, file_id string, file_size long")
+    folder, keyed = str(tmp_path / "d"), "job_id string, file_id string, file_size long, job_bucket int"
+    for _ in range(2):
+        stores.write_discovery(files, folder)
+        assert stores.read_records(spark, folder, files.schema).collect() == []
+        assert stores.read_job(spark, folder, "a", schema=keyed).collect() == []
+    one = spark.createDataFrame([("a", "f", 3)], files.schema)
+    stores.write_discovery(one, folder)
+    assert stores.read_records(spark, folder, files.schema).select(files.columns).collect() == one.collect()
+
+
 def test_profiles_round_trip_and_export(spark, tmp_path):
     saved = spark.createDataFrame([(1, ("N", None)), (2, None)], "profile_id long, info struct<name:string,city:string>")
     stores.save_profiles(saved, str(tmp_path / "p"))
