@@ -89,9 +89,10 @@ def src5_discovery_store(spark, d):
 @query
 def src6_files_by_category(spark, d):
     folder = new_folder(spark, "categories")
+    files = _files(spark, d)
     for _ in range(2):
-        stores.write_by_category(_files(spark, d), folder)
-    return spark.read.parquet(folder).select("category", "job_id", "path", "file_size")
+        stores.write_by_category(files, folder)
+    return stores.read_records(spark, folder, files.schema).select("category", "job_id", "path", "file_size")
 
 
 @query

@@ -82,6 +82,16 @@ def test_discovery_store_of_no_file(spark, tmp_path):
     assert stores.read_records(spark, folder, files.schema).select(files.columns).collect() == one.collect()
 
 
+def test_category_store_of_no_file(spark, tmp_path):
+    files, folder = spark.createDataFrame([], "job_id string, file_id string, category string"), str(tmp_path / "c")
+    for _ in range(2):
+        stores.write_by_category(files, folder)
+        assert stores.read_records(spark, folder, files.schema).collect() == []
+    one = spark.createDataFrame([("a", "f", "image")], files.schema)
+    stores.write_by_category(one, folder)
+    assert stores.read_records(spark, folder, files.schema).select(files.columns).collect() == one.collect()
+
+
 def test_profiles_round_trip_and_export(spark, tmp_path):
     saved = spark.createDataFrame([(1, ("N", None)), (2, None)], "profile_id long, info struct<name:string,city:string>")
     stores.save_profiles(saved, str(tmp_path / "p"))
