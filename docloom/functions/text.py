@@ -71,8 +71,7 @@ def entities(text: Column) -> Column:
     return F.concat(emails(text), phones(text), urls(text), prices(text))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Runs of n neighbouring words joined by an underscore."""
+def _neighbours(words: Column, n: int) -> Column:
     count = F.size(words) - (n - 1)
     joined = F.slice(words, 1, F.greatest(count, F.lit(0)))
     for k in range(1, n):
@@ -81,6 +80,14 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(count > 0, joined).otherwise(no_strings())
 
 
+def ngrams(words: Column, n: int) -> Column:
+    """Runs of n neighbouring words joined by an underscore.
+
+    The words are bound to a name: an expression that makes them is evaluated once, not at each mention.
+    """
+    return F.get(F.transform(F.array(words), lambda w: _neighbours(w, n)), F.lit(0))
+
+
 def keywords(text: Column) -> Column:
     """Distinct search keywords of a text: its tokens and the parts of its entities.
 

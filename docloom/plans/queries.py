@@ -412,10 +412,11 @@ def kw6_prices(spark, d):
 
 @query
 def kw7_ngrams(spark, d):
-    words = tx.tokens(F.col("text"))
-    return views.pages(spark, d).select(
-        "doc_id", "page_number", joined(tx.ngrams(words, 2), "bigrams"), joined(tx.ngrams(words, 3), "trigrams")
-    )
+    shown = lambda words, n: F.array_join(tx.ngrams(words, n), " ")
+    runs = F.transform(F.array(tx.tokens(F.col("text"))), lambda words: F.struct(
+        shown(words, 2).alias("bigrams"), shown(words, 3).alias("trigrams")
+    ))
+    return views.pages(spark, d).select("doc_id", "page_number", F.inline(runs))
 
 
 @query

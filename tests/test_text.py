@@ -64,6 +64,12 @@ def test_entities(spark):
     assert column(spark, tx.phones(F.col("text")), [TEXTS[5]]) == [["5551234567", "555.123.4567"]]
 
 
+def test_ngrams_make_their_words_once(spark):
+    frame = spark.createDataFrame([("a b c",)], "text string").select(tx.ngrams(F.split("text", " +"), 3).alias("runs"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert frame.first()["runs"] == ["a_b_c"]
+
+
 def test_ngrams(spark):
     words = F.split("text", " ")
     assert column(spark, tx.ngrams(words, 2), ["a b c", "a"]) == [["a_b", "b_c"], []]
