@@ -17,40 +17,41 @@ from docloom.functions.hits import keyword_hits, keyword_snippets
 from docloom.operators.sizing import fits_broadcast
 from docloom.session import with_checkpoints
 
+NAMED_TERMS = 10_000  # terms that a scan of the pages looks for by name
+
 
 def page_keywords(pages: DataFrame) -> DataFrame:
     """One row per keyword of a page."""
     return pages.select("doc_id", "page_number", F.explode(tx.keywords(F.col("text"))).alias("keyword"))
 
 
-def postings(pages: DataFrame, with_snippet_length: bool = False) -> DataFrame:
-    """doc_id, page_number, keyword, relevance, position (and snippet_chars), without a shuffle."""
-    found = (
-        pages.select("doc_id", "page_number", "text", tx.keywords(F.col("text")).alias("keyword"))
-        .withColumn("hit", keyword_hits(F.col("text"), F.col("keyword"), with_snippet_length))
-        .select("doc_id", "page_number", F.explode(F.arrays_zip("keyword", "hit")).alias("p"))
-    )
-    keyword, hit = F.col("p.keyword"), F.col("p.hit")
-    columns = [
-        "doc_id",
-        "page_number",
-        keyword.alias("keyword"),
-        tx.relevance(keyword, hit["hits"], hit["position"]).alias("relevance"),
-        hit["position"].alias("position"),
-    ]
-    if with_snippet_length:
-        columns.append(hit["snippet_chars"].alias("snippet_chars"))
-    return found.select(*columns)
+def _with_keywords(pages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_number, text, keyword (array): all keywords of a page, or those among the terms if these are not too many to name."""
+    found = pages.select("doc_id", "page_number", "text", tx.keywords(F.col("text")).alias("keyword"))
+    if terms is None:
+        return found
+    named = terms.select("keyword").filter("keyword is not null").distinct().limit(NAMED_TERMS + 1).collect()
+    if len(named) > NAMED_TERMS:
+        return found
+    wanted = sorted(r["keyword"] for r in named)
+    return found.withColumn("keyword", F.filter("keyword", lambda w: w.isin(wanted)))
+
+
+def postings(pages: DataFrame, with_snippet_length: bool = False, terms: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_number, keyword, relevance, position (and snippet_chars), without a shuffle.
+
+    With terms (keyword) only postings that a join with the terms needs are sure to be made: a text is not searched for the
+    other keywords. Up to NAMED_TERMS different terms come to the driver for that.
+    """
+    found = keyword_hits(_with_keywords(pages, terms), with_snippet_length)
+    relevance = tx.relevance(F.col("keyword"), F.col("hits"), F.col("position")).alias("relevance")
+    columns = ["doc_id", "page_number", "keyword", relevance, "position"]
+    return found.select(*columns, *["snippet_chars"] * with_snippet_length)
 
 
 def posting_snippets(pages: DataFrame) -> DataFrame:
     """doc_id, page_number, keyword, snippet."""
-    return (
-        pages.select("doc_id", "page_number", "text", tx.keywords(F.col("text")).alias("keyword"))
-        .withColumn("snippet", keyword_snippets(F.col("text"), F.col("keyword")))
-        .select("doc_id", "page_number", F.explode(F.arrays_zip("keyword", "snippet")).alias("p"))
-        .select("doc_id", "page_number", "p.keyword", "p.snippet")
-    )
+    return keyword_snippets(_with_keywords(pages))
 
 
 def keyword_counts(pages: DataFrame) -> DataFrame:

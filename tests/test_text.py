@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed_values as fv
 from docloom.functions import hits
 from docloom.functions import text as tx
+from docloom.operators import index
 
 TEXTS = [
     "Contact info@a-b.com or 555-123-4567, price $1,200.50",
@@ -130,3 +132,32 @@ def test_automaton_equals_repeated_search(text, words):
     if words:
         assert hits.count_hits(text, words) == expected
         assert hits._without_package(text, words) == expected
+
+
+def test_keyword_rows_leave_in_bounded_batches():
+    """Memory of a task follows SLICE_WORDS, not the pages or the keywords of a page that one Arrow batch holds."""
+    long = [f"word{i}" for i in range(3 * hits.SLICE_WORDS)]
+    words = [["alpha"], long, [], ["beta", "gamma"]]
+    texts = ["alpha beta", " ".join(long), "x", None]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": ["a", "b", "c", "d"], "page_number": [1, 2, 3, 4], "text": texts, "keyword": pa.array(words, pa.list_(pa.string())),
+    })
+    for shift in (0, 1):  # also a slice whose lists do not begin at zero
+        part = batch.slice(shift)
+        got = list(hits._rows(with_text=True)([part]))
+        assert len(got) > 2 and all(b.num_rows <= hits.SLICE_WORDS + 1 for b in got)
+        rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+        assert [r[:3] for r in rows] == [(d, n, w) for d, n, some in list(zip("abcd", [1, 2, 3, 4], words))[shift:] for w in some]
+        assert rows[-1] == ("d", 4, "gamma", "") and all(r[2] in r[3] for r in rows[:-2])
+        plain = pa.Table.from_batches(hits._rows(with_length=True)([part])).to_pylist()
+        assert [r["snippet_chars"] for r in plain] == [len(r[3]) for r in rows]
+
+
+@pytest.mark.parametrize("named", [3, 100])
+def test_postings_of_terms_are_those_of_all(spark, named, monkeypatch):
+    monkeypatch.setattr(index, "NAMED_TERMS", named)
+    pages = spark.createDataFrame([("a", 1, "price of the blue price"), ("b", 1, "nothing"), ("c", 1, None)], "doc_id string, page_number long, text string")
+    terms = spark.createDataFrame([("price",), ("price",), ("blue",), ("absent",), ("none",), (None,)], "keyword string")
+    found, every = index.postings(pages, terms=terms), index.postings(pages)
+    assert sorted(found.join(terms.distinct(), "keyword").collect()) == sorted(every.join(terms.distinct(), "keyword").collect())
+    assert found.count() == (2 if named == 100 else every.count())
