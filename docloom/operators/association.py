@@ -17,6 +17,12 @@ from docloom.session import with_checkpoints
 
 # Longer pieces are rarer: an eight-character one is found in few texts that lack the name.
 PIECE_CHARS = 8
+DIRECT_NAMES = 256  # different names of a job up to which each text is compared with each name
+
+
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side that grows with the input: joined by a shuffle, so that the driver never gathers it for a broadcast."""
+    return side.hint("merge")
 
 
 def tag_overlap(tags1: Column, tags2: Column) -> Column:
@@ -56,16 +62,31 @@ def _piece_sizes(names: DataFrame) -> DataFrame:
 def _rarest(rows: DataFrame, owner: list[str], key: str, counts: DataFrame, keep: Column | int) -> DataFrame:
     """The keys of each owner with the fewest occurrences on the other side."""
     order = Window.partitionBy(*owner).orderBy(F.coalesce("n", F.lit(0)), key)
-    ranked = rows.join(counts, ["job_id", key], "left").withColumn("r", F.row_number().over(order))
+    ranked = rows.join(_shuffled(counts), ["job_id", key], "left").withColumn("r", F.row_number().over(order))
     return ranked.filter(F.col("r") <= keep).drop("r", "n")
 
 
+def _found_by_pieces(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """job_id, t, name: texts (job_id, t) that hold a name (job_id, name).
+
+    Texts are cut into pieces of the lengths that their own job's names have, once, and only pieces that are in a name are kept.
+    """
+    keys = names.select("*", F.explode(_longest_pieces(F.col("name"))).alias("piece"))
+    cut = texts.join(_shuffled(_piece_sizes(names)), "job_id")
+    pieces = cut.select("job_id", "t", F.explode(_pieces(F.col("t"), F.col("sizes"))).alias("piece"))
+    pieces = pieces.join(_shuffled(keys.select("job_id", "piece").distinct()), ["job_id", "piece"], "left_semi").checkpoint()
+    counts = pieces.groupBy("job_id", "piece").agg(F.count("*").alias("n"))
+    keys = _rarest(keys, ["job_id", "name"], "piece", counts, 1)
+    found = pieces.join(_shuffled(keys), ["job_id", "piece"]).filter(F.contains("t", F.col("name")))
+    return found.select("job_id", "t", "name")
+
+
 def name_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:
     """job_id, item_id, image_id where the name occurs in the description or an association.
 
     A text that holds the name holds every piece of it; the join uses the piece that
-    is rarest among the texts. Equal names and equal texts are compared once. Texts are cut into pieces of
-    the lengths that their own job's names have, once, and only pieces that are in a name are kept.
+    is rarest among the texts. Equal names and equal texts are compared once. In a job of up to DIRECT_NAMES
+    different names a text is compared with each of them: that is no more work than its pieces, and moves none.
     """
     with_checkpoints(items.sparkSession)
     texts = analyses.select(
@@ -75,19 +96,20 @@ def name_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:
     ).select("job_id", "image_id", F.lower("t").alias("t")).filter("t is not null")
     names = items.select("job_id", "item_id", F.lower("name").alias("name")).filter("name <> ''")
 
-    keys = names.select("job_id", "name").distinct().select(
-        "*", F.explode(_longest_pieces(F.col("name"))).alias("piece")
-    )
-    cut = texts.select("job_id", "t").distinct().join(_piece_sizes(names), "job_id")
-    pieces = cut.select("job_id", "t", F.explode(_pieces(F.col("t"), F.col("sizes"))).alias("piece"))
-    pieces = pieces.join(keys.select("job_id", "piece").distinct(), ["job_id", "piece"], "left_semi").checkpoint()
-    counts = pieces.groupBy("job_id", "piece").agg(F.count("*").alias("n"))
-    keys = _rarest(keys, ["job_id", "name"], "piece", counts, 1)
-    found = pieces.join(keys, ["job_id", "piece"]).filter(F.contains("t", F.col("name")))
+    kinds = names.select("job_id", "name").distinct()
+    per_job = kinds.groupBy("job_id").agg(F.count("*").alias("names"))
+    distinct = texts.select("job_id", "t").distinct().join(_shuffled(per_job), "job_id").checkpoint()
+    kinds = kinds.join(_shuffled(per_job), "job_id").checkpoint()
+    few, many = F.col("names") <= DIRECT_NAMES, F.col("names") > DIRECT_NAMES
+    each = kinds.filter(few).groupBy("job_id").agg(F.collect_list("name").alias("candidates"))
+    direct = distinct.filter(few).join(_shuffled(each), "job_id").select(
+        "job_id", "t", F.explode(F.filter("candidates", lambda name: F.contains(F.col("t"), name))).alias("name")
+    )
+    found = direct.unionByName(_found_by_pieces(kinds.filter(many).drop("names"), distinct.filter(many).drop("names")))
     return (
         found.select("job_id", "name", "t")
-        .join(names, ["job_id", "name"])
-        .join(texts, ["job_id", "t"])
+        .join(_shuffled(names), ["job_id", "name"])
+        .join(_shuffled(texts), ["job_id", "t"])
         .select("job_id", "item_id", "image_id")
         .distinct()
     )
@@ -114,13 +136,14 @@ def tag_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:
         ["job_id", "item_tags"], "tag", counts, F.ceil(F.size("item_tags") / 2),
     )
     found = (
-        image_rows.join(item_rows, ["job_id", "tag"])
+        image_rows.join(_shuffled(item_rows), ["job_id", "tag"])
         .filter(tag_overlap(F.col("item_tags"), F.col("image_tags")) > 0.5)
         .select("job_id", "item_tags", "image_tags")
         .distinct()
     )
     return (
-        found.join(a, ["job_id", "item_tags"]).join(b, ["job_id", "image_tags"]).select("job_id", "item_id", "image_id")
+        found.join(_shuffled(a), ["job_id", "item_tags"]).join(_shuffled(b), ["job_id", "image_tags"])
+        .select("job_id", "item_id", "image_id")
     )
 
 
@@ -130,7 +153,7 @@ def page_matches(items: DataFrame, analyses: DataFrame) -> DataFrame:
     images = analyses.select(
         "job_id", "image_id", F.col("source_doc").alias("doc_id"), F.col("source_page").alias("page_number")
     )
-    return images.join(places, ["job_id", "doc_id", "page_number"]).select("job_id", "item_id", "image_id").distinct()
+    return images.join(_shuffled(places), ["job_id", "doc_id", "page_number"]).select("job_id", "item_id", "image_id").distinct()
 
 
 def associate(items: DataFrame, analyses: DataFrame, flag: str = "is_product") -> DataFrame:
@@ -146,4 +169,4 @@ def associate(items: DataFrame, analyses: DataFrame, flag: str = "is_product") -
 
 def unassociated(analyses: DataFrame, associations: DataFrame) -> DataFrame:
     """Images without any product or service."""
-    return analyses.join(associations.select("job_id", "image_id"), ["job_id", "image_id"], "left_anti")
+    return analyses.join(_shuffled(associations.select("job_id", "image_id")), ["job_id", "image_id"], "left_anti")

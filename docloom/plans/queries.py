@@ -732,9 +732,9 @@ def med11_tag_overlap(spark, d):
 @query
 def med12_unassociated(spark, d):
     found = views.analyses(spark, d)
-    products_shown = association.associate(views.items(spark, d), found)
-    services_shown = association.associate(views.items(spark, d), found, "is_service_related")
-    left = association.unassociated(found, products_shown.unionByName(services_shown))
+    # products and services are the same items here: images with either flag are looked at once
+    either = found.withColumn("shown", F.coalesce("is_product", F.lit(False)) | F.coalesce("is_service_related", F.lit(False)))
+    left = association.unassociated(found, association.associate(views.items(spark, d), either, "shown"))
     return left.select("job_id", "image_id")
 
 

@@ -165,6 +165,20 @@ def test_associations_equal_all_pairs(spark):
     assert left == {s[1] for s in shown} - {e[2] for e in expected}
 
 
+@pytest.mark.parametrize("direct", [0, 2, 256])
+def test_names_are_found_directly_and_by_pieces(spark, monkeypatch, direct):
+    """Jobs of few names compare directly, others by pieces; no side is gathered at the driver for a broadcast."""
+    monkeypatch.setattr(association, "DIRECT_NAMES", direct)
+    items = [("j", 1, "red car"), ("j", 2, "RED CAR"), ("j", 3, "ox"), ("j", 4, "burger with cheese"), ("k", 5, "ox"), ("k", 6, ""), ("l", 7, "lone")]
+    texts = [("j", "a", "A red CAR and an ox"), ("j", "b", "burger with cheese"), ("k", "c", "fox"), ("k", "d", None), ("m", "e", "lone")]
+    items_df = spark.createDataFrame(items, "job_id string, item_id long, name string")
+    analyses = spark.createDataFrame(texts, "job_id string, image_id string, description string")
+    analyses = analyses.withColumn("suggested_associations", F.array().cast("array<string>"))
+    found = association.name_matches(items_df, analyses)
+    assert {tuple(r) for r in found.collect()} == {("j", 1, "a"), ("j", 2, "a"), ("j", 3, "a"), ("j", 4, "b"), ("k", 5, "c")}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("a, b, share", [(["A", "b"], ["a", "B"], 1.0), (["a", "b"], ["b", "c"], 1 / 3), ([], ["a"], 0.0), (None, ["a"], 0.0)])
 def test_tag_overlap(spark, a, b, share):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
