@@ -542,7 +542,8 @@ def _terms(spark, d):
 
 
 def _matched(spark, d, with_length=False):
-    return retrieval.matched_pages(_terms(spark, d), index.postings(views.pages(spark, d), with_length))
+    terms = _terms(spark, d)
+    return retrieval.matched_pages(terms, index.postings(views.pages(spark, d), with_length, terms))
 
 
 def _ranked(spark, d):
@@ -563,7 +564,8 @@ def ret2_synonyms(spark, d):
 
 @query
 def ret3_term_postings(spark, d):
-    found = retrieval.term_postings(_terms(spark, d), index.postings(views.pages(spark, d)))
+    terms = _terms(spark, d)
+    found = retrieval.term_postings(terms, index.postings(views.pages(spark, d), terms=terms))
     return found.select("query_id", "keyword", "doc_id", "page_number", F.round("relevance", 6).alias("relevance"))
 
 
@@ -631,8 +633,9 @@ def ret12_page_context(spark, d):
 
 @query
 def retrieve_answers(spark, d):
-    pages = views.pages(spark, d)
-    return _answers(retrieval.answer(views.questions(spark, d), index.postings(pages), pages))
+    pages, questions = views.pages(spark, d), views.questions(spark, d)
+    postings = index.postings(pages, terms=retrieval.query_terms(questions))
+    return _answers(retrieval.answer(questions, postings, pages))
 
 
 @query
