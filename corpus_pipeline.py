@@ -37,7 +37,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each near-duplicate group: SimHash over five-word shingles, a similarity of 0.8 or more verified.
+
+    Copies beyond the reach of the fingerprints are found by tables over the shingles themselves.
+    """
     return simhash.keep_one(docs, near_copies.near_groups(docs, shingle_words=5))
 
 

@@ -1,6 +1,8 @@
-"""Near copies by covering masks over shingle bits, verified by the shingle sets themselves.
+"""Near copies by SimHash and by covering masks over shingle bits, verified by the shingle sets themselves.
 
-A text is a set of shingles, that is a long vector with one bit for each possible shingle. As the
+The SimHash of a set groups the sets whose fingerprints are within two bits, as in `simhash`; a group is a bucket.
+These are the copies that differ little. Fingerprints of less similar sets are further apart (at 0.8 about ten bits
+differ), so the masks go on where SimHash ends, over the shingles instead of the fingerprint's bits. A text is a set of shingles, that is a long vector with one bit for each possible shingle. As the
 masks of `simhash` deal the bits of a fingerprint, structured masks deal these bits to K classes, K
 being the power of two above a quarter of the set's size; a table keeps the bits of one class. Sets
 with a Jaccard similarity of 0.8 differ in fewer than K bits, so some classes hold none of them: both
@@ -8,7 +10,6 @@ sets land in one bucket of such a table. Up to eight shingles, similar sets diff
 shingle that one of them lacks: the key of the whole smaller set is one of the keys that leave one
 shingle out of the larger.
 
-Fingerprints of 64 bits within two bits find few such copies: at 0.8 about ten bits differ.
 Sets are made once, for texts that share a bucket with others, and tasks compare whole sets.
 """
 
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm import simhash
 from docloom.llm.components import components
 from docloom.llm.simhash import ROW_KEY, row_key, shingle_hashes, text_hash
 from docloom.operators.sizing import broadcast_if_small
@@ -33,7 +35,7 @@ ROUNDS = [2, 8]  # tables below these numbers are compared in the first and seco
 PIVOTS = 16
 BLOCK_SHINGLES = 1 << 20
 PARTS = 128
-POINT_TYPE = "point bigint, n bigint, keys array<bigint>, whole array<bigint>, parts array<bigint>"
+POINT_TYPE = "point bigint, n bigint, fp bigint, keys array<bigint>, whole array<bigint>, parts array<bigint>"
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -99,7 +101,10 @@ def _set(text: str | None, shingle_words: int) -> np.ndarray:
 
 
 def points_of(docs: DataFrame, shingle_words: int, tables: int) -> DataFrame:
-    """doc_id, text_hash, point, n, keys, whole, parts for every row of docs; equal shingle sets have equal points."""
+    """doc_id, text_hash, point, n, fp, keys, whole, parts for every row of docs; equal shingle sets have equal points.
+
+    fp is the SimHash of the set: a repeated shingle counts once, as in the similarity.
+    """
 
     @F.pandas_udf(POINT_TYPE)
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -109,8 +114,8 @@ def points_of(docs: DataFrame, shingle_words: int, tables: int) -> DataFrame:
                 shingles = _set(text, shingle_words)
                 whole = _mix(np.array([_mix(shingles, 15).sum(dtype=np.uint64)]), len(shingles))
                 keys = (k.view(np.int64) for k in (class_keys(shingles, tables), *small_keys(shingles)))
-                rows.append((int(whole.view(np.int64)[0]), len(shingles), *keys))
-            yield pd.DataFrame(rows, columns=["point", "n", "keys", "whole", "parts"])
+                rows.append((int(whole.view(np.int64)[0]), len(shingles), simhash.fingerprint_of(shingles), *keys))
+            yield pd.DataFrame(rows, columns=["point", "n", "fp", "keys", "whole", "parts"])
 
     text = F.col("text")
     return docs.select("doc_id", text_hash(text).alias("text_hash"), describe(text).alias("d")).select("doc_id", "text_hash", "d.*")
@@ -124,6 +129,17 @@ def small_links(points: DataFrame, similarity: float) -> DataFrame:
     return wholes.join(parts, "key").select("a", "b")
 
 
+def with_simhash_keys(points: DataFrame, radius: int) -> DataFrame:
+    """points, with the key of the SimHash group added to their keys: fingerprints that steps of up to `radius` bits join.
+
+    The bucket of a group is compared in the first round.
+    """
+    joined = components(simhash.links(points.select("fp").distinct(), radius))
+    grouped = points.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).bitwiseAND(F.lit(-4))
+    return grouped.withColumn("keys", F.array_append("keys", key)).drop("root")
+
+
 def shared_buckets(points: DataFrame) -> DataFrame:
     """key, point, n: members of the buckets with company.
 
@@ -292,13 +308,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame
     return texts.select("point", shingles("text").alias("shingles"))
 
 
-def joined_points(docs: DataFrame, points: DataFrame, shingle_words: int, similarity: float, block_rows: int) -> DataFrame:
+def joined_points(docs: DataFrame, points: DataFrame, shingle_words: int, similarity: float, block_rows: int, radius: int) -> DataFrame:
     """node, root: the components of the points that similar pairs join.
 
-    Tables are compared in rounds. The first takes few tables, which join most copies; later rounds
+    Buckets are compared in rounds. The first takes the groups of SimHash and few tables, which join most copies; later rounds
     move only buckets whose members are still in different components.
     """
-    buckets = shared_buckets(points).checkpoint()
+    buckets = shared_buckets(with_simhash_keys(points, radius)).checkpoint()
     wanted = points.join(buckets.select("point").distinct(), "point", "left_semi")
     sets = sets_of(docs, wanted, shingle_words).checkpoint()
     turn = F.col("key").bitwiseAND(F.lit(3))
@@ -316,13 +332,15 @@ def joined_points(docs: DataFrame, points: DataFrame, shingle_words: int, simila
     return joined
 
 
-def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, tables: int = 24, block_rows: int = 2048) -> DataFrame:
+def near_groups(
+    docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, tables: int = 24, block_rows: int = 2048, radius: int = 2
+) -> DataFrame:
     """doc_id, text_hash, group_id, component_id for every row of docs (doc_id, text).
 
     Texts link when the Jaccard similarity of their sets of shingles is at least `similarity`, never below it:
     sets are compared in full (for similarities of 0.8 and more, which the tables fit). Up to eight
-    shingles all such pairs are found. Larger sets are compared where they share a bucket of `tables`
-    tables; a pair at exactly 0.8 shares none with a chance of about 1 in 10,000, and none at
+    shingles all such pairs are found. Larger sets are compared where SimHash fingerprints within `radius` bits join
+    them, and where they share a bucket of `tables` tables; a pair at exactly 0.8 shares none with a chance of about 1 in 10,000, and none at
     all where its clean classes are empty (8 to 31 shingles, of two deals: about as rare).
 
     Equal shingle sets are one point, so copies are never paired. Null or empty texts and texts
@@ -336,10 +354,10 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     points_of(docs, shingle_words, tables).write.parquet(folder)
     marked = spark.read.parquet(folder)
     points = marked.groupBy("point").agg(
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("whole").alias("whole"), F.first("parts").alias("parts"),
+        F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("whole").alias("whole"), F.first("parts").alias("parts"),
         F.min(F.struct(*row_key(F.col("doc_id"), F.col("text_hash")))).alias("row"),
     )
-    joined = joined_points(docs, points, shingle_words, similarity, block_rows).withColumnRenamed("node", "point")
+    joined = joined_points(docs, points, shingle_words, similarity, block_rows, radius).withColumnRenamed("node", "point")
     rooted = marked.groupBy("point").agg(F.min("doc_id").alias("least")).join(joined, "point", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "point"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -43,8 +43,12 @@ def shingle_hashes(text: str | None, shingle_words: int) -> list[int]:
 
 def fingerprint(text: str | None, shingle_words: int) -> int:
     """Signed 64-bit SimHash of one text; 0 for a text without words."""
-    hashes = shingle_hashes(text, shingle_words)
-    if not hashes:
+    return fingerprint_of(shingle_hashes(text, shingle_words))
+
+
+def fingerprint_of(hashes: list[int] | np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes; 0 for none."""
+    if not len(hashes):
         return 0
     octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
@@ -127,10 +131,11 @@ def bucket_rows(points: DataFrame, radius: int, hot_rows: int) -> DataFrame:
 
 def _bucket_edges(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Each member of one bucket with the least member it is joined to inside the bucket."""
+    bits = points.view(np.uint64)  # signed numbers would count the bits of their absolute values
     if len(points) == 2:
-        near = int(points[0] ^ points[1]).bit_count() <= radius
+        near = int(bits[0] ^ bits[1]).bit_count() <= radius
         return (points[1:], points[:1]) if near else (points[:0], points[:0])
-    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     label = np.arange(len(points))
     while True:
         least = np.where(near, label[None, :], len(points)).min(axis=1)

@@ -208,6 +208,38 @@ def test_open_tiles_hold_every_pair_of_roots(spark):
     assert max(map(len, held.values())) < 25
 
 
+def test_simhash_links_fingerprints_that_differ_in_the_sign_bit(spark):
+    pairs = [(1000 * (i + 1), (1000 * (i + 1)) ^ -(1 << 63) ^ (1 << i)) for i in range(40, 46)]
+    many = [(7, 7 ^ -(1 << 63) ^ (1 << 5))] + [(7, 7 ^ (1 << b)) for b in (50, 51, 52)]
+    points = spark.createDataFrame([(fp,) for fp in sorted({x for p in pairs + many for x in p})], "fp long")
+    got = {r.node: r.root for r in components(simhash.links(points, 2)).collect()}
+    assert got == grouped({x for p in pairs + many for x in p}, pairs + many)
+
+
+def test_near_copies_join_simhash_groups_that_the_sets_confirm(spark):
+    rng = random.Random(31)
+    docs = []
+    for family in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for copy in range(4):
+            words = list(base)
+            for _ in range(copy):
+                words[rng.randrange(400)] = f"e{copy}"
+            docs.append((10 * family + copy, " ".join(words)))
+    phrase = [f"p{i}" for i in range(300)]
+    docs += [(900, " ".join(phrase)), (901, " ".join(phrase[:200]))]  # alike, and too far apart
+    sets = {d: np.unique(np.array(simhash.shingle_hashes(t, 5), np.uint64)) for d, t in docs}
+    prints = {d: simhash.fingerprint_of(s) & (1 << 64) - 1 for d, s in sets.items()}
+    ids = sorted(sets)
+    near = grouped(ids, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in ids for b in ids if a < b and near[a] == near[b]}
+    roots = grouped(ids, [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)])
+    assert len(set(roots.values())) < len(ids) - 10
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    # no table over shingles: what is joined comes from fingerprints alone
+    assert {r.doc_id: r.component_id for r in near_copies.near_groups(frame, tables=0, radius=3).collect()} == roots
+
+
 def test_near_copies_of_odd_and_empty_tables(spark, odd_docs):
     rows = near_copies.near_groups(odd_docs).collect()
     assert len(rows) == 10 and {r.component_id for r in rows if r.doc_id in (2, 3, 5)} == {2}
