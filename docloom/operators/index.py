@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.functions.hits import keyword_hits, keyword_snippets
+from docloom.functions.hits import keyword_hit_lists, keyword_hits, keyword_snippets
 from docloom.operators.sizing import fits_broadcast
 from docloom.session import with_checkpoints
 
@@ -49,6 +49,19 @@ def postings(pages: DataFrame, with_snippet_length: bool = False, terms: DataFra
     return found.select(*columns, *["snippet_chars"] * with_snippet_length)
 
 
+def gathered_postings(pages: DataFrame) -> DataFrame:
+    """keyword, refs: all postings of the pages in lists, many of a keyword to a row; `scattered` gives the postings."""
+    return keyword_hit_lists(_with_keywords(pages))
+
+
+def scattered(gathered: DataFrame) -> DataFrame:
+    """The postings in lists as rows: the other columns of the lists, then doc_id, page_number, keyword, relevance, position."""
+    others = [c for c in gathered.columns if c not in ("keyword", "refs")]
+    rows = gathered.select(*others, "keyword", F.inline("refs"))
+    relevance = tx.relevance(F.col("keyword"), F.col("hits"), F.col("position")).alias("relevance")
+    return rows.select(*others, "doc_id", "page_number", "keyword", relevance, "position")
+
+
 def posting_snippets(pages: DataFrame) -> DataFrame:
     """doc_id, page_number, keyword, snippet."""
     return keyword_snippets(_with_keywords(pages))

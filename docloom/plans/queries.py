@@ -446,7 +446,7 @@ def _stored(spark, d):
     if key not in _STORES:
         folder, pages = new_folder(spark, "index"), views.pages(spark, d)
         _, size = index_store.measure(pages)
-        index_store.write_postings(index.postings(pages), f"{folder}/postings", size)
+        index_store.write_postings(index.gathered_postings(pages), f"{folder}/postings", size)
         index_store.write_pages(pages, f"{folder}/pages", size)
         _STORES[key] = folder
     return _STORES[key]

@@ -1,5 +1,8 @@
 """The stored index: postings by keyword, pages by document, laid out by measured size.
 
+Postings are stored as rows, or as the lists of `index.gathered_postings`: several rows a keyword, each with many
+postings, so that few rows are moved and sorted. Look-ups give the same rows from both.
+
 A store is a folder of hash buckets. Their number is chosen from the measured data and recorded
 with the store, so that a bucket holds about BUCKET_BYTES whatever the input. Files are sorted by the
 key that look-ups use, keep its minimum and maximum for runs of few rows, and postings keep a Bloom
@@ -13,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators import index
+
 BUCKET_BYTES = 64 * 1024 * 1024
 MAX_BUCKETS = 8192
 LITERAL_KEYS = 400  # a look-up of more different keys joins
@@ -60,8 +65,9 @@ def buckets_of(spark: SparkSession, folder: str) -> int:
 
 
 def write_posting_files(postings: DataFrame, folder: str, buckets: int) -> None:
-    """Postings by keyword bucket, sorted by keyword, document and page."""
-    _write(postings, folder, "keyword_bucket", ["keyword", "doc_id", "page_number"], _POSTING_OPTIONS, buckets)
+    """Postings by keyword bucket, sorted by keyword, rows also by document and page."""
+    order = ["keyword"] if "refs" in postings.columns else ["keyword", "doc_id", "page_number"]
+    _write(postings, folder, "keyword_bucket", order, _POSTING_OPTIONS, buckets)
 
 
 def measure(pages: DataFrame) -> tuple[int, int]:
@@ -70,7 +76,7 @@ def measure(pages: DataFrame) -> tuple[int, int]:
 
 
 def write_postings(postings: DataFrame, folder: str, size: int) -> None:
-    """A new posting store. postings: keyword, doc_id, page_number and more; size: bytes of the texts they come from."""
+    """A new posting store. postings: keyword, doc_id, page_number and more, or lists; size: bytes of the texts they come from."""
     buckets = buckets_for(size)
     write_posting_files(postings, f"{folder}/data", buckets)
     record_layout(postings.sparkSession, folder, buckets, size)
@@ -126,9 +132,10 @@ def with_keys(stored: DataFrame, column: str, bucket_column: str, buckets: int,
 
 def read_postings(spark: SparkSession, folder: str, terms: DataFrame) -> DataFrame:
     """The stored postings of the given keywords (terms: keyword)."""
-    return with_keys(
+    found = with_keys(
         spark.read.parquet(f"{folder}/data"), "keyword", "keyword_bucket", buckets_of(spark, folder), terms.select("keyword")
     )
+    return index.scattered(found) if "refs" in found.columns else found
 
 
 def read_pages(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:

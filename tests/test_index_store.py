@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import hits
 from docloom.operators import index, retrieval
 from docloom.sources import index_store
 
@@ -116,3 +117,18 @@ def test_ranks_by_ranges_equal_a_window(spark, parts):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert got == sorted(map(tuple, retrieval.rank_pages(rows).collect())) and len(got) == 3000
     assert parts == 1 or tasks > 3
+
+
+def test_a_store_of_lists_equals_a_store_of_rows(spark, pages, store, tmp_path, monkeypatch):
+    monkeypatch.setattr(hits, "GATHERED_ROWS", 5000)
+    few = pages.unionByName(spark.createDataFrame([("empty", "h.pdf", 1, ""), ("none", "h.pdf", 2, None)], PAGES))
+    lists = index.gathered_postings(few)
+    assert sorted(map(str, index.scattered(lists).collect())) == sorted(map(str, index.postings(pages).collect()))
+    sizes = [r.n for r in lists.select(F.size("refs").alias("n")).collect()]
+    assert len(sizes) < index.postings(pages).count() / 2 and max(sizes) <= 5000 + hits.SLICE_WORDS
+    index_store.write_postings(lists, str(tmp_path), index_store.measure(pages)[1])
+    for terms in (["filler", "w7", "absent", None], []):
+        terms = spark.createDataFrame([(t,) for t in terms], "keyword string")
+        rows, listed = (index_store.read_postings(spark, folder, terms) for folder in (f"{store}/postings", str(tmp_path)))
+        assert sorted(map(tuple, rows.select(listed.columns).collect())) == sorted(map(tuple, listed.collect()))
+    assert index.scattered(index.gathered_postings(pages.limit(0))).count() == 0
