@@ -43,9 +43,8 @@ def postings(pages: DataFrame, with_snippet_length: bool = False, terms: DataFra
     With terms (keyword) only postings that a join with the terms needs are sure to be made: a text is not searched for the
     other keywords. Up to NAMED_TERMS different terms come to the driver for that.
     """
-    found = keyword_hits(_with_keywords(pages, terms), with_snippet_length)
-    relevance = tx.relevance(F.col("keyword"), F.col("hits"), F.col("position")).alias("relevance")
-    columns = ["doc_id", "page_number", "keyword", relevance, "position"]
+    found = with_relevance(keyword_hits(_with_keywords(pages, terms), with_snippet_length))
+    columns = ["doc_id", "page_number", "keyword", "relevance", "position"]
     return found.select(*columns, *["snippet_chars"] * with_snippet_length)
 
 
@@ -57,9 +56,13 @@ def gathered_postings(pages: DataFrame) -> DataFrame:
 def scattered(gathered: DataFrame) -> DataFrame:
     """The postings in lists as rows: the other columns of the lists, then doc_id, page_number, keyword, relevance, position."""
     others = [c for c in gathered.columns if c not in ("keyword", "refs")]
-    rows = gathered.select(*others, "keyword", F.inline("refs"))
-    relevance = tx.relevance(F.col("keyword"), F.col("hits"), F.col("position")).alias("relevance")
-    return rows.select(*others, "doc_id", "page_number", "keyword", relevance, "position")
+    rows = with_relevance(gathered.select(*others, "keyword", F.inline("refs")))
+    return rows.select(*others, "doc_id", "page_number", "keyword", "relevance", "position")
+
+
+def with_relevance(hits: DataFrame) -> DataFrame:
+    """Adds the relevance of postings given by keyword, hits and position."""
+    return hits.withColumn("relevance", tx.relevance(F.col("keyword"), F.col("hits"), F.col("position")))
 
 
 def posting_snippets(pages: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A batch writes three tables, each kept as a base and the batches since (`batches`): `arrivals`, the hash
 of the text of each page it indexed; `replaced`, the pages among these that the index already had; and
-`postings` by keyword bucket, as in `index_store`, with the batch they come from. A posting counts
-unless its page was replaced in a later batch. A page whose text is the one indexed last
+`postings` by keyword bucket, in lists as in `index_store`, with the batch they come from. A posting counts
+unless its page was replaced in a later batch; lists since the last batch that replaced a page are not looked into. A page whose text is the one indexed last
 is not indexed again, whenever it comes. Merging drops the postings that no longer count.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docloom.functions.hits import gathered_hits
 from docloom.operators import index
 from docloom.operators.sizing import broadcast_if_small
 from docloom.session import with_checkpoints
@@ -22,7 +23,9 @@ from docloom.streaming import batches
 PAGE = ["doc_id", "page_number"]
 ARRIVALS = "doc_id string, page_number bigint, batch bigint, text_hash bigint"
 REPLACED = "doc_id string, page_number bigint, batch bigint"
-POSTINGS = "doc_id string, page_number bigint, keyword string, relevance double, position int, batch bigint, keyword_bucket int"
+POSTINGS = (
+    "keyword string, refs array<struct<doc_id: string, page_number: bigint, hits: int, position: int>>, batch bigint, keyword_bucket int"
+)
 EXPECTED_BYTES = 64 * 1024 * 1024
 
 
@@ -48,11 +51,25 @@ def changed_pages(batch: DataFrame, arrivals: DataFrame) -> DataFrame:
     return found.select(*PAGE, "text_hash", F.coalesce("known", F.lit(False)).alias("known"), "text")
 
 
-def standing(postings: DataFrame, replaced: DataFrame) -> DataFrame:
-    """The postings that no later batch replaced."""
+def last_replacement(replaced: DataFrame) -> int:
+    return replaced.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
+
+def standing(lists: DataFrame, replaced: DataFrame, latest: int) -> tuple[DataFrame, DataFrame]:
+    """Lists in which every posting counts, and the postings that count of older lists: doc_id, page_number, keyword, hits, position."""
     last = replaced.groupBy(*PAGE).agg(F.max("batch").alias("replaced_at"))
-    joined = postings.join(broadcast_if_small(last), PAGE, "left")
-    return joined.filter(F.col("replaced_at").isNull() | (F.col("batch") >= F.col("replaced_at"))).drop("replaced_at")
+    old = lists.filter(F.col("batch") < latest).select("keyword", "batch", F.inline("refs"))
+    joined = old.join(broadcast_if_small(last), PAGE, "left")
+    counted = joined.filter(F.col("replaced_at").isNull() | (F.col("batch") >= F.col("replaced_at")))
+    return lists.filter(F.col("batch") >= latest), counted.select(*PAGE, "keyword", "hits", "position")
+
+
+def standing_lists(lists: DataFrame, replaced: DataFrame) -> DataFrame:
+    """keyword, refs, batch: the postings that count, in lists."""
+    latest = last_replacement(replaced)
+    whole, rows = standing(lists, replaced, latest)
+    batch = F.lit(latest).cast("bigint").alias("batch")
+    return whole.select("keyword", "refs", "batch").unionByName(gathered_hits(rows).select("keyword", "refs", batch))
 
 
 def start_ingest(
@@ -77,14 +94,13 @@ def start_ingest(
         spark = batch.sparkSession
         number = F.lit(batch_id).cast("bigint").alias("batch")
         changed = changed_pages(batch, batches.read(spark, area["arrivals"], ARRIVALS, batch_id)).checkpoint()
-        found = index.postings(changed).select(*PAGE, "keyword", "relevance", F.col("position").cast("int").alias("position"), number)
-        write_postings(found, f"{area['postings']}/batch={batch_id}")
+        write_postings(index.gathered_postings(changed).select("keyword", "refs", number), f"{area['postings']}/batch={batch_id}")
         batches.write_rows(changed.filter("known").select(*PAGE, number), f"{area['replaced']}/batch={batch_id}")
         batches.write_rows(changed.select(*PAGE, number, "text_hash"), f"{area['arrivals']}/batch={batch_id}")
         upto = lambda name, schema: batches.read(spark, area[name], schema, batch_id + 1)
         # postings first: the pages replaced until now are dropped from the base, then their list starts anew
         whole = {
-            "postings": lambda: standing(upto("postings", POSTINGS), upto("replaced", REPLACED)),
+            "postings": lambda: standing_lists(upto("postings", POSTINGS), upto("replaced", REPLACED)),
             "replaced": lambda: upto("replaced", REPLACED).filter(F.col("batch") > batch_id),
             "arrivals": lambda: batches.first_of(PAGE, upto("arrivals", ARRIVALS), "batch"),
         }
@@ -105,5 +121,7 @@ def read_postings(spark: SparkSession, folder: str, terms: DataFrame | None = No
     if terms is not None:
         buckets = index_store.buckets_of(spark, folder)
         stored = index_store.with_keys(stored, "keyword", "keyword_bucket", buckets, terms.select("keyword"))
-    found = standing(stored, batches.read(spark, f"{folder}/replaced", REPLACED))
-    return found.select(*PAGE, "keyword", "relevance", "position")
+    replaced = batches.read(spark, f"{folder}/replaced", REPLACED)
+    whole, rows = standing(stored.select("keyword", "refs", "batch"), replaced, last_replacement(replaced))
+    columns = [*PAGE, "keyword", "relevance", "position"]
+    return index.scattered(whole).select(*columns).unionByName(index.with_relevance(rows).select(*columns))

@@ -132,3 +132,16 @@ def test_pages_that_come_again_replace_their_postings(spark, tmp_path, merge_eve
     # the page that came again unchanged was indexed once
     batch = [r.batch for r in batches.read(spark, f"{out}/arrivals").filter("doc_id = 'a' and page_number = 1").collect()]
     assert batch == [0]
+
+
+def test_ingested_postings_are_kept_in_lists(spark, tmp_path):
+    pages = [(f"p{i}", 1, f"shared words and own{i}") for i in range(40)]
+    again = [(f"p{i}", 1, f"shared words and new{i}") for i in range(0, 40, 4)]
+    for merge_every in (2, 50):
+        out = ingested(spark, tmp_path, [pages, again, pages[1:2]], merge_every)
+        lists = batches.read(spark, f"{out}/postings", ingest.POSTINGS).filter("keyword = 'shared'").collect()
+        assert len(lists) < 20 and sum(len(r.refs) for r in lists) == (40 if merge_every == 2 else 50)
+        want = index.postings(spark.createDataFrame(pages + again, PAGES)).collect()
+        want = {(r.keyword, r.doc_id, r.position) for r in want if r.keyword[:3] != "own" or int(r.doc_id[1:]) % 4}
+        got = [(r.keyword, r.doc_id, r.position) for r in ingest.read_postings(spark, out).collect()]
+        assert set(got) == want and len(got) == len(want)
