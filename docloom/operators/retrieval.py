@@ -207,14 +207,42 @@ def match_counts(matched: DataFrame) -> DataFrame:
     )
 
 
+_PARTS = 1024
+
+
+def counted_top(terms: DataFrame, postings: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of `rank_pages` up to k, and those of `match_counts`, from one pass over the postings.
+
+    Pages are dealt to parts by their hash; within a part each query's pages are ranked and counted where they lie. Only k
+    rows a query and part leave it, the first of them with the part's counts.
+    """
+    with_checkpoints(postings.sparkSession)
+    part = F.pmod(F.xxhash64("doc_id", "page_number"), F.lit(_PARTS)).alias("part")
+    dealt = term_postings(terms, postings.select("*", part).repartition("part"))
+    matched = dealt.groupBy("query_id", "part", "doc_id", "page_number").agg(
+        F.round(F.sum("relevance"), 6).alias("score"), F.min(_snippet_rank()).alias("best")
+    )
+    own = Window.partitionBy("query_id", "part")
+    placed = matched.withColumns({
+        "place": F.row_number().over(own.orderBy(F.desc("score"), "doc_id", "page_number")), "pages": F.count("best").over(own)
+    })
+    first = placed.filter(F.col("place") <= k).drop("part").checkpoint()
+    counts = first.filter("place = 1").groupBy("query_id").agg(F.sum("pages").alias("matched_pages"), F.max("score").alias("best_score"))
+    return rank_pages(first.drop("place", "pages"), k), counts
+
+
 def answer(queries: DataFrame, postings: DataFrame, pages: Pages, k: int = fv.DEFAULT_TOP_PAGES) -> DataFrame:
     """Matched pages, ranked pages, confidence and context for every query, also those without a match."""
     n_queries = queries.count()
     terms = query_terms(queries)
-    matched = matched_pages(terms, postings).drop("terms_found", "n_terms")
-    ranked = settled(confidence(ranked_pages(rank_pages(matched, k), terms)), pages)
+    if isinstance(pages, DataFrame):
+        matched = matched_pages(terms, postings).drop("terms_found", "n_terms")
+        top, counts = rank_pages(matched, k), match_counts(matched)
+    else:  # settled rows end the plan that ranks, so that counting could not share its shuffle
+        top, counts = counted_top(terms, postings, k)
+    ranked = settled(confidence(ranked_pages(top, terms)), pages)
     return (
-        queries.join(match_counts(matched), "query_id", "left")
+        queries.join(counts, "query_id", "left")
         .join(ranked.drop("mean_score"), "query_id", "left")
         .join(context(ranked, pages, n_queries, k), "query_id", "left")
         .fillna({"matched_pages": 0, "best_score": 0.0, "confidence": 0.0, "context": ""})

@@ -132,3 +132,20 @@ def test_a_store_of_lists_equals_a_store_of_rows(spark, pages, store, tmp_path,
         rows, listed = (index_store.read_postings(spark, folder, terms) for folder in (f"{store}/postings", str(tmp_path)))
         assert sorted(map(tuple, rows.select(listed.columns).collect())) == sorted(map(tuple, listed.collect()))
     assert index.scattered(index.gathered_postings(pages.limit(0))).count() == 0
+
+
+def test_ranks_and_counts_come_from_one_pass(spark, pages, monkeypatch):
+    asked = spark.createDataFrame([(1, "w7 filler"), (2, "nothing here"), (3, "w9 o'clock page"), (4, "w7 w49")], "query_id long, query string")
+    terms = retrieval.query_terms(asked)
+    postings = index.postings(pages)
+    matched = retrieval.matched_pages(terms, postings)
+    for parts in (1, 7, 1024):
+        monkeypatch.setattr(retrieval, "_PARTS", parts)
+        top, counts = retrieval.counted_top(terms, postings, 5)
+        want = retrieval.rank_pages(matched, 5).select(top.columns)
+        assert sorted(map(str, top.collect())) == sorted(map(str, want.collect())) and top.count() == 15
+        assert sorted(map(str, counts.collect())) == sorted(map(str, retrieval.match_counts(matched).select(counts.columns).collect()))
+    read = []
+    monkeypatch.setattr(retrieval, "term_postings", lambda t, p, made=retrieval.term_postings: read.append(1) or made(t, p))
+    retrieval.answer(asked, postings, lambda wanted: pages.join(wanted, "doc_id", "left_semi")).collect()
+    assert len(read) == 1
