@@ -1,6 +1,6 @@
 """Near copies by SimHash and by covering masks over shingle bits, verified by the shingle sets themselves.
 
-The SimHash of a set groups the sets whose fingerprints are within two bits, as in `simhash`; a group is a bucket.
+Sets whose SimHash fingerprints are within two bits meet in buckets that the links of `simhash` give.
 These are the copies that differ little. Fingerprints of less similar sets are further apart (at 0.8 about ten bits
 differ), so the masks go on where SimHash ends, over the shingles instead of the fingerprint's bits. A text is a set of shingles, that is a long vector with one bit for each possible shingle. As the
 masks of `simhash` deal the bits of a fingerprint, structured masks deal these bits to K classes, K
@@ -130,14 +130,16 @@ def small_links(points: DataFrame, similarity: float) -> DataFrame:
 
 
 def with_simhash_keys(points: DataFrame, radius: int) -> DataFrame:
-    """points, with the key of the SimHash group added to their keys: fingerprints that steps of up to `radius` bits join.
+    """points, with keys added for their own fingerprint and for the fingerprints that the links of SimHash lead to.
 
-    The bucket of a group is compared in the first round.
+    Two fingerprints within `radius` bits share a bucket of a covering table and there lead to the same one, so their
+    points meet. A fingerprint leads to one other a table at most. These buckets are compared in the first round.
     """
-    joined = components(simhash.links(points.select("fp").distinct(), radius))
-    grouped = points.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    key = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).bitwiseAND(F.lit(-4))
-    return grouped.withColumn("keys", F.array_append("keys", key)).drop("root")
+    joined = simhash.links(points.select("fp").distinct(), radius).checkpoint()
+    stars = joined.groupBy(F.col("a").alias("fp")).agg(F.collect_set("b").alias("stars"))
+    led = F.concat(F.array("fp"), F.coalesce("stars", F.array().cast("array<bigint>")))
+    keys = F.transform(led, lambda fp: F.xxhash64(F.lit("simhash"), fp).bitwiseAND(F.lit(-4)))
+    return points.join(stars, "fp", "left").withColumn("keys", F.concat("keys", keys)).drop("stars")
 
 
 def shared_buckets(points: DataFrame) -> DataFrame:
@@ -311,7 +313,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame
 def joined_points(docs: DataFrame, points: DataFrame, shingle_words: int, similarity: float, block_rows: int, radius: int) -> DataFrame:
     """node, root: the components of the points that similar pairs join.
 
-    Buckets are compared in rounds. The first takes the groups of SimHash and few tables, which join most copies; later rounds
+    Buckets are compared in rounds. The first takes the links of SimHash and few tables, which join most copies; later rounds
     move only buckets whose members are still in different components.
     """
     buckets = shared_buckets(with_simhash_keys(points, radius)).checkpoint()
