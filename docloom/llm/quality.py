@@ -9,6 +9,7 @@ blocks of exact cosine products, and the nearest ones vote, weighted by similari
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -29,7 +30,8 @@ GROUPS = [(0, SHAPES, 0.6), (SHAPES, SHAPES + WORDS, 0.2), (SHAPES + WORDS, TERM
 GRAM = 4  # bytes of an n-gram
 _FACTOR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 NEIGHBOURS = 100
-FIT_TERMS = 1 << 12  # terms looked at together in fitting
+FIT_TERMS = 1 << 10  # terms looked at together in fitting
+FIT_ROWS = 1 << 8  # rows whose products are made at once
 STRETCH = 1 << 16  # bytes of a text whose shapes are counted at once
 _REPEATED, _CHANGED, _FIRST_HASHED = 0, 1, 2
 _LOWER, _UPPER, _DIGIT, _OTHER = 1, 2, 3, 4
@@ -203,15 +205,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimension
     """Model from term counts of some texts and their labels 0/1; needs one row.
 
     The sample's rows are fewer than the terms, so the decomposition is that of their products with each other,
-    summed over runs of terms.
+    summed over runs of terms. Beside the rows, memory holds one square array of them or the axes, never both.
     """
     found = np.bincount(np.concatenate([t for t, _ in rows]).astype(np.int64), minlength=TERMS)
     weights = np.log((1 + len(rows)) / (1 + found)) + 0.1
     weighed = [(t, _values(t, n, weights)) for t, n in rows]
     products = np.zeros((len(rows), len(rows)), np.float32)
     for _, part in _columns(weighed):
-        products += part @ part.T
+        for at in range(0, len(rows), FIT_ROWS):  # the sum is the only square array
+            products[at : at + FIT_ROWS] += part[at : at + FIT_ROWS] @ part.T
     values, left = _largest(products, dimensions)
+    del products
     best = np.flatnonzero(values > 1e-5)
     axes = np.zeros((TERMS, max(1, len(best))), np.float32)
     sides = (left[:, best] / np.sqrt(values[best])).astype(np.float32)
@@ -224,12 +228,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimension
 
 def _packed(text: str | None) -> bytes:
     terms, counts = term_counts(text)
-    return terms.astype("<u4").tobytes() + counts.astype("<f4").tobytes()
+    return zlib.compress(np.diff(terms, prepend=0).astype("<u4").tobytes() + counts.astype("<f4").tobytes(), 1)
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(raw)
     n = len(raw) // 8
-    return np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<f4", n, 4 * n)
+    return np.cumsum(np.frombuffer(raw, "<i4", n), dtype=np.int32), np.frombuffer(raw[4 * n :], "<f4", n)
 
 
 def _counts_column(text: Column) -> Column:
@@ -246,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, total: int
 
     docs: doc_id, text; labels: doc_id, label (0 or 1, others are ignored). An id labelled
     both ways counts as the smaller label; where ids repeat in docs, the rows with the least hashes stay, so reruns
-    agree. Only term counts of the sample (8 bytes a different term, of TERMS) reach the driver, never texts.
+    agree. Only term counts of the sample (8 bytes a different term, of TERMS, compressed on the way) reach the driver, never texts.
     """
     clean = labels.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = even_sample(clean, per_label, total)

@@ -1,6 +1,7 @@
 """Language and quality: scores recomputed in plain Python from the fitted models, stretches, reruns, few labels."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -144,3 +145,25 @@ def test_one_label_and_empty_tables(spark, docs, tmp_path):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for query in (queries.op2_language, queries.op9_quality):
         assert query(spark, str(tmp_path)).count() == 0
+
+
+def test_fit_holds_one_square_array(docs):
+    """The driver's memory in a fit: the rows' products or the axes, and small blocks."""
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(0, quality.TERMS, 40)).astype(np.int32), None) for _ in range(2000)]
+    rows = [(terms, np.ones(len(terms), np.float32)) for terms, _ in rows]
+    tracemalloc.start()
+    quality.fit(rows, np.arange(2000) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 4 * 2000**2 + (12 << 20)
+
+
+def test_counts_reach_the_driver_packed(docs):
+    texts = [r.text for r in docs.select("text").limit(50).collect()] + ["", None]
+    for text in texts:
+        terms, counts = quality._unpacked(quality._packed(text))
+        plain = quality.term_counts(text)
+        assert terms.tolist() == plain[0].tolist() and np.allclose(counts, plain[1])
+    full = max((t for t in texts if t), key=len)
+    assert len(quality._packed(full)) < 5 * len(quality.term_counts(full)[0])
