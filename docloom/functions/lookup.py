@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -26,3 +27,8 @@ def has_number(value: Column) -> Column:
 def has_items(value: Column) -> Column:
     """For arrays and maps."""
     return F.coalesce(F.size(value) > 0, F.lit(False))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value bound to a name: it is worked out once, not at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed_values as fv
 from docloom.functions import text as tx
-from docloom.functions.lookup import has_number, has_text
+from docloom.functions.lookup import bound, has_number, has_text
 
 ANALYSIS_SCHEMA = (
     "description string, category string, tags array<string>, is_product boolean,"
@@ -29,15 +29,15 @@ def strict_json(text: Column) -> Column:
     """The text as one VARIANT value; null when it is not JSON or anything follows the value."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     values = F.try_variant_get(wrapped, "$", "array<variant>")
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+    return bound(values, lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
 
 
 def first_object(json_text: Column) -> Column:
     """The JSON object as VARIANT: a list gives its first object, anything else null."""
-    value = strict_json(json_text)
-    items = F.try_variant_get(value, "$", "array<variant>")
     is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
-    return F.when(is_object(value), value).otherwise(F.get(F.filter(items, is_object), F.lit(0)))
+    items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    first = lambda v: F.when(is_object(v), v).otherwise(F.get(F.filter(items(v), is_object), F.lit(0)))
+    return bound(strict_json(json_text), first)
 
 
 def parse_fenced(responses: DataFrame) -> DataFrame:
@@ -50,7 +50,10 @@ def _text_field(path: str) -> Column:
 
 
 def services(parsed: DataFrame) -> DataFrame:
-    """Service rows with defaults from parsed answers. Input: doc_id, doc_name, data."""
+    """Service rows with defaults from parsed answers. Input: doc_id, doc_name, data.
+
+    Rows without a name are left out of a list of one: a plain filter would be moved below and parse each answer again.
+    """
 
     def or_else(path: str, default: Column) -> Column:
         value = _text_field(path)
@@ -80,7 +83,8 @@ def services(parsed: DataFrame) -> DataFrame:
         or_empty("$.faqs", FAQS, F.array().cast(FAQS)).alias("faqs"),
         F.array(F.lower(F.coalesce(_text_field("$.category"), F.lit("business")))).alias("tags"),
     )
-    return named_services(rows)
+    named = F.filter(F.array(F.struct(*rows.columns)), lambda r: has_text(r["name"]))
+    return rows.select(F.inline(named))
 
 
 def company_info(parsed: DataFrame) -> DataFrame:

@@ -865,9 +865,15 @@ def llm12_assembled_profiles(spark, d):
 @query
 def llm12_whole_profiles(spark, d):
     """Profiles of all jobs from business types, company answers and the services answered for their documents."""
-    docs, parsed = _doc_list(spark, d), _parsed(spark, d)
-    companies = answers.company_info(parsed.withColumn("job_id", F.concat(F.lit("job_"), "doc_id")))
-    offered = answers.services(parsed).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    docs, given = _doc_list(spark, d), views.responses(spark, d)
+
+    def parsed(key, letters):
+        """Answers about the documents or jobs there are; others are not parsed."""
+        named = given.withColumn(key, F.concat(F.lit(letters), "doc_id"))
+        return answers.parse_fenced(named.join(docs.select(key).distinct(), key, "left_semi"))
+
+    companies = answers.company_info(parsed("job_id", "job_"))
+    offered = answers.services(parsed("doc_id", "d"))
     types = prompts.business_type(docs, views.pages(spark, d))
     made = profiles.assemble_profiles(docs, types, companies, offered, F.lit("2024-05-01"), part_rows=4)
     info, record = F.col("business_info"), F.col("extraction_metadata")

@@ -112,3 +112,14 @@ def test_service_parts_and_company_info(spark):
     assert all(got[i][c] in ({}, []) for i in (2, 3) for c in ("details", "inclusions", "exclusions", "faqs"))
     company = {r["doc_id"]: r for r in answers.company_info(parsed).collect()}
     assert company[1]["email"] == "a@b.c" and company[2]["name"] == "B" and company[3]["name"] is None
+
+
+def test_an_answer_is_parsed_once(spark):
+    """Neither the checks of a value's kind nor the filter on names parse an answer again."""
+    rows = [(1, "A.pdf", '[1, {"name": "x"}]'), (2, "", "{}"), (3, "B.pdf", "{}"), (4, "", None), (5, "C.pdf", "{broken")]
+    given = spark.createDataFrame(rows, "doc_id long, doc_name string, response string")
+    offered = answers.services(answers.parse_fenced(given))
+    assert sorted((r["doc_id"], r["name"]) for r in offered.collect()) == [(1, "x"), (3, "B"), (5, "C")]
+    plan = offered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().replace("_", "").count("parsejson(") == 1
+    assert answers.parse_analysis(given.select("response")).count() == 5
