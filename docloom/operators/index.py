@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions.hits import keyword_hit_lists, keyword_hits, keyword_snippets
+from docloom.functions.lookup import bound
 from docloom.operators.sizing import fits_broadcast
 from docloom.session import with_checkpoints
 
@@ -141,7 +142,7 @@ def table_postings(tables: DataFrame) -> DataFrame:
     """keyword rows for headers and the first five data rows of each table."""
     header_text = F.array_join("headers", " ")
     body_text = F.array_join(F.flatten(F.slice("rows", 1, 5)), " ")
-    both = F.array_union(tx.keywords(header_text), tx.keywords(body_text))
+    both = F.array_union(bound(header_text, tx.keywords), bound(body_text, tx.keywords))
     return tables.select(
         F.explode(both).alias("keyword"),
         "table_id",

@@ -105,9 +105,11 @@ def confidence(table: Column, kind: Column) -> Column:
 
 def raw_tables(pages: DataFrame) -> DataFrame:
     """One row per raw table; the index counts tables that later turn out invalid."""
-    exploded = pages.select(
-        "doc_id", "source_file", "page_number", "text", F.posexplode("tables").alias("table_index", "raw")
-    )
+    return _exploded(pages, F.col("tables"), "raw")
+
+
+def _exploded(pages: DataFrame, tables: Column, name: str) -> DataFrame:
+    exploded = pages.select("doc_id", "source_file", "page_number", "text", F.posexplode(tables).alias("table_index", name))
     table_id = F.concat(
         F.lit("tbl_"), "doc_id", F.lit("_p"), "page_number", F.lit("_"), "table_index"
     )
@@ -115,8 +117,13 @@ def raw_tables(pages: DataFrame) -> DataFrame:
 
 
 def clean_tables(pages: DataFrame) -> DataFrame:
-    """Cleaned, valid tables, still with the raw page columns."""
-    return raw_tables(pages).withColumn("table", clean_rows(F.col("raw"))).filter(is_valid(F.col("table")))
+    """Cleaned, valid tables with the page columns.
+
+    Tables are cleaned before they become rows: the filter and the columns made from a cleaned table then read
+    it, while a column that cleans would be worked out again at each of their mentions.
+    """
+    cleaned = F.transform("tables", lambda raw: clean_rows(raw))
+    return _exploded(pages, cleaned, "table").filter(is_valid(F.col("table")))
 
 
 def extract_tables(pages: DataFrame) -> DataFrame:

@@ -79,3 +79,13 @@ def test_extraction_from_pages(spark):
 
 def test_confidence_of_small_general_table(spark):
     assert value(spark, [["a"], ["b"]], lambda t: tables.confidence(t, F.lit("general"))) == 0.5
+
+
+def test_tables_are_cleaned_once(spark):
+    raw = [None, [["Dish ", "Price"], None, ["a  b", None], [" ", ""]], [["x", ""]]]
+    pages = spark.createDataFrame([("d1", "a/f.pdf", 3, "T", raw), ("d2", "g.pdf", 1, None, None)],
+        f"doc_id string, source_file string, page_number long, text string, tables array<{TABLE}>")
+    found = tables.extract_tables(pages)
+    assert [(r["table_id"], r["headers"], r["rows"]) for r in found.collect()] == [("tbl_d1_p3_1", ["Dish", "Price"], [["a b", ""]])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
