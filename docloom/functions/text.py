@@ -31,12 +31,11 @@ def no_strings() -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case words in first-seen order, without stopwords, numbers and short words."""
-    words = F.split(F.lower(or_empty(text)), WORD_GAP)
-    kept = F.filter(
+    words = F.array_distinct(F.split(F.lower(or_empty(text)), WORD_GAP))
+    return F.filter(
         words,
         lambda w: (F.length(w) > 2) & ~w.isin(_DROPPED_WORDS) & ~w.rlike(DIGITS_ONLY),
     )
-    return F.array_distinct(kept)
 
 
 def _all_matches(text: Column, pattern: str, marker: str | None = None) -> Column:
